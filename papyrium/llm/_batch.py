@@ -11,6 +11,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -142,19 +143,21 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def windows(spans: Spans, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each run of `k` consecutive words of a row, in order of the first word."""
+    """First word (its index) and hash of each run of `k` consecutive words of one row."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     first = np.flatnonzero(spans.row[:n] == spans.row[k - 1 :])
-    return first, combine(hashes, first, k)
+    return first, sequence_hash(hashes, k)[first]
 
 
-def combine(hashes: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    out = np.full(len(first), np.uint64(k), dtype=np.uint64)
-    for i in range(k):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[first + i])
-    return out
+def sequence_hash(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of `k` consecutive values, rows disregarded; depends on their order."""
+    n = len(hashes)
+    power, inverse = _powers(n + 1)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * power[:n], out=total[1:])
+    return mix64((total[k:] - total[: n - k + 1]) * inverse[: n - k + 1] + np.uint64(k))
 
 
 def row_slices(sizes: np.ndarray, limit: int):
@@ -174,7 +177,7 @@ def bounded(batches, column: str = "text", limit: int = 8 << 20):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0))
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
         for a, b in row_slices(sizes, limit):
             yield batch.slice(a, b - a)
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, language_id, line_dedup, quality_rules, secrets, source_mix
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_source_mix": source_mix.op5_source_mix,
+    "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.SQL,
+    "op6_benchmark_decontamination": decontaminate.SQL,
+    "op9_quality_rules": quality_rules.SQL,
 }
