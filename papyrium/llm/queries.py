@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, quality_rules, secrets, source_mix
+from . import decontaminate, jaccard_join, language_id, line_dedup, quality_rules, secrets, source_mix
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
