@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, quality_rules, secrets, source_mix
+from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, lm_score, quality_rules, secrets, source_mix, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op3_lm_score": lm_score.op3_lm_score,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+    "op7_html_extract": html_extract.op7_html_extract,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
 }
