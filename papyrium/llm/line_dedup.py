@@ -6,8 +6,8 @@ hashes lose their place everywhere but in the smallest doc_id. Only hashes, ids
 shuffled up to here. Documents then meet the positions they lose and are reassembled in order.
 
 Hot lines: distinct (line, document) pairs are dealt by both columns, counts are pre-aggregated,
-and the join back on the hash is a sort-merge join, which adaptive execution splits when one hash
-holds most rows. Nothing is collected; all expressions are native.
+and the join back on the hash is salted by document; adaptive execution may split it further.
+Nothing is collected; all expressions are native.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ._session import table
 
+SALTS = 16
 _BLANK = " \t\n\u000b\f\r"
 
 
@@ -61,8 +62,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         .filter(F.col("_n") >= min_docs)
         .select("_key", "_first")
     )
+    # Lines meet their hash in one of SALTS parts by document, so that a hot hash is several groups.
+    part = F.pmod(F.xxhash64("_doc"), F.lit(SALTS))
     lost = (
-        lines.join(frequent, "_key")
+        lines.withColumn("_part", part)
+        .join(frequent.select("_key", "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_part")), ["_key", "_part"])
         .filter(F.col("_doc") > F.col("_first"))
         .groupBy("_doc", "_of")
         .agg(F.collect_set("_pos").alias("_lost"))
