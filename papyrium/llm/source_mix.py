@@ -5,7 +5,12 @@ excess reshared until nothing is above its cap. A document should be taken targe
 whole part of that is given to each document; the fractions are rounded in pairs: of two documents,
 one gives words to the other until one fraction is 0 or 1, in a random direction that keeps every
 document's expectation and, exactly, the words of the pair. What is left in each bucket of documents is
-one fraction, and these residuals go up a reduction tree until a source has one, which is drawn.
+one fraction, and these residuals go up a reduction tree until a source has one.
+
+A long document as the last one would miss the target by half its words. So about `reserve_rows` documents of
+each source stay out of the tree and meet the last residual: from the longest down, each is drawn, and the words that
+the draw gains or loses are spread over the fractions of the shorter ones. Expectations stay; what the
+source misses is in the order of its shortest reserved document.
 
 Buckets are small and dealt by hash, so a hot source is many buckets; only ids and sizes move. Random
 numbers are hashes of ids, so that reruns and retried tasks agree.
@@ -13,6 +18,7 @@ numbers are hashes of ids, so that reruns and retried tasks agree.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,20 +31,21 @@ TOTAL = 1.5
 CAP = 2.0
 BUCKET_ROWS = 256
 FAN_IN = 64
+RESERVE_ROWS = 192
 SEED = 20_240_229
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
-    """A row a source: source, source_size and target. `sized` has source and size.
+    """A row a source: source, source_size, docs (with words) and target. `sized` has source and size.
 
     Sources go by code point, null last, and take `weights` in turn. The level at which shares are
     cut is found by a few aggregations over the table of sources, which is never collected.
     """
     spark = sized.sparkSession
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = sums.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    schema = T.StructType([T.StructField("source", sized.schema["source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("_rank", T.LongType())])
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("docs"))
+    ranked = sums.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    schema = T.StructType([T.StructField("source", sized.schema["source"].dataType), *(T.StructField(c, T.LongType()) for c in ("source_size", "docs", "_rank"))])
     place = F.pmod("_rank", F.lit(len(weights)))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place + 1).cast("int"))
     sources = written(spark.createDataFrame(ranked, schema).withColumn("_weight", weight))
@@ -56,7 +63,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap:
             if x["n"] == capped or not x["w"]:
                 break
             capped, level = x["n"], (words - x["held"]) / x["w"]
-    return sources.select("source", "source_size", F.least(F.col("source_size") * F.lit(cap), F.col("_weight") * F.lit(level)).alias("target"))
+    return sources.select("source", "source_size", "docs", F.least(F.col("source_size") * F.lit(cap), F.col("_weight") * F.lit(level)).alias("target"))
 
 
 def _pivot(batches, level: int):
@@ -114,7 +121,50 @@ def _pivot(batches, level: int):
         yield block([held])
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _spread(w: list[float], p: list[float], u: list[float]) -> list[int]:
+    """Draws each fraction in turn and spreads what that gains or loses over the later ones."""
+    w, p, out = np.array(w, dtype=np.float64), np.array(p, dtype=np.float64), []
+    for i in range(len(w)):
+        x = int(u[i] < p[i])
+        out.append(x)
+        owed = (p[i] - x) * w[i]
+        rest = slice(i + 1, None)
+        for _ in range(8):
+            free = (p[rest] > 0) & (p[rest] < 1)
+            mass = (w[rest] * free).sum()
+            if abs(owed) < 1e-9 or mass <= 0:
+                break
+            moved = np.clip(p[rest] + free * owed / mass, 0.0, 1.0)
+            owed -= ((moved - p[rest]) * w[rest]).sum()
+            p[rest] = moved
+    return out
+
+
+def _settle(batches):
+    """Sorted rows, source by source, longest first: settles them all."""
+    group, rows, schema = None, [], None
+
+    def done():
+        at = {c: i for i, c in enumerate(schema.names)}
+        for row, x in zip(rows, _spread(*([r[at[c]] for r in rows] for c in ("size", "_p", "_u")))):
+            row[at["copies"]] += x
+            row[at["_p"]] = 0.0
+        return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+
+    for batch in batches:
+        schema = batch.schema
+        source = schema.get_field_index("_source")
+        for row in zip(*(x.to_pylist() for x in batch.columns)):
+            if row[source] != group and rows:
+                yield done()
+                rows = []
+            group = row[source]
+            rows.append(list(row))
+    if rows:
+        yield done()
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, reserve_rows: int = RESERVE_ROWS) -> DataFrame:
     """A row for each row of `docs`: doc_id, source, text_hash, size (words), source_size, target (words of
     the source in the mix), copies and taken (copies * size).
 
@@ -143,6 +193,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         .withColumns({"copies": F.floor(rate).cast("long"), "_p": rate - F.floor(rate), "_u": unit(0), "_residual": F.lit(False)})
         .withColumns({"_source": F.xxhash64("source", F.col("source").isNull()), "_bucket": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("long")})
     )
+    late = (unit(2) * F.col("docs") < reserve_rows) & (F.col("_p") > 0)
+    rows = written(rows.withColumn("_late", late))
+    reserve, rows = rows.filter("_late"), rows.filter("NOT _late")
     done, level = [], 0
     while True:
         dealt = rows.repartition("_source", "_bucket").sortWithinPartitions("_source", "_bucket", "_u", "doc_id", "text_hash")
@@ -153,8 +206,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
             break
         buckets, level = -(-buckets // FAN_IN), level + 1
         rows = rows.withColumn("_bucket", F.floor(F.col("_bucket") / FAN_IN).cast("long"))
-    # One fraction a source is left: drawn with its own probability.
-    done.append(rows.withColumn("copies", F.col("copies") + (unit(1) < F.col("_p")).cast("long")))
+    last = rows.unionByName(reserve).repartition("_source").sortWithinPartitions("_source", F.desc("size"), "_u", "doc_id", "text_hash")
+    done.append(last.mapInArrow(_settle, rows.schema))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
