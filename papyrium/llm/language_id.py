@@ -27,7 +27,7 @@ ORDER = 5
 DOCS_PER_LANGUAGE = 600
 CALIBRATION_SHARE = 0.25
 QUANTILE = 0.995
-MARGIN = 1.15
+MARGIN = 1.5
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
