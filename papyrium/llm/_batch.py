@@ -172,7 +172,7 @@ def row_slices(sizes: np.ndarray, limit: int):
         yield a, len(sizes)
 
 
-def bounded(batches, column: str = "text", limit: int = 8 << 20):
+def bounded(batches, column: str = "text", limit: int = 2 << 20):
     """Arrow batches cut so that one holds at most `limit` bytes of `column`, or a single row."""
     for batch in batches:
         if not batch.num_rows:

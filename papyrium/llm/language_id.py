@@ -160,7 +160,7 @@ def identify(docs: DataFrame, identifier: Identifier, text_col: str = "text") ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def each(batches):
-        for batch in bounded(batches, text_col):
+        for batch in bounded(batches, text_col, 4 << 20):
             langs, score, rejected = shared.value.judge(Texts(batch.column(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, type=pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
