@@ -90,7 +90,7 @@ def freshness(submitted, key_date, window_days: int = 30, unknown: float = 0.2)
     """1 on the key's date down to 0 after `window_days`; `unknown` where the date can't be read."""
     day = F.try_to_date(_col(submitted).cast("string"), "yyyy-MM-dd")
     age = F.greatest(F.datediff(_col(key_date), day), F.lit(0))
-    return F.coalesce(F.greatest(F.lit(0.0), 1.0 - age / F.lit(float(window_days))), F.lit(unknown))
+    return F.when(day.isNull(), F.lit(unknown)).otherwise(F.greatest(F.lit(0.0), 1.0 - age / F.lit(float(window_days))))
 
 
 def in_grace(modified, now, days: int = 3) -> Column:
