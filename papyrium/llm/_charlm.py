@@ -12,7 +12,7 @@ import numpy as np
 
 from ._batch import mix64
 
-EDGE = 0x20
+CHUNK = 150_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,6 +102,14 @@ class CharModels:
         k = len(self.classes)
         if not texts:
             return np.zeros((0, k)), np.zeros(0, dtype=np.int64)
+        size = np.cumsum([len(t) + 2 for t in texts])
+        if size[-1] > CHUNK and len(texts) > 1:  # a bounded number of characters at a time
+            parts, a = [], 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHUNK, side="right")))
+                parts.append(self.log_probs(texts[a:b]))
+                a = b
+            return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
         flat, starts = points(texts)
         p = None
         for (keys, share, heads, left), (n, at, depth, context, gram) in zip(self.tables, _contexts(flat, starts, self.order)):

@@ -12,14 +12,29 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where the folder is shared; clusters use --py-files."""
+    """Lets Python workers import this package where the folder is shared (clusters use --py-files), and
+    bounds the bytes of the session's Arrow batches, so that long texts don't add up in a batch."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *(p for p in paths if p)])
+    _bounded_batches(spark)
     return spark
 
 
+#: Bytes of an Arrow batch between the JVM and Python: what a task holds of the texts at a time.
+BATCH_BYTES = 4 << 20
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        now = spark.conf.get(key, None)
+        digits = "".join(c for c in now or "" if c.isdigit())
+        size = int(digits or 0) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get((now or "b").lower().rstrip("b")[-1:], 1)
+        if size <= 0 or size > BATCH_BYTES:
+            spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors see; a local one only where unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
