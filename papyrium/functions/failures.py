@@ -82,6 +82,7 @@ def classify(phase, log, error) -> Column:
 
 
 def priority(category) -> Column:
+    category = F.col(category) if isinstance(category, str) else category
     out = F.lit(0)
     for name, p in PRIORITIES.items():
         out = F.when(category == name, p).otherwise(out)

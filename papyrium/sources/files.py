@@ -21,7 +21,8 @@ def scan_indexes(spark: SparkSession, root: str, name: str = "index.json") -> Da
     schema = T.StructType([*INDEX.fields, T.StructField("_corrupt_record", T.StringType())])
     reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
     base = root.rstrip("/").rsplit("/", 1)[-1]
-    rows = reader.json(root).withColumn("path", F.col("_metadata.file_path"))
+    # A damaged record has no papers; naming both columns lets queries ask for the damage alone.
+    rows = reader.json(root).withColumns({"path": F.col("_metadata.file_path"), "_corrupt_record": F.when(F.col("papers").isNull(), F.col("_corrupt_record"))})
     return rows.withColumns({"mode": F.coalesce("mode", F.nullif(_path_part(rf"/{base}/([^/]+)/"), F.lit(""))), "key": F.coalesce("key", F.nullif(_path_part(r"/([^/]+)/[^/]+$"), F.lit("")))}).orderBy("path")
 
 
