@@ -182,14 +182,21 @@ def rechunk(values: Column, n: int = 3) -> Column:
     return F.when(F.size(values) > 0, F.transform(steps, lambda i: F.slice(values, i * n + 1, F.lit(n))))
 
 
-def main_document_score(path, content) -> Column:
-    """Rank of a candidate main TeX file: documents that begin and end, not appendices or templates."""
-    path, content = F.lower(_col(path)), _col(content)
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    score = F.when(F.contains(content, F.lit("\\documentclass")), 100).otherwise(-100)
-    score = score + F.when(F.contains(content, F.lit("\\begin{document}")), 20).otherwise(0)
-    score = score + F.when(name.isin("main.tex", "paper.tex", "ms.tex"), 20).otherwise(0)
-    return score - F.when(name.rlike("template|supp|appendix|response|rebuttal"), 100).otherwise(0)
+# Names of main TeX files, and of files that only hold a body.
+MAIN_NAMES = ("main.tex", "paper.tex", "root.tex", "manuscript.tex", "article.tex")
+BODY_NAMES = ("paper_body.tex", "body.tex", "content.tex")
+
+
+def main_document_score(path, content, stems) -> Column:
+    """Rank of a candidate main TeX file: its name, and whether it includes another candidate.
+
+    stems: array of the candidates' file names in lower case, without extension.
+    """
+    base = lambda x: F.regexp_extract(F.lower(F.replace(x, F.lit("\\"), F.lit("/"))), r"([^/]*)$", 1)
+    name = base(_col(path))
+    included = F.transform(F.regexp_extract_all(strip_comment(F.coalesce(_col(content), F.lit(""))), F.lit(r"\\(?:input|include)\s*\{([^{}]+)\}"), F.lit(1)), lambda x: F.regexp_replace(base(F.trim(x)), r"\.[^.]*$", ""))
+    score = F.when(name.isin(*MAIN_NAMES), 100).otherwise(0) - F.when(name.isin(*BODY_NAMES), 100).otherwise(0)
+    return score + F.when(F.arrays_overlap(included, _col(stems)), 20).otherwise(0)
 
 
 def no_shell_escape(c) -> Column:
