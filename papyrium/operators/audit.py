@@ -58,7 +58,7 @@ def failure_summary(records: DataFrame) -> DataFrame:
 def patch_plan(records: DataFrame, catalog: DataFrame, order: str) -> DataFrame:
     """A row for each category that the catalog knows: its patch, where it was seen first and how often."""
     counted = records.groupBy("category").agg(F.min(order).alias("first_seen"), F.count(F.lit(1)).alias("n"))
-    return counted.join(F.broadcast(catalog), "category")
+    return counted.join(catalog, "category")
 
 
 def require_clean(df: DataFrame, bad, what: str) -> DataFrame:

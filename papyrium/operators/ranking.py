@@ -81,13 +81,14 @@ def rank_candidates(
 
     votes: item and votes; missing ones are 0, the largest over all candidates scales them. seen: slug
     and item, left out unless `force`. Order: rounded score, votes, date (latest first, unknown last),
-    then the item. Profiles are few: their terms travel in the rows, and no pair table is built.
+    then the item. Every candidate meets every profile that allows its categories, so the join has no key: the
+    planner broadcasts the profiles while their measured size is small.
     """
     voted = candidates.join(votes.select(F.col(item), F.coalesce("votes", F.lit(0)).alias("upvotes")), item, "left").withColumn("upvotes", F.coalesce("upvotes", F.lit(0)))
     top = voted.agg(F.greatest(F.max("upvotes"), F.lit(1)).alias("_most"))
     rows = voted.withColumn("_text", search_text(title, abstract, categories)).join(F.broadcast(top))
     own = profiles.select("slug", "query", "must", "should", "negative", F.col("categories").alias("_allowed"), "weights")
-    rows = rows.join(F.broadcast(own), (F.size("_allowed") == 0) | F.arrays_overlap(F.col(categories), F.col("_allowed")))
+    rows = rows.join(own, (F.size("_allowed") == 0) | F.arrays_overlap(F.col(categories), F.col("_allowed")))
     if seen is not None and not force:
         keys = [c for c in ("slug", item) if c in seen.columns]
         rows = rows.join(seen.select(*keys).distinct(), keys, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NON_ASCII
 from ..operators import quality as Q
+from ..operators.contained import contained
 from .common import load
 
 
@@ -79,13 +80,9 @@ def line_samples(spark, d):
 
 
 def contained_passages(spark, d):
-    """Benchmark items whose whole text stands in a document: a scan for an automaton of all items.
-
-    The items are a bounded table (its size is checked by the planner before it is broadcast).
-    """
+    """Benchmark items whose whole text stands in a document."""
     docs = load(spark, d, "documents").select("doc_id", "text")
-    bench = load(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).filter("passage <> ''")
-    return docs.join(F.broadcast(bench), F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    return contained(docs, load(spark, d, "benchmark"), "doc_id", "item_id", "text")
 
 
 _LINES = """
