@@ -76,9 +76,12 @@ def is_untranslated(report_prefix: str = "", mixed_clauses: Column | None = None
 
 
 def is_untranslated_paged(dominant: Column, run: Column, pct: Column, analyzable: Column) -> Column:
-    """The paged verdict: long runs of foreign pages, or many of them in a text of little script."""
+    """The paged verdict: sustained foreign pages, many of them, or some in a text of little script."""
     fraction = dominant / F.greatest(analyzable, F.lit(1))
-    return ((dominant >= 3) & (run >= 3)) | ((dominant >= 4) & (fraction >= 0.2)) | ((run >= 2) & (pct < 60)) | ((dominant >= 2) & (fraction >= 0.5)) | ((dominant >= 1) & (pct < 20))
+    return (
+        ((dominant >= 3) & (pct < 12)) | ((dominant >= 3) & (pct < 25) & (fraction >= 0.30)) | (run >= 4) | (dominant >= 10)
+        | ((dominant >= 5) & (pct < 30) & (fraction >= 0.20))
+    )
 
 
 def longest_run(flagged: DataFrame, flag: str, item: str = "doc_id", pos: str = "pos") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import NON_ASCII
 from ..operators import quality as Q
 from ..operators.contained import contained
+from ..operators.paged import classify_pages, paged_report
 from .common import load
 
 
@@ -79,6 +80,15 @@ def line_samples(spark, d):
     return Q.first_samples(flagged, ["doc_id"], "pos", "line", 2, 40).select("doc_id", F.array_join("samples", "|").alias("samples"))
 
 
+def paged_quality(spark, d):
+    """Documents as paged texts, ten lines a page: classes of their pages and the verdict."""
+    lines = F.split("text", "\n")
+    steps = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 10).cast("int"))
+    paged = F.array_join(F.transform(steps, lambda i: F.array_join(F.slice(lines, i * 10 + 1, F.lit(10)), "\n")), "\f")
+    docs = load(spark, d, "documents").select("doc_id", paged.alias("text"))
+    return paged_report(classify_pages(docs, "doc_id", "text", NON_ASCII), "doc_id")
+
+
 def contained_passages(spark, d):
     """Benchmark items whose whole text stands in a document."""
     docs = load(spark, d, "documents").select("doc_id", "text")
@@ -122,6 +132,7 @@ QUERIES = {
     "line_context": line_context,
     "worst_docs": worst_docs,
     "line_samples": line_samples,
+    "paged_quality": paged_quality,
     "contained_passages": contained_passages,
 }
 
