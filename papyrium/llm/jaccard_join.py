@@ -79,8 +79,9 @@ def _signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             first = np.concatenate([[0], np.cumsum(n)[:-1]]) if texts.n else np.zeros(0, dtype=np.int64)
             rank = np.arange(len(row)) - first[row]
             spare = n - (num * n + den - 1) // den
-            # A set without spare shingles links to equal sets only.
-            size = np.where(spare > 0, np.minimum(2 * spare + 1, n), 0)
+            # A set that one more shingle takes below the threshold links to equal sets only. One without spare
+            # shingles may still be part of a larger set (6 of 7 at 0.85), so its head has one shingle.
+            size = np.where(den * n >= num * (n + 1), np.minimum(2 * spare + 1, n), 0)
             s1 = _sums(row, mix64(w + np.uint64(1)), texts.n)
             s2 = _sums(row, mix64(w ^ np.uint64(0xA5A5A5A5A5A5A5A5)), texts.n)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(w[rank < size[row]], size)], ["_id", "n", "s1", "s2", "head"])

@@ -54,6 +54,21 @@ def test_group_of_near_copies(spark):
         assert {i: (x["n_shingles"], x["component_id"]) for i, x in found.items()} == brute(rows, num)
 
 
+def test_smallest_linking_sets(spark):
+    """A set with no shingle to spare links to the set of one more that contains it, at several thresholds."""
+    rows = []
+    for i, n in enumerate(range(1, 26)):
+        w = [f"t{i}x{j}" for j in range(n)]
+        more = [f"t{i}y"]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w + more)), (3 * i + 2, " ".join(more + w))]
+    cycle = [f"c{j}" for j in range(6)]
+    rows += [(900, " ".join(cycle * 9)), (901, " ".join(cycle * 9 + ["z"]))]  # 6 of 7 distinct shingles in long texts
+    rows = [(i, t, "en", "s", 1) for i, t in rows]
+    for num in (50, 60, 85):
+        found = got(jaccard_join.join(frame(spark, rows), num=num))
+        assert {i: (x["n_shingles"], x["component_id"]) for i, x in found.items()} == brute(rows, num)
+
+
 def test_hard_rows(spark):
     rows = corpus(7)[:6]
     twice = rows + rows[:2] + [(None, rows[0][1], "en", "s", 1), (0, "another text for the same id here", "en", "s", 1)]
