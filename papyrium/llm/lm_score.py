@@ -3,8 +3,8 @@
 A text is coded word by word: a flag (word or end of text), then the bytes of the word and a closing
 space, bit by bit. Several predictors look each bit up in hashed tables: orders 0 to 4 and the whole prefix
 of the word. Their stretched probabilities are combined by a logistic mixer whose weights are chosen by
-a gate (bit, place in the word, how many predictors know the context) and learned online. An adaptive
-probability map refines the mix, and while a text is read, what it has shown so far is mixed in: words that
+a gate (bit, place in the word, how many predictors know the context). A probability
+map refines the mix, and while a text is read, what it has shown so far is mixed in: words that
 the corpus holds share their discounted counts, the bit model spells the rest, and a text is taken with or
 without a cache of its own words, whichever foretells it (a mixture updated word by word, which sums to the
 mixture of the two whole texts). All bits over the bytes are the bits-a-byte figure.
@@ -14,8 +14,10 @@ What is learned, and from where:
 * Word counts, bit counts of every context: from every training text. Words are pre-aggregated in the
   tasks and counted by a shuffle; contexts are counted from the word table, weighted by word counts.
   The context tables have a fixed number of slots, so the model that is broadcast has a fixed size.
-* Mixer weights and the probability map: from `sample_words` training tokens chosen by hash, each one
-  left out of its own counts, in hash order, on the driver.
+* Mixer weights and the probability map: from every training token, each one left out of its own counts.
+  Gradients and curvatures are summed by gate over the word table in `passes` passes, each a step
+  to the least of a bound of the loss,
+  then tokens by cell of the map in one more. What the driver gets has the size of weights and map.
 
 The base score needs the count of every token. Frequent words (at most `head_words`, a fixed bound) are
 broadcast; all others go through a shuffle join, so the vocabulary may grow without limit.
@@ -29,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._batch import SPACE, Spans, Texts, bounded, hash_spans, mix64
-from ._session import ship, table, written
+from ._session import BATCH_BYTES, ship, table, written
 from .language_id import fold
 
 SLOT_BITS = 20
 PREDICTORS = 6
 HEAD_WORDS = 1 << 18
-SAMPLE_WORDS = 24_000
+PASSES = 4
+_UNIT = 1 << 16
 CACHE = 0.3
 _BINS = 33
 _SLOTS = 1 << SLOT_BITS
@@ -79,6 +82,11 @@ def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.where(n0 + n1 > 0, np.clip(x, -8, 8), np.float32(0))
 
 
+def _left_out(n0: np.ndarray, n1: np.ndarray, y: np.ndarray, slots: list[np.ndarray]) -> list[np.ndarray]:
+    """Inputs of the mixer, each bit left out of its own counts once."""
+    return [_stretch(np.maximum(n0[s + k * _SLOTS] - (1 - y), 0), np.maximum(n1[s + k * _SLOTS] - y, 0)) for k, s in enumerate(slots)]
+
+
 def _gate(bit: int, place: np.ndarray, known: np.ndarray) -> np.ndarray:
     return (bit * 4 + place) * (PREDICTORS + 1) + known
 
@@ -106,28 +114,35 @@ class Mixer:
         low = at.astype(np.int64)
         return low, (at - low).astype(np.float32)
 
-    def learn(self, n0: np.ndarray, n1: np.ndarray, bits: Bits, weight: np.ndarray, rate: float) -> None:
-        """One online step over some words, each left out of its own counts once."""
-        own = weight[bits.word]
-        for b, y, node, slots in bits.each():
-            inputs = []
-            for k, s in enumerate(slots):
-                s = s + k * _SLOTS
-                inputs.append(_stretch(np.maximum(n0[s] - (1 - y), 0), np.maximum(n1[s] - y, 0)))
+    def gradient(self, sums: np.ndarray, n0: np.ndarray, n1: np.ndarray, bits: Bits, c: np.ndarray) -> None:
+        """Adds, by gate, the loss, its gradient and its curvature over some words of c tokens each."""
+        own, wide = c[bits.word], 4 * (PREDICTORS + 1)
+        for b, y, _, slots in bits.each():
+            inputs = _left_out(n0, n1, y, slots)
             gate, dot = self._mix(b, bits.place, inputs)
+            gate -= b * wide
             p = 1 / (1 + np.exp(-dot))
-            err = (y - p) * own
-            total = np.bincount(gate, weights=own, minlength=len(self.weights)) + 1e-9
+            # The bound of Jaakkola and Jordan instead of p (1 - p): no step makes a gate worse.
+            bend = np.where(np.abs(dot) > 1e-3, (p - 0.5) / np.where(dot == 0, 1, dot), 0.25)
+            to = sums[:, b * wide : (b + 1) * wide]
+            to[0] += np.bincount(gate, weights=-np.log(np.where(y > 0, p, 1 - p)) * own, minlength=wide)
+            at = 1 + PREDICTORS
             for k, x in enumerate(inputs):
-                self.weights[:, k] += (rate * np.bincount(gate, weights=err * x, minlength=len(self.weights)) / np.sqrt(total)).astype(np.float32)
+                to[1 + k] += np.bincount(gate, weights=(y - p) * x * own, minlength=wide)
+                curve = bend * x * own
+                for z in inputs[: k + 1]:
+                    to[at] += np.bincount(gate, weights=curve * z, minlength=wide)
+                    at += 1
+
+    def refine(self, sums: np.ndarray, n0: np.ndarray, n1: np.ndarray, bits: Bits, c: np.ndarray) -> None:
+        """Adds, by cell of the probability map, the tokens and the ones among them over some words of c tokens each."""
+        own = c[bits.word]
+        for b, y, node, slots in bits.each():
+            _, dot = self._mix(b, bits.place, _left_out(n0, n1, y, slots))
             low, part = self._bin(dot)
-            cell = node * _BINS + low
-            for c, share in ((cell, 1 - part), (cell + 1, part)):
-                mass = np.bincount(c, weights=own * share, minlength=self.map.size)
-                hit = np.flatnonzero(mass)
-                target = np.bincount(c, weights=own * share * y, minlength=self.map.size)[hit] / mass[hit]
-                flat = self.map.reshape(-1)
-                flat[hit] += (np.minimum(0.02 * mass[hit], 0.5) * (target - flat[hit])).astype(np.float32)
+            for cell, share in ((node * _BINS + low, own * (1 - part)), (node * _BINS + low + 1, own * part)):
+                sums[0] += np.bincount(cell, weights=share, minlength=self.map.size)
+                sums[1] += np.bincount(cell, weights=share * y, minlength=self.map.size)
 
     def log2(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 400_000) -> np.ndarray:
         """log2 probability of each word."""
@@ -160,8 +175,13 @@ def _words(docs: DataFrame) -> DataFrame:
             words = Spans(texts, SPACE)
             keys, first, counts = np.unique(words.hashes(), return_index=True, return_counts=True)
             data = texts.data.tobytes()
-            named = [data[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(named, type=pa.binary()), pa.array(counts.astype(np.int64))], ["h", "word", "c"])
+            starts, ends = words.starts[first], words.ends[first]
+            # Batches that Spark need not split: those of BATCH_BYTES and more can reach the JVM without columns.
+            part = np.cumsum(ends - starts + 24) // (BATCH_BYTES // 4)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
+            for i, j in zip(cuts, cuts[1:]):
+                named = [data[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j].view(np.int64)), pa.array(named, type=pa.binary()), pa.array(counts[i:j].astype(np.int64))], ["h", "word", "c"])
 
     return docs.mapInArrow(scan, "h long, word binary, c long").groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
 
@@ -188,22 +208,55 @@ def _slots(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("word", "c").mapInArrow(scan, "slot long, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def train(vocabulary: DataFrame, total: int, sample_words: int = SAMPLE_WORDS) -> Mixer:
-    """Fits the tables on the whole word table, then the mixer on a bounded sample of tokens."""
+def _dense(slot: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    out = [np.zeros(PREDICTORS * _SLOTS, dtype=np.float32) for _ in counts]
+    for to, x in zip(out, counts):
+        to[slot] = x
+    return out
+
+
+def _summed(vocabulary: DataFrame, mixer: Mixer, shared, shape: tuple[int, int], add: str) -> np.ndarray:
+    """What a method of the mixer adds up over all words. Tasks' sums are whole multiples of 1 / _UNIT, so
+    that the total depends on no order."""
+
+    def scan(batches):
+        n0, n1 = _dense(*shared.value)
+        sums = np.zeros(shape)
+        for batch in bounded(batches, "word", 400_000):
+            texts = Texts(batch.column("word"))
+            getattr(mixer, add)(sums, n0, n1, Bits(texts.data, texts.starts, texts.ends), batch.column("c").to_numpy().astype(np.float64))
+        sums = np.rint(sums.reshape(-1) * _UNIT).astype(np.int64)
+        hit = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(sums[hit])], ["at", "s"])
+
+    got = vocabulary.select("word", "c").mapInArrow(scan, "at long, s long").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
+    out = np.zeros(shape[0] * shape[1])
+    out[got.column("at").to_numpy()] = got.column("s").to_numpy() / _UNIT
+    return out.reshape(shape)
+
+
+def train(vocabulary: DataFrame, passes: int = PASSES) -> Mixer:
+    """Fits the tables, then the weights of every gate by `passes` steps and last the probability map, all of
+    them on the whole word table."""
+    spark = vocabulary.sparkSession
     got = _slots(vocabulary).toArrow()
-    n0, n1 = np.zeros(PREDICTORS * _SLOTS), np.zeros(PREDICTORS * _SLOTS)
-    slot = got.column("slot").to_numpy()
-    n0[slot], n1[slot] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
-    mixer = Mixer(n0, n1)
-    unit = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = vocabulary.filter(unit < F.col("c") * F.lit(sample_words / max(total, 1))).select("h", "word", "c").toArrow()
-    order = np.argsort(mix64(rows.column("h").to_numpy()), kind="stable")
-    words = [rows.column("word")[int(i)].as_py() for i in order]
-    weight = np.clip(rows.column("c").to_numpy()[order] * (sample_words / max(total, 1)), 1.0, 20.0)
-    step = 100
-    for a in range(0, len(words), step):
-        texts = Texts(pa.array(words[a : a + step], type=pa.binary()))
-        mixer.learn(n0, n1, Bits(texts.data, texts.starts, texts.ends), weight[a : a + step], 0.02 / (1 + 6 * a / max(len(words), 1)))
+    counts = got.column("slot").to_numpy().astype(np.int32), *(got.column(k).to_numpy().astype(np.float32) for k in ("n0", "n1"))
+    del got
+    mixer = Mixer(*_dense(*counts))
+    table, mixer.table = mixer.table, None  # the passes stretch the counts themselves
+    shared = spark.sparkContext.broadcast(counts)
+    low = np.tril_indices(PREDICTORS)
+    for _ in range(passes):
+        sums = _summed(vocabulary, mixer, shared, (1 + PREDICTORS + len(low[0]), len(mixer.weights)), "gradient")
+        curve = np.zeros((len(mixer.weights), PREDICTORS, PREDICTORS))
+        curve[:, low[0], low[1]] = curve[:, low[1], low[0]] = sums[1 + PREDICTORS :].T
+        step = np.linalg.solve(curve + 10 * np.eye(PREDICTORS), sums[1 : 1 + PREDICTORS].T[:, :, None])[:, :, 0]
+        # Below twice the way to the bound's least, a step still makes no gate worse.
+        mixer.weights = (mixer.weights + 1.8 * step).astype(np.float32)
+    mass, ones = _summed(vocabulary, mixer, shared, (2, mixer.map.size), "refine")
+    shared.destroy()
+    mixer.map = ((50 * mixer.map.reshape(-1) + ones) / (50 + mass)).astype(np.float32).reshape(mixer.map.shape)
+    mixer.table = table
     return mixer
 
 
@@ -219,7 +272,7 @@ def _times(row: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     return before, np.arange(len(row)) - first[row]
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_fold: tuple[int, int] = (10, 0), head_words: int = HEAD_WORDS, sample_words: int = SAMPLE_WORDS, cache: float = CACHE) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_fold: tuple[int, int] = (10, 0), head_words: int = HEAD_WORDS, passes: int = PASSES, cache: float = CACHE) -> DataFrame:
     """A row for each row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     (log10 probabilities of the whole text) and bits_per_byte of the text's words, each with one separator.
 
@@ -240,7 +293,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     head = vocabulary.filter(F.col("c") >= least).select("h", "c").toArrow()
     keys = head.column("h").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    mixer = train(vocabulary, total, sample_words)
+    mixer = train(vocabulary, passes)
     p_end = (ends + 0.5) / (total + 1)
     # Absolute discounting: what each known word gives up goes to words as the bit model spells them.
     once, twice, running = sizes["once"] or 0, sizes["twice"] or 0, sizes["n"] or 0

@@ -193,3 +193,20 @@ def test_lm_is_a_distribution_over_words():
     t = Texts(pa.array([bytes([a]) for a in range(256)], type=pa.binary()))
     one = np.exp2(mixer.log2(t.data, t.starts, t.ends))
     assert np.isclose(one.sum(), 1 / 256, rtol=1e-2)  # any byte, then the closing space
+
+
+def test_lm_learns_from_every_training_word(spark):
+    """More tokens than the 24 000 of the former sample: each one has its bits in the probability map and in the loss."""
+    rows = [(i, b"w%d" % (i % 997) + b"abc"[i % 3 :] * (i % 4), 1 + 40_000 * (i % 50 == 0)) for i in range(3000)]
+    vocabulary = spark.createDataFrame(rows, "h long, word binary, c long")
+    seen, summed = [], lm_score._summed
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm_score, "_summed", lambda *a: seen.append((a[4], summed(*a))) or seen[-1][1])
+        mixer = lm_score.train(vocabulary, passes=3)
+    bits = sum(8 * c * (len(w) + 1) for _, w, c in rows)
+    assert [k for k, _ in seen] == ["gradient"] * 3 + ["refine"]
+    assert np.isclose(seen[-1][1][0].sum(), bits, rtol=1e-6)
+    losses = [x[0].sum() for k, x in seen if k == "gradient"]
+    assert losses[0] > losses[1] > losses[2] > 0
+    other = lm_score.train(vocabulary.repartition(7), passes=3)  # dealt otherwise: the same model
+    assert np.allclose(mixer.weights, other.weights, atol=1e-3) and np.allclose(mixer.map, other.map, atol=1e-3)
