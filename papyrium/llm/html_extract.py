@@ -2,7 +2,8 @@
 
 A page becomes a small tree of elements. Elements that name themselves as something else than the article
 (menus, page headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) are
-taken out. For every other element the characters a tag, adjusted for the share of links, are its density;
+taken out, except where such a name or form stands on what holds the article or most of the page's text,
+or on a block of prose within the article. For every other element the characters a tag, adjusted for the share of links, are its density;
 an element's density sum adds the densities of its children. The element with the largest sum leads to the
 article: if it stands in an article or main element, that whole element is the article. Otherwise the
 lowest density on the path from the body to it is the threshold, and the path's other children are kept
@@ -40,6 +41,12 @@ NAMES = set(
     "copyright comment comments commentlist disqus respond reply replies discussion share sharing social newsletter subscribe subscription signup login "
     "related recommended recommendations popup modal overlay alert paywall pagination pager skip sitemap toc search hidden".split()
 )
+#: Names of sections of an article, too: within one they only tell what is mostly links.
+SECTIONS = set("discussion related notice notices".split())
+#: A class that starts with one of these says something of the layout, not what its element is.
+LAYOUT = {"has", "no", "not", "non", "with", "without"}
+#: Elements that are taken out like those with a name; the other ones of GONE never hold an article.
+DOUBTED = {"form", "fieldset", "aside", "dialog"}
 HEADER_NAMES = {"header", "head", "siteheader", "pageheader"}
 #: An opening tag of these ends an open paragraph.
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt body".split())
@@ -52,43 +59,88 @@ ROOTS = {"article", "main"}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "gone", "root", "chars", "tags", "link_chars", "link_tags", "link", "within", "density", "total", "keep")
+    __slots__ = ("tag", "parent", "children", "gone", "root", "chars", "tags", "link_chars", "link_tags", "link", "within", "doubt", "mild", "density", "total", "keep")
 
-    def __init__(self, tag, parent, gone=False, root=False):
+    def __init__(self, tag, parent, gone=False, root=False, doubt=False, mild=False):
         self.tag, self.parent, self.children, self.gone, self.root = tag, parent, [], gone, root
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.link = tag == "a" or (parent is not None and parent.link)
         self.within = root or (parent is not None and parent.within)
+        self.doubt, self.mild = doubt, mild
         self.density = self.total = 0.0
         self.keep = False
 
 
 def _names(value: str) -> set[str]:
-    parts = re.split(r"[\s_\-:/]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
-    return {p.rstrip("0123456789") for p in parts if p}
+    out = set()
+    for one in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+        parts = [p for p in re.split(r"[_\-:/]+", one) if p]
+        if parts and parts[0] not in LAYOUT:
+            out.update(p.rstrip("0123456789") for p in parts)
+    return out
 
 
-def _is_gone(tag: str, attrs: str, within: bool) -> tuple[bool, bool]:
-    """Whether an element isn't part of the article, and whether it says that it holds the article."""
-    if tag in GONE:
-        return True, False
+def _is_gone(tag: str, attrs: str, within: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is never part of the article, says that it holds the article, names itself as
+    something else, and does so by the name of a section of an article only."""
+    if tag in GONE and tag not in DOUBTED:
+        return True, False, False, False
     root = tag in ROOTS
-    header = tag == "header" and not within
+    doubt = tag in DOUBTED or tag == "header" and not within
+    mild = False
     if attrs:
         a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
         if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-            return True, False
+            return True, False, False, False
         roles = set(a.get("role", "").lower().split())
-        if roles & ROLES:
-            return True, False
         root = root or bool(roles & ROOTS) or "articlebody" in a.get("itemprop", "").lower()
+        doubt = doubt or bool(roles & ROLES)
         if tag not in ("html", "body"):
             names = _names(a.get("class", "")) | _names(a.get("id", ""))
             # A root that is called a comment is one; other names on a root describe its page.
-            if names & ({"comment", "comments", "ad", "ads", "advert", "related", "reply"} if root else NAMES):
-                return True, False
-            header = header or (not within and not root and bool(names & HEADER_NAMES))
-    return header, root
+            found = names & ({"comment", "comments", "ad", "ads", "advert", "related", "reply"} if root else NAMES)
+            mild = within and not doubt and bool(found) and found <= SECTIONS
+            doubt = doubt or bool(found) or (not within and not root and bool(names & HEADER_NAMES))
+    return False, root, doubt, mild
+
+
+def _settle(top: _Node) -> None:
+    """Takes doubted elements out, except those that hold the article or most of the page's text."""
+    order, todo, free = [], [(top, True)], False
+    while todo:
+        n, sure = todo.pop()
+        sure = sure and not n.doubt
+        order.append((n, sure))
+        todo.extend((c, sure) for c in n.children)
+    if not any(n.doubt for n, _ in order):
+        return
+    total = sum(n.chars for n, _ in order)
+
+    def weigh(decide):
+        chars, links, held, main = {}, {}, {}, {}  # of what isn't doubted; held: the largest root
+        found = False
+        for n, sure in reversed(order):
+            own = [c for c in n.children if not c.doubt]
+            k = id(n)
+            chars[k] = n.chars + sum(chars[id(c)] for c in own)
+            links[k] = n.link_chars + sum(links[id(c)] for c in own)
+            held[k] = max((held[id(c)] for c in own), default=0)
+            main[k] = any(main[id(c)] for c in own)
+            found = found or (sure and n.root and chars[k] > 0)
+            if decide and n.doubt:
+                if n.mild:
+                    n.doubt = 2 * links[k] >= chars[k]
+                elif not n.root:
+                    n.doubt = not (main[k] or not free and (4 * held[k] >= total > 0 and held[k] > 0 or 2 * chars[k] > total))
+            if n.root and not n.doubt and chars[k]:
+                held[k], main[k] = max(held[k], chars[k]), main[k] or n.tag == "main"
+        return found
+
+    free = weigh(False)
+    weigh(True)
+    for n, _ in order:  # parents come before children
+        n.gone = n.gone or n.doubt or (n.parent is not None and n.parent.gone)
+        n.children = [c for c in n.children if not c.doubt]
 
 
 def _parse(page: str):
@@ -166,8 +218,8 @@ def _parse(page: str):
                 parent = top
             else:
                 continue
-        gone, root = (True, False) if parent.gone else _is_gone(tag, m[4], parent.within)
-        node = _Node(tag, parent, gone, root)
+        gone, root, doubt, mild = (True, False, False, False) if parent.gone else _is_gone(tag, m[4], parent.within)
+        node = _Node(tag, parent, gone, root, doubt, mild)
         if not gone:
             parent.children.append(node)
         if tag in RAW:
@@ -184,7 +236,8 @@ def _parse(page: str):
             continue
         stack.append(node)
     pop_to(1)
-    return top, pieces
+    _settle(top)
+    return top, [x for x in pieces if x[1] is None or not x[0].gone]
 
 
 def _weigh(top: _Node) -> list[_Node]:

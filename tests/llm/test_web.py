@@ -30,6 +30,23 @@ def test_extract(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-comments", "search-result", "page-search"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+@pytest.mark.parametrize("wrap", ["<div class='{}'>{}</div>", "<div id=x class='{}'><form action=/>{}</form></div>"])
+def test_wrappers_with_names_of_other_things(name, inner, wrap):
+    body = inner.format(f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>")
+    page = "<body><nav><a href=1>A</a></nav>" + wrap.format(name, body) + "<div class=sidebar><a href=2>links</a></div></body>"
+    assert extract(page) == f"T\n{LONG}\n{LONG}"
+
+
+def test_sections_and_side_blocks():
+    prose = f"<article><p>{LONG}</p><section class=discussion><p>{LONG}</p></section><div class=related><a href=1>More of this</a></div></article>"
+    assert extract(prose) == f"{LONG}\n{LONG}"
+    # Neither a long comment section nor teasers in a sidebar outweigh an article that says it is one.
+    assert extract(f"<article><p>{LONG}</p></article><div class=comments>" + f"<p>{LONG} No!</p>" * 9 + "</div>") == LONG
+    assert extract(f"<div><p>{LONG}</p><p>{LONG}</p></div><aside class=related><article><a href=1>teaser</a></article></aside>") == f"{LONG}\n{LONG}"
+
+
 def test_long_and_deep_pages():
     assert extract("<div>" * 4000 + "deep") == "deep"
     assert extract("<p>" + "word " * 200_000).count(" ") == 199_999
