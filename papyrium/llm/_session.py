@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -35,20 +40,66 @@ def _bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(BATCH_BYTES))
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a local one only where unset."""
+    """A new folder below spark.checkpoint.dir, which all executors see.
+
+    Where the setting is missing, a folder of this machine will do only if everything runs on it; on a
+    cluster that raises, for what executors wrote there the others could not read.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file:///tmp/papyrium-{os.getpid()}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/papyrium-{os.getpid()}"
     return f"{root.rstrip('/')}/papyrium-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, where: str | None = None) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    where = where or shared_dir(df.sparkSession)
+    """Writes `df` to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Folders made here stay while results may still read them, until release() or the end of the driver.
+    """
+    spark = df.sparkSession
+    if where is None:
+        where = shared_dir(spark)
+        _WRITTEN.append((spark, where))
     schema = df.schema
     df.write.mode("overwrite").parquet(where)
-    return df.sparkSession.read.schema(schema).parquet(where)
+    return spark.read.schema(schema).parquet(where)
+
+
+def release() -> int:
+    """Deletes what written() has made so far, once no result needs it any more; how many folders."""
+    gone = 0
+    while _WRITTEN:
+        spark, where = _WRITTEN.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(where)
+            gone += bool(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True))
+        except (Py4JError, AttributeError, OSError):  # a session that has stopped
+            continue
+    return gone
+
+
+atexit.register(release)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """`df` without the columns of these names, in whatever case."""
+    lower = {n.lower() for n in names}
+    return df.select(*(F.col(quoted(c)) for c in df.columns if c.lower() not in lower))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, name: str = "row"):
+    """All columns of `df` as one struct, so that no name of a caller's column meets one of ours."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias(name) if df.columns else F.lit(None).alias(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
