@@ -2,12 +2,13 @@
 
 Lines are exploded, their normalised form is hashed (MD5, 128 bits, so that no two lines of any
 corpus meet by chance), distinct documents are counted for each hash, and the lines of frequent
-hashes lose their place everywhere but in the smallest doc_id. Only hashes, ids and positions are
-shuffled up to here. Documents then meet the positions they lose and are reassembled in order.
+hashes lose their place everywhere but in the smallest doc_id. Hashes, ids and positions are written once
+and read for both the count and the join; only they are shuffled up to there. Documents then meet the
+positions they lose and are reassembled in order.
 
-Hot lines: distinct (line, document) pairs are dealt by both columns, counts are pre-aggregated,
-and the join back on the hash is salted by document; adaptive execution may split it further.
-Nothing is collected; all expressions are native.
+Hot lines: distinct (line, document) pairs are dealt by both columns and counts are pre-aggregated. The
+frequent hashes are a table of their own, so that adaptive execution can broadcast it while it is small
+and split a hot hash of the join over tasks otherwise. Nothing is collected; all expressions are native.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import table
+from ._session import packed, quoted, table, without, written
 
-SALTS = 16
 _BLANK = " \t\n\u000b\f\r"
 
 
@@ -34,6 +34,16 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(_BLANK)))
 
 
+def _hashed(stripped: Column) -> Column:
+    """MD5 of a stripped line, the same for two lines exactly if they differ in the case of A-Z only.
+
+    The UTF-8 bytes are read as Latin-1 and put in lower case, many times as fast as translate(). Besides
+    A-Z that changes lead bytes C0 to DE to E0 to FE and no byte that continues a character. Whether one
+    or more bytes continue it still tells the two kinds of lead bytes apart, so no two lines become one.
+    """
+    return F.unhex(F.md5(F.lower(F.decode(stripped.cast("binary"), "ISO-8859-1"))))
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """All rows and columns of `docs` with the text rebuilt, plus `n_lines` (before) and `n_dropped`.
 
@@ -42,47 +52,41 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Null or empty text: one empty line, kept; the text becomes "". Rows with a null id keep all
     lines and don't count as holders. Rows that repeat an id count as one document; each row is
-    rebuilt from its own text. Further columns pass through; columns of `docs` named `n_lines` or
-    `n_dropped` are replaced. An empty table gives an empty result.
+    rebuilt from its own text, so that of equal lines within the first holder all stay. Ties don't arise: ids are
+    compared, and equal ids are one document. Very long texts are exploded like others: a task holds one text and
+    the positions it loses. Further columns pass through, whatever their names; columns of `docs` named
+    `n_lines` or `n_dropped` are replaced. An empty table gives an empty result.
     """
-    docs = docs.drop(*({"n_lines", "n_dropped"} & set(docs.columns)))
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    lines = (
-        docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_of"), F.posexplode(F.split(F.col(text_col), "\n")).alias("_pos", "_line"))
-        .select("_doc", "_of", "_pos", line_key(F.col("_line")).alias("_key"))
-        .filter(F.char_length("_key") >= min_chars)
-        .select("_doc", "_of", "_pos", F.unhex(F.md5("_key")).alias("_key"))
+    docs = without(docs, "n_lines", "n_dropped")
+    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    stripped = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANK)))
+    lines = written(
+        docs.filter(id_.isNotNull() & text.isNotNull())
+        .select(id_.alias("doc"), F.xxhash64(text).alias("of"), F.posexplode(stripped).alias("pos", "line"))
+        .filter(F.char_length("line") >= min_chars)
+        .select("doc", "of", "pos", _hashed(F.col("line")).alias("key"))
     )
-    frequent = (
-        lines.select("_key", "_doc")
+    frequent = written(
+        lines.select("key", "doc")
         .distinct()
-        .groupBy("_key")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_doc").alias("_first"))
-        .filter(F.col("_n") >= min_docs)
-        .select("_key", "_first")
-    )
-    # Lines meet their hash in one of SALTS parts by document, so that a hot hash is several groups.
-    part = F.pmod(F.xxhash64("_doc"), F.lit(SALTS))
-    lost = (
-        lines.withColumn("_part", part)
-        .join(frequent.select("_key", "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_part")), ["_key", "_part"])
-        .filter(F.col("_doc") > F.col("_first"))
-        .groupBy("_doc", "_of")
-        .agg(F.collect_set("_pos").alias("_lost"))
+        .groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
+        .filter(F.col("n") >= min_docs)
+        .select("key", "first")
     )
-    own = docs.withColumns({"_doc": F.col(id_col), "_of": F.xxhash64(text_col)})
-    both = own.join(lost.hint("shuffle_hash"), ["_doc", "_of"], "left")
-    split = F.split(body, "\n")
+    lost = lines.join(frequent, "key").filter(F.col("doc") > F.col("first")).groupBy("doc", "of").agg(F.collect_set("pos").alias("lost"))
+    own = docs.select(packed(docs), id_.alias("doc"), F.xxhash64(text).alias("of"))
+    both = own.join(lost.hint("shuffle_hash"), ["doc", "of"], "left")
+    body = F.coalesce(F.col("row").getField(text_col), F.lit(""))
     # The split array is bound to a lambda variable so that it is computed once, not once a line.
     rebuilt = F.transform(
-        F.array(split),
-        lambda whole: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("_lost")), lambda i: F.get(whole, i)), "\n"),
+        F.array(F.split(body, "\n")),
+        lambda whole: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("lost")), lambda i: F.get(whole, i)), "\n"),
     )[0]
     n_lines = F.char_length(body) - F.char_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
-    out[text_col] = F.when(F.col("_lost").isNull(), body).otherwise(rebuilt).alias(text_col)
-    return both.select(*out.values(), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"))
+    out = {c: F.col("row").getField(c).alias(c) for c in docs.columns}
+    out[text_col] = F.when(F.col("lost").isNull(), body).otherwise(rebuilt).alias(text_col)
+    return both.select(*out.values(), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
