@@ -41,6 +41,27 @@ def _contexts(flat: np.ndarray, starts: np.ndarray, order: int):
         context = np.where(depth >= n, mix64(context * _STEP + code[prior]), context)
 
 
+class _Sorted:
+    """A sorted array of hashes with the place where each run of equal leading bits begins, so that a search
+    takes a step or two in place of one for each doubling of the array."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n = len(keys)
+        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        bits = max(1, min(24, int(self.n).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each wanted hash, and whether it is there."""
+        at = self.begin[wanted >> self.shift]
+        low = np.flatnonzero(self.keys[at] < wanted)
+        while len(low):
+            at[low] += 1
+            low = low[self.keys[at[low]] < wanted[low]]
+        return at, (self.keys[at] == wanted) & (at < self.n)
+
+
 class CharModels:
     """Models of K classes over the same texts' alphabet."""
 
@@ -93,7 +114,8 @@ class CharModels:
                     rest = np.where(total > 0, kinds / np.maximum(total + kinds, 1e-9), 1.0)
                 share[np.searchsorted(keys, own), k] = value
                 left[:, k] = np.minimum(rest, 1.0)
-            self.tables.append((keys, share, heads, left))
+            ends = np.zeros((1, len(samples)), dtype=np.float32)
+            self.tables.append((_Sorted(keys), np.concatenate([share, ends]), _Sorted(heads), np.concatenate([left, ends + 1])))
         return self
 
     def log_probs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +137,12 @@ class CharModels:
         for (keys, share, heads, left), (n, at, depth, context, gram) in zip(self.tables, _contexts(flat, starts, self.order)):
             if p is None:
                 p = np.full((len(at), k), self.floor, dtype=np.float32)
-            own = np.flatnonzero(depth >= n - 1) if n > 1 else np.arange(len(at))
-            i = np.searchsorted(heads, context[own])
-            i[i == len(heads)] = 0
-            known = heads[i] == context[own]
-            own, i = own[known], i[known]
-            p[own] *= left[i]
-            j = np.searchsorted(keys, gram[own])
-            j[j == len(keys)] = 0
-            seen = keys[j] == gram[own]
-            p[own[seen]] += share[j[seen]]
+            i, known = heads.find(context)
+            j, seen = keys.find(gram)
+            known &= depth >= n - 1
+            # The last rows stand for contexts and n-grams that aren't there.
+            p *= left.take(np.where(known, i, len(left) - 1), axis=0)
+            p += share.take(np.where(seen & known, j, len(share) - 1), axis=0)
         sizes = np.diff(starts) - 1
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         return np.add.reduceat(np.log(p, dtype=np.float64), first, axis=0), sizes
