@@ -58,44 +58,92 @@ def sensitivity(name: str) -> float:
     return max((w for s, w in STEMS.items() if s in flat), default=0.0)
 
 
-def shape(literal: str) -> float:
-    """How much a literal looks like a credential: 0 to 1, from length, character classes and entropy."""
-    n = len(literal)
-    if n < 6 or _DULL.match(literal) or any(c.isspace() for c in literal):
+def _judged(n: float, counts: dict[str, float], dull: bool) -> float:
+    """0 to 1, from length, character classes and entropy of what has these counts of characters."""
+    if n < 6 or dull or any(c.isspace() for c in counts):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    classes = sum(any(map(re.compile(p).match, counts)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.25 * min(n, 20) / 20 + 0.5 * min(entropy, 3.5) / 3.5 + 0.25 * min(classes, 3) / 3)
 
 
+def shape(literal: str) -> float:
+    """How much a literal looks like a credential: 0 to 1."""
+    return _judged(len(literal), Counter(literal), bool(_DULL.match(literal)))
+
+
+#: Characters of a joined value that are held against the placeholders.
+HEAD_CHARS = 256
+
+
+class _Value:
+    """What a name is bound to: its own literals, the values joined to them, and what shape needs of it all.
+
+    Values form a graph; a value that joins another holds no copy of its literals, so that chains of joins take
+    time and memory in proportion to the text.
+    """
+
+    __slots__ = ("spans", "parts", "head", "n", "counts", "score")
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[_Value] = []
+        self.head, self.n, self.counts, self.score = "", 0.0, {}, 0.0
+
+    def _count(self, n: float, counts) -> None:
+        self.n += n
+        for c, k in counts.items():
+            self.counts[c] = self.counts.get(c, 0.0) + k
+        if self.n > 1e100:  # doublings of doublings: only proportions matter
+            self.counts = {c: k * 1e-90 for c, k in self.counts.items()}
+            self.n *= 1e-90
+
+    def add(self, start: int, literal: str) -> None:
+        self.spans.append((start, start + len(literal)))
+        self.head = (self.head + literal)[:HEAD_CHARS] if self.parts or len(self.spans) > 1 else literal
+        self._count(len(literal), Counter(literal))
+
+    def join(self, other: _Value) -> None:
+        self.parts.append(other)
+        self.head = (self.head + other.head)[:HEAD_CHARS]
+        self._count(other.n, other.counts)
+
+    def shape(self) -> float:
+        return _judged(self.n, self.counts, bool(_DULL.match(self.head)))
+
+
 def literals(text: str) -> list[tuple[int, int, float]]:
     """Spans of literals that flow to sensitive names, with their scores."""
-    bound: dict[str, list[tuple[int, int, str]]] = {}
-    found: dict[tuple[int, int], float] = {}
+    bound: dict[str, _Value] = {}
+    values: list[_Value] = []
     for m in _PAIR.finditer(text):
-        own: list[tuple[int, int, str]] = []
+        own = _Value()
         parts = list(_PART.finditer(m["value"]))
         for p in parts:
             raw, at = p[0], m.start("value") + p.start()
             if raw[-1] in "\"'":
                 lead = re.match(r"[rbfuRBFU]{0,2}[\"']", raw)
-                own.append((at + lead.end(), at + len(raw) - 1, raw[lead.end() : -1]))
+                own.add(at + lead.end(), raw[lead.end() : -1])
             elif raw in bound:
-                own += bound[raw]
+                own.join(bound[raw])
             elif not (_NAME.match(raw) and len(parts) > 1):
-                end = len(raw.rstrip(".!?*%$&#"))
-                own.append((at, at + end, raw[:end]))
+                own.add(at, raw.rstrip(".!?*%$&#"))
         bound[m["name"]] = own
+        values.append(own)
         weight = sensitivity(m["name"])
         if weight:
-            # A value in pieces is judged as a whole, and each piece is reported.
-            whole = shape("".join(x for _, _, x in own))
             # A bare word after a colon is prose far more often than configuration.
             bare = m["op"] == ":" and not m["close"] and m["value"][0] not in "\"'" and not any(c.isdigit() for c in m["value"])
-            score = 0.0 if bare else weight * whole
-            for a, b, x in own:
-                if b > a and score >= THRESHOLD:
-                    found[a, b] = max(found.get((a, b), 0.0), score)
+            # A value in pieces is judged as a whole, and each piece is reported.
+            own.score = 0.0 if bare else weight * own.shape()
+    found: dict[tuple[int, int], float] = {}
+    for own in reversed(values):  # what a value joins was bound before it
+        if own.score >= THRESHOLD:
+            for part in own.parts:
+                part.score = max(part.score, own.score)
+            for span in own.spans:
+                if span[1] > span[0]:
+                    found[span] = max(found.get(span, 0.0), own.score)
     return sorted((a, b, s) for (a, b), s in found.items())
 
 
@@ -128,7 +176,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     of structs (kind, start, end) in code points, ends exclusive.
 
     Null and empty texts have no spans; rows that repeat an id are scanned each by itself; other
-    columns of `docs` are left aside; an empty table gives an empty result.
+    columns of `docs`, whatever their names, are left aside; an empty table gives an empty result. Very long
+    texts are scanned whole, in time in proportion to their length. A name that is bound again takes the later
+    value from there on; spans that start together go by kind as listed.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
