@@ -3,8 +3,9 @@
 Each text is measured once (words, symbols, repeated lines, repeated 3-word windows). Rule failures
 are summed by host, the failure rate of each host is shrunk towards the rate of all hosts with a
 beta prior fitted to the spread between hosts (method of moments), and the verdict goes back to the
-host's documents: on a host that mostly fails a rule the rule is applied strictly, elsewhere only
-its lenient limit counts. A document that passes the strict limits is kept on every host.
+host's documents: on a host whose shrunk rate for a rule lies above the rate of all hosts by `STRICT_FROM`
+standard deviations of its posterior, the rule is applied strictly, elsewhere only its lenient limit
+counts. A document that passes the strict limits is kept on every host.
 
 One pass over the texts in Arrow batches; only the measures, without text, are written to the shared
 folder, summed by host (pre-aggregated, so a hot host is one row a task) and joined back. The
@@ -29,7 +30,7 @@ RULES = {
     "dup_lines": ("n_dup_lines", "n_lines", 0.3, 0.6),
     "word_length": ("word_chars", "n_words", 30.0, 100.0),
 }
-STRICT_FROM = 0.5
+STRICT_FROM = 1.0
 PRECISION = (1.0, 10_000.0)
 
 
@@ -109,7 +110,9 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
         v = (spread[r] or 0.0) / total if total else 0.0
         s = min(max(m * (1 - m) / v - 1, PRECISION[0]), PRECISION[1]) if v > 0 else PRECISION[1]
         rate = (F.col(r) + F.lit(m * s)) / (F.col("n") + F.lit(s))
-        out = out.withColumns({f"{r}_rate": rate, f"{r}_strict": rate > F.lit(STRICT_FROM)})
+        # How far the rate stands above that of all hosts, against the spread of the host's beta posterior.
+        sure = F.sqrt(rate * (F.lit(1.0) - rate) / (F.col("n") + F.lit(s + 1.0)))
+        out = out.withColumns({f"{r}_rate": rate, f"{r}_strict": rate - F.lit(m) > F.lit(STRICT_FROM) * sure})
     return out.select(F.col("host").alias("_host"), *(c for r in RULES for c in (f"{r}_rate", f"{r}_strict")))
 
 
@@ -118,7 +121,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     rate on the host, and kept.
 
     Null text counts as no words and fails the base rule; a null host is a host of its own; rows
-    that repeat an id are judged each by itself. An empty table gives an empty result.
+    that repeat an id are judged each by itself. Of equal words, lines or windows each counts; a rate
+    that equals its limit passes. A very long text is measured whole, as one row of one task. Other columns of
+    `docs`, whatever their names, are left aside. An empty table gives an empty result.
     """
     measured = written(measures(docs, id_col, host_col, text_col))
     both = measured.join(host_verdicts(measured), F.col("host").eqNullSafe(F.col("_host")), "left")
@@ -140,7 +145,8 @@ def _sql() -> str:
     means = ", ".join(f"sum({r}) / sum(n) AS m_{r}" for r in RULES)
     spreads = ", ".join(f"sum(n * pow({r} / n - m_{r}, 2)) / sum(n) AS v_{r}" for r in RULES)
     prior = ", ".join(f"m_{r}, CASE WHEN v_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, {PRECISION[0]!r}), {PRECISION[1]!r}) ELSE {PRECISION[1]!r} END AS s_{r}" for r in RULES)
-    strict = ", ".join(f"({r} + m_{r} * s_{r}) / (n + s_{r}) > {STRICT_FROM!r} AS strict_{r}" for r in RULES)
+    rates = ", ".join(f"({r} + m_{r} * s_{r}) / (n + s_{r}) AS r_{r}, s_{r}, m_{r}" for r in RULES)
+    strict = ", ".join(f"r_{r} - m_{r} > {STRICT_FROM!r} * sqrt(r_{r} * (1 - r_{r}) / (n + s_{r} + 1)) AS strict_{r}" for r in RULES)
     failed = " OR ".join(f"({over(r, 3)}) OR (strict_{r} AND {over(r, 2)})" for r in RULES)
     word = r"[^\x20\x09-\x0D]+"
     return rf"""
@@ -162,7 +168,8 @@ line AS (
 ), host AS (SELECT source, count(*)::DOUBLE AS n, {sums} FROM m GROUP BY source),
 mean AS (SELECT {means} FROM host), spread AS (SELECT {spreads} FROM host, mean),
 prior AS (SELECT {prior} FROM mean, spread),
-verdict AS (SELECT source AS host, {strict} FROM host, prior)
+rate AS (SELECT source AS host, n, {rates} FROM host, prior),
+verdict AS (SELECT host, {strict} FROM rate)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({failed}) AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m) x
 JOIN verdict ON source IS NOT DISTINCT FROM host
