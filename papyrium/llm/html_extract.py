@@ -17,13 +17,15 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._batch import bounded
-from ._session import ship, table
+from ._session import packed, quoted, ship, table, without
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
@@ -143,10 +145,52 @@ def _settle(top: _Node) -> None:
         n.children = [c for c in n.children if not c.doubt]
 
 
+class _Open:
+    """The open elements, and where in the stack those of a name stand, so that no tag walks the stack."""
+
+    def __init__(self, top: _Node):
+        self.stack = [top]
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # all but inline elements
+        self.walls: list[int] = []  # and but paragraphs: a stray inline end doesn't close them
+
+    def push(self, node: _Node) -> None:
+        i = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(i)
+        if node.tag not in INLINE:
+            self.solid.append(i)
+            if node.tag != "p":
+                self.walls.append(i)
+
+    def pop(self) -> _Node:
+        node = self.stack.pop()
+        self.places[node.tag].pop()
+        if node.tag not in INLINE:
+            self.solid.pop()
+            if node.tag != "p":
+                self.walls.pop()
+        return node
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of these names, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first(self, tags, after: int) -> int:
+        """Place of the outermost open element with one of these names inside the place `after`, 0 if there is none."""
+        found = []
+        for t in tags:
+            own = self.places.get(t, ())
+            k = bisect_right(own, after)
+            found += own[k : k + 1]
+        return min(found, default=0)
+
+
 def _parse(page: str):
     """The tree and the text pieces in page order: (node, text) with None for a break between blocks."""
     top = _Node("html", None)
-    stack, pieces, at = [top], [], 0
+    opened = _Open(top)
+    stack, pieces, at = opened.stack, [], 0
 
     def text(raw):
         node = stack[-1]
@@ -161,7 +205,7 @@ def _parse(page: str):
 
     def pop_to(i):
         while len(stack) > i:
-            if stack.pop().tag not in INLINE:
+            if opened.pop().tag not in INLINE:
                 pieces.append((stack[-1], None))
 
     end = len(page)
@@ -185,36 +229,23 @@ def _parse(page: str):
             continue
         tag = m[3].lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE and stack[i].tag != "p":
-                    break  # a stray inline end doesn't close blocks
+            i = opened.last((tag,))
+            if i and not (tag in INLINE and opened.walls and opened.walls[-1] > i):
+                pop_to(i)
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+        if tag in ENDS_P and opened.solid and stack[opened.solid[-1]].tag == "p":
+            pop_to(opened.solid[-1])
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             pop_to(len(stack) - 1)
         if tag in CLOSES:
-            stop = STOPS.get(tag, {"table"})
-            low = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in CLOSES[tag]:
-                    low = i
-            if low is not None:
-                pop_to(low)
+            i = opened.first(CLOSES[tag], opened.last(STOPS.get(tag, {"table"})))
+            if i:
+                pop_to(i)
         parent = stack[-1]
         if tag in ("html", "body"):
             if tag == "body":
-                del stack[1:]
+                while len(stack) > 1:
+                    opened.pop()
                 parent = top
             else:
                 continue
@@ -234,7 +265,7 @@ def _parse(page: str):
             pieces.append((node, None))
         if m[4].endswith("/") and tag not in INLINE and tag not in ENDS_P:
             continue
-        stack.append(node)
+        opened.push(node)
     pop_to(1)
     _settle(top)
     return top, [x for x in pieces if x[1] is None or not x[0].gone]
@@ -278,11 +309,6 @@ def extract(page: str | None) -> str:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     root = next((n for n in reversed(path) if n.root), None)
-    if root is None and best.chars:
-        # The largest element that says it is the article, if it holds a good part of the text.
-        named = max((n for n in order if n.root), key=lambda n: n.chars, default=None)
-        if named is not None and 4 * named.chars >= top.chars:
-            root = named
     if root is not None:
         root.keep = True
     else:
@@ -314,20 +340,23 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """All rows and columns of `pages` except the html, plus `out_col`, the main text.
 
-    Null and empty pages give an empty text; a column that is called like the result is replaced;
-    repeated rows are extracted each by itself; an empty table gives an empty result.
+    Null and empty pages give an empty text; a column that is called like the result is replaced, others
+    pass through, whatever their names; repeated rows are extracted each by itself; of equal density sums the
+    first in page order wins; very long pages are read whole, in time in proportion to their length; an
+    empty table gives an empty result.
     """
     ship(pages.sparkSession)
-    rest = [c for c in pages.columns if c not in (html_col, out_col)]
-    rows = pages.select(*(F.col(f"`{c}`") for c in rest), F.col(html_col).alias("_html"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    rest = without(pages, html_col, out_col)
+    rows = pages.select(packed(rest), F.col(quoted(html_col)).alias("html"))
 
     def scan(batches):
-        for batch in bounded(batches, "_html"):
-            texts = pa.array([extract(x) for x in batch.column("_html").to_pylist()], type=pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*rest, out_col])
+        for batch in bounded(batches, "html"):
+            texts = pa.array([extract(x) for x in batch.column("html").to_pylist()], type=pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts], ["row", "text"])
 
-    return rows.mapInArrow(scan, f"{schema}`{out_col}` string")
+    kinds = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
+    out = rows.mapInArrow(scan, kinds)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in rest.columns), F.col("text").alias(out_col))
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
