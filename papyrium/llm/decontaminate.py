@@ -3,7 +3,7 @@
 Words are maximal runs of digits, letters a-z and any non-ASCII characters of the text in lower case
 (A-Z only). A window is ten consecutive words of a benchmark item, or all words of a shorter one.
 Every document is scanned once against the set of window hashes; each hash that hits is verified
-word by word against the item that it came from, so a chance collision can't mark a word.
+word by word against an item that it came from, so a chance collision can't mark a word.
 
 The set is broadcast only in blocks of a bounded number of benchmark words (`block_words`); a benchmark
 beyond the bound takes one scan for each block, and the hits of a document are merged by its key.
@@ -11,73 +11,85 @@ beyond the bound takes one scan for each block, and the hits of a document are m
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._batch import Spans, Texts, bounded, sequence_hash
-from ._session import ship, table
+from ._session import packed, quoted, ship, table, without, written
 
 WINDOW = 10
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 DELIMITERS = (*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
 _BITS = 22
 
 
 class _Block:
-    """Windows of some items: sorted hashes, and for each the items and a place to verify it at."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        from collections import defaultdict
-
-        self.items = items
-        found: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, words) in enumerate(items):
-            m = min(window, len(words))
-            if not m:
-                continue
-            texts = Texts(pa.array([b" ".join(words)], type=pa.large_binary()))
-            h = sequence_hash(Spans(texts, DELIMITERS).hashes(), m)
-            for i, x in enumerate(h.tolist()):
-                found[m][x].append((k, i))
+    """Windows of some items in flat arrays: about 50 bytes for each word of the benchmark.
+
+    The words' bytes and hashes stand one after another; a window of length m is the place of its first word.
+    By length there are the sorted distinct window hashes, for each a place to verify it at, and the items
+    that hold it (`items[first[k] : first[k + 1]]`, by number).
+    """
+
+    def __init__(self, names: list[str], texts: Texts, window: int):
+        words = Spans(texts, DELIMITERS)
+        self.names = names
+        self.data, self.starts, self.ends, self.hashes = texts.data, words.starts, words.ends, words.hashes()
         self.by_length = {}
-        for m, by_hash in found.items():
-            keys = np.array(sorted(by_hash), dtype=np.uint64)
+        sizes = words.per_row()
+        length = np.minimum(sizes, window)
+        for m in np.unique(length[length > 0]).tolist() if len(length) else []:
+            # Places whose next m words are one item's, in items of this window length.
+            at = np.arange(len(words))
+            at = at[(length[words.row] == m) & (at + m <= words.last[words.row])]
+            h = sequence_hash(self.hashes, m)[at]
+            order = np.lexsort((at, words.row[at], h))
+            h, at, item = h[order], at[order], words.row[at][order]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            own = new | np.concatenate([[True], item[1:] != item[:-1]])  # an item once for each window
+            keys, place = h[new], at[new]
+            first = np.append(np.flatnonzero(new[own]), own.sum())
             near = np.zeros(1 << _BITS, dtype=bool)
             near[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.by_length[m] = keys, near, [by_hash[x] for x in keys.tolist()]
-
+            self.by_length[m] = keys, near, place.astype(np.int64), item[own].astype(np.int32), first
 
-def _items(bench: DataFrame, id_col: str, text_col: str):
-    """Items with words in a fixed order, fetched a partition at a time."""
-    rows = bench.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text IS NOT NULL AND item IS NOT NULL")
-    for r in rows.orderBy("item", "text").toLocalIterator():
-        texts = Texts(pa.array([r["text"]])).lowered()
-        s = Spans(texts, DELIMITERS)
-        yield r["item"], [texts.data[a:b].tobytes() for a, b in zip(s.starts, s.ends)]
+    def same(self, place: int, m: int, texts: Texts, words: Spans, at: int) -> bool:
+        """Whether the m words from `place` on are those of the text from `at` on, byte by byte."""
+        return all(
+            np.array_equal(self.data[self.starts[place + i] : self.ends[place + i]], texts.data[words.starts[at + i] : words.ends[at + i]])
+            for i in range(m)
+        )
 
 
 def _blocks(bench: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
-    own, used = [], 0
-    for item, words in _items(bench, id_col, text_col):
-        if own and used + len(words) > block_words:
-            yield _Block(own, window)
-            own, used = [], 0
-        own.append((item, words))
-        used += len(words)
-    if own:
-        yield _Block(own, window)
+    """Items with words in a fixed order, fetched a partition at a time, in blocks of at most `block_words`."""
+    rows = bench.select(F.col(quoted(id_col)).cast("string").alias("item"), F.col(quoted(text_col)).alias("text")).filter("text IS NOT NULL AND item IS NOT NULL")
+    counted = rows.withColumn("n", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).filter("n > 0")
+    names, texts, used = [], [], 0
+    for r in counted.orderBy("item", "text").toLocalIterator():
+        if names and used + r["n"] > block_words:
+            yield _Block(names, Texts(pa.array(texts, type=pa.large_string())).lowered(), window)
+            names, texts, used = [], [], 0
+        names.append(r["item"])
+        texts.append(r["text"])
+        used += r["n"]
+    if names:
+        yield _Block(names, Texts(pa.array(texts, type=pa.large_string())).lowered(), window)
 
 
 def _hits(block: _Block, texts: Texts, words: Spans):
     """Marked words, and the (row, item) pairs found."""
     hit = np.zeros(len(words) + 1, dtype=np.int64)
-    pairs = set()
+    pairs = []
     if not len(words):
-        return hit[:0].astype(bool), pairs
+        return hit[:0].astype(bool), []
     h = words.hashes()
-    for m, (keys, near, places) in block.by_length.items():
+    for m, (keys, near, place, items, first) in block.by_length.items():
         if len(words) < m:
             continue
         w = sequence_hash(h, m)
@@ -86,13 +98,21 @@ def _hits(block: _Block, texts: Texts, words: Spans):
         at = np.searchsorted(keys, w[maybe])
         at[at == len(keys)] = 0
         true = keys[at] == w[maybe]
-        for i, k in zip(maybe[true].tolist(), at[true].tolist()):
-            text = [texts.data[a:b].tobytes() for a, b in zip(words.starts[i : i + m].tolist(), words.ends[i : i + m].tolist())]
-            same = [j for j, p in places[k] if block.items[j][1][p : p + m] == text]
-            if same:
-                hit[i] += 1
-                hit[i + m] -= 1
-                pairs.update((int(words.row[i]), j) for j in same)
+        maybe, at = maybe[true], at[true]
+        # Every word's hash is compared, and byte by byte the first of a batch's hits on a window.
+        for i in range(m):
+            good = h[maybe + i] == block.hashes[place[at] + i]
+            maybe, at = maybe[good], at[good]
+        _, one, back = np.unique(at, return_index=True, return_inverse=True)
+        good = np.array([block.same(int(place[at[i]]), m, texts, words, int(maybe[i])) for i in one.tolist()], dtype=bool)[back]
+        maybe, at = maybe[good], at[good]
+        np.add.at(hit, maybe, 1)
+        np.add.at(hit, maybe + m, -1)
+        if len(at):
+            n = first[at + 1] - first[at]
+            begin = np.repeat(first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            both = np.stack([np.repeat(words.row[maybe], n), items[begin + np.arange(int(n.sum()))]], axis=1)
+            pairs += np.unique(both, axis=0).tolist()
     return np.cumsum(hit[:-1]) > 0, pairs
 
 
@@ -104,28 +124,30 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
     from its first to its last character; "documents" drops contaminated rows.
 
     Null texts have no words. Items without words or id match nothing; items that repeat an id count
-    once. Rows of `docs` that repeat an id are judged each by itself. Columns of `docs` with the
-    names of results are replaced. An empty benchmark marks nothing.
+    once. Rows of `docs` that repeat an id are judged each by itself; of equal windows in several items all
+    items count. Very long texts are scanned whole. Columns of `docs` with the names of results are replaced,
+    others pass through, whatever their names. An empty table gives an empty result, an empty benchmark marks
+    nothing.
     """
     spark = ship(docs.sparkSession)
     new = ["n_words", "n_hit", "items", "contaminated"]
-    docs = docs.drop(*({*new} & set(docs.columns)))
+    docs = without(docs, *new)
     blocks = _blocks(bench, item_col, item_text, window, block_words)
-    first = next(blocks, None) or _Block([], window)
+    first = next(blocks, None) or _Block([], Texts(pa.array([], type=pa.large_string())), window)
     second = next(blocks, None)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    names = docs.columns
+    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    rows = docs.select(packed(docs), id_.alias("id"), text.alias("text"))
 
-    def scanner(block, with_spans):
+    def scanner(block):
         def scan(batches):
             own = block.value
-            for batch in bounded(batches, text_col):
-                texts = Texts(batch.column(text_col))
+            for batch in bounded(batches, "text"):
+                texts = Texts(batch.column("text"))
                 words = Spans(texts.lowered(), DELIMITERS)
                 hit, pairs = _hits(own, words.texts, words)
                 items = [[] for _ in range(texts.n)]
-                for row, j in sorted(pairs):
-                    items[row].append(own.items[j][0])
+                for row, j in pairs:
+                    items[row].append(own.names[j])
                 items = [sorted(set(x)) for x in items]
                 runs = [[] for _ in range(texts.n)]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
@@ -133,40 +155,37 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
                     while a < b:  # a run of hit words may go on into the next row
                         row = int(words.row[a])
                         c = min(b, int(words.last[row]))
-                        runs[row].append((int(words.starts[a] - texts.starts[row]), int(words.ends[c - 1] - texts.starts[row]), int(a - words.first[row]), int(c - words.first[row])))
+                        runs[row] += (int(words.starts[a] - texts.starts[row]), int(words.ends[c - 1] - texts.starts[row]), int(a - words.first[row]), int(c - words.first[row]))
                         a = c
                 n_hit = np.bincount(words.row[hit], minlength=texts.n) if len(words) else np.zeros(texts.n, dtype=np.int64)
-                extra = [pa.array(words.per_row().astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(items, type=pa.list_(pa.string()))]
-                if with_spans:
-                    extra.append(pa.array([[x for r in rs for x in r] for rs in runs], type=pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, *("n_words", "n_hit", "items", "_runs")[: len(extra)]])
+                extra = [pa.array(words.per_row().astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(items, type=pa.list_(pa.string())), pa.array(runs, type=pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "n_words", "n_hit", "items", "runs"])
 
         return scan
 
-    def one(block, with_spans):
-        return docs.mapInArrow(scanner(spark.sparkContext.broadcast(block), with_spans), f"{schema}{', ' if schema else ''}n_words long, n_hit long, items array<string>" + ", _runs array<long>" * with_spans)
+    kinds = T.StructType([*rows.schema.fields, *(T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("runs", T.ArrayType(T.LongType()))))])
+
+    def one(block):
+        return rows.mapInArrow(scanner(spark.sparkContext.broadcast(block)), kinds)
 
-    spans = action == "spans" or second is not None
-    out = one(first, spans)
+    out = one(first)
     if second is not None:
         # Beyond the bound: a scan for each block; the same row meets itself by id and text.
-        key = [F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_of")]
-        for block in (second, *blocks):
-            more = one(block, True).select(*key, "_runs", "items").filter(F.size("items") > 0).groupBy("_doc", "_of").agg(F.first("_runs").alias("_more"), F.first("items").alias("_items"))
-            joined = out.join(more, F.col(id_col).eqNullSafe(F.col("_doc")) & F.xxhash64(text_col).eqNullSafe(F.col("_of")), "left")
-            out = joined.withColumns({"_runs": F.when(F.col("_more").isNull(), F.col("_runs")).otherwise(F.concat("_runs", "_more")), "items": F.array_sort(F.array_union("items", F.coalesce("_items", F.array().cast("array<string>"))))}).drop("_doc", "_of", "_more", "_items")
-    if spans:
-        kinds = docs.schema[text_col].dataType.simpleString()
-
-        @F.pandas_udf(f"text {kinds}, n_hit long")
+        key = [F.col("id").alias("doc"), F.xxhash64("text").alias("of")]
+        for block in itertools.chain((second,), blocks):
+            more = written(one(block).filter(F.size("items") > 0).select(*key, F.col("runs").alias("more"), F.col("items").alias("others"))).groupBy("doc", "of").agg(F.first("more").alias("more"), F.first("others").alias("others"))
+            joined = out.join(more, F.col("id").eqNullSafe(F.col("doc")) & F.xxhash64("text").eqNullSafe(F.col("of")), "left")
+            out = joined.withColumns({"runs": F.when(F.col("more").isNull(), F.col("runs")).otherwise(F.concat("runs", "more")), "items": F.array_sort(F.array_union("items", F.coalesce("others", F.array().cast("array<string>"))))}).drop("doc", "of", "more", "others")
+    if action == "spans" or second is not None:
+
+        @F.pandas_udf("text string, n_hit long")
         def settle(text, runs):
             import pandas as pd
 
             texts, hits = [], []
             for t, r in zip(text, runs):
-                rows = sorted(zip(*[iter([int(x) for x in r])] * 4))
                 merged = []
-                for a, b, i, j in rows:
+                for a, b, i, j in sorted(zip(*[iter([int(x) for x in r])] * 4)):
                     if merged and i <= merged[-1][3]:
                         merged[-1] = (merged[-1][0], max(merged[-1][1], b), merged[-1][2], max(merged[-1][3], j))
                     else:
@@ -181,14 +200,13 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
                 texts.append(t)
             return pd.DataFrame({"text": texts, "n_hit": hits})
 
-        out = out.withColumn("_settled", settle(text_col, "_runs")).withColumn("n_hit", F.col("_settled.n_hit"))
-        if action == "spans":
-            out = out.withColumn(text_col, F.col("_settled.text"))
-        out = out.drop("_settled", "_runs")
-    out = out.withColumn("contaminated", F.col("n_hit") > 0)
+        out = out.withColumn("settled", settle("text", "runs")).withColumn("n_hit", F.col("settled.n_hit"))
     if action == "documents":
-        out = out.filter(~F.col("contaminated"))
-    return out.select(*(F.col(f"`{c}`") for c in names), *new)
+        out = out.filter(F.col("n_hit") == 0)
+    own = {c: F.col("row").getField(c).alias(c) for c in docs.columns}
+    if action == "spans":
+        own[text_col] = F.col("settled.text").alias(text_col)
+    return out.select(*own.values(), "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
