@@ -7,10 +7,10 @@ first n - a + 1 shingles meet. The join goes through filters that all keep every
 1. Equal sets are one class (128-bit signature); one of them stands for it.
 2. Under a hash order, the first 2 (n - a) + 1 shingles of a set share at least half with a partner. Sets
    with fewer shingles that any other class has in its own prefix have no partner.
-3. For the rest, shingles are ordered by document frequency, rarest first, under three different
-   tie-breaks. Candidates must meet in the prefixes of all three orders, and where they first meet
-   enough of both sets must still lie ahead.
-4. Candidates that meet are verified on whole sets.
+3. For the rest, shingles that several sets hold are put in three orders that have nothing in common: by
+   document frequency, rarest first, and by two hashes. Candidates must meet in the prefixes of all three
+   orders, and where they first meet enough of both sets must still lie ahead.
+4. Candidates that meet in all of them are verified on whole sets.
 
 Groups of near copies are contracted on the way: first each prefix shingle links its documents to one
 of them, and components are formed; then only candidates of different components are paired. So no pair of
@@ -119,6 +119,13 @@ def _whole_sets(docs: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64("_id")).mapInArrow(scan, f"node {kind}, shingles array<long>")
 
 
+def _meeting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that meet in the prefixes of the second and third order, too."""
+    left = nodes.select(F.col("node").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
+    right = nodes.select(F.col("node").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
+    return pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
@@ -134,7 +141,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     Words are runs without ASCII white space of the text in lower case (A-Z). A text of fewer than
     `shingle` words has its whole sequence as one shingle. Null, empty and blank texts have no
     shingles and link with nothing. Rows that repeat an id are one node of the graph. Rows with a null id link with
-    nothing and get null ids. Other columns are left aside. An empty table gives an empty result.
+    nothing and get null ids. Ties among shingles in an order go by the shingle's hash, the same for all sets; of
+    equal sets the smallest id stands for all. A very long text is one set, gathered in one row.
+    Other columns, whatever their names, are left aside. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -152,14 +161,14 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     bits = _bitmap(survivors, "node")
     sets = written(_whole_sets(rows.filter("_id IS NOT NULL"), bits, shingle).join(survivors.select("node").distinct(), "node", "left_semi"))
 
-    # Filter 3: rarest first, under three tie-breaks. Shingles of one set only meet nobody.
+    # Filter 3: three orders, each the same for all sets. Shingles of one set only meet nobody.
     each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     frequent = written(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2"))
     common = each.join(frequent, "token").groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("common"))
     kept = F.expr(f"size(common) - (n * {num} + {den - 1}) div {den} + 1")  # common shingles in a prefix
 
-    def prefix(tie, shown):
-        ordered = F.array_sort(F.transform("common", lambda x: F.struct(x["df"].alias("df"), tie(x["token"]).alias("tie"), x["token"].alias("token"))))
+    def prefix(place, shown):
+        ordered = F.array_sort(F.transform("common", lambda x: F.struct(place(x).alias("place"), x["token"].alias("token"))))
         return F.transform(F.slice(ordered, 1, F.col("q").cast("int")), lambda x: shown(x["token"]))
 
     nodes = written(
@@ -171,9 +180,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
             (F.col("n") - F.size("common")).alias("alone"),
             F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"),
             # Short hashes do for the second and third filter: by chance they let a pair through, never out.
-            prefix(lambda x: x, lambda x: x).alias("p1"),
-            prefix(F.xxhash64, F.hash).alias("p2"),
-            prefix(F.hash, F.hash).alias("p3"),
+            prefix(lambda x: x["df"], lambda t: t).alias("p1"),
+            prefix(lambda x: F.xxhash64(x["token"]), F.hash).alias("p2"),
+            prefix(lambda x: F.hash(x["token"], F.lit(1)), F.hash).alias("p3"),
         )
     )
     # At its first common shingle a pair can still share no more than what either set has from there on.
@@ -184,7 +193,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     first = nodes.select("node", "n", "weight", "alone", F.posexplode("p1").alias("i", "token")).select("node", "n", "weight", place, "token")
     hubs = written(first.groupBy("token").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("token", "hub.node", "hub.n", "hub.pos"))
     star = first.alias("x").join(hubs.alias("y"), "token").filter(f"x.node <> y.node AND {fits}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = written(_verified(star, sets, num, den))
+    links = written(_verified(_meeting(star, nodes), sets, num, den))
     label = written(components(links))
 
     # Second round: candidates of different components, each at the first shingle that it shares.
