@@ -1,26 +1,28 @@
 """Language-model scoring by logistic context mixing over bits.
 
-A text is coded word by word: a flag (word or end of text), then the bytes of the word and a closing
-space, bit by bit. Several predictors look each bit up in hashed tables: orders 0 to 4 and the whole prefix
-of the word. Their stretched probabilities are combined by a logistic mixer whose weights are chosen by
-a gate (bit, place in the word, how many predictors know the context). A probability
-map refines the mix, and while a text is read, what it has shown so far is mixed in: words that
-the corpus holds share their discounted counts, the bit model spells the rest, and a text is taken with or
-without a cache of its own words, whichever foretells it (a mixture updated word by word, which sums to the
-mixture of the two whole texts). All bits over the bytes are the bits-a-byte figure.
-
-What is learned, and from where:
-
-* Word counts, bit counts of every context: from every training text. Words are pre-aggregated in the
-  tasks and counted by a shuffle; contexts are counted from the word table, weighted by word counts.
-  The context tables have a fixed number of slots, so the model that is broadcast has a fixed size.
-* Mixer weights and the probability map: from every training token, each one left out of its own counts.
-  Gradients and curvatures are summed by gate over the word table in `passes` passes, each a step
-  to the least of a bound of the loss,
-  then tokens by cell of the map in one more. What the driver gets has the size of weights and map.
-
-The base score needs the count of every token. Frequent words (at most `head_words`, a fixed bound) are
-broadcast; all others go through a shuffle join, so the vocabulary may grow without limit.
+A text is a sequence of words and one end. Each is coded by binary decisions (`_mixing.py`): frequent words and
+the end are symbols of a prefix code, other words are one further symbol and are spelled byte by byte, each
+byte by the decisions of a second code. For every decision these predictors are mixed by gated weights:
+
+* counts at the node of the code, under no context;
+* counts under hashed contexts of the words before: how the last word ended, and which of the most frequent words
+  the text has used most so far, with the last word's last byte;
+* counts at the node within the text so far, and the word that followed the last word when it last stood in
+  the text. These follow the text as it is read, word by word;
+* in spelled words, counts under hashed contexts of the 1, 2, 3 and 5 bytes before.
+
+The gate is the depth in the code, how often the text has passed the node, and how many of its own guesses
+came true just before (in spelled words: depth, place in the word, known contexts). A probability map by gate
+refines the mix. A word outside the code that the text has spelled before is one decision and its share of
+those. The score is the sum over all decisions; over the bytes it is the bits-a-byte figure.
+
+What is learned, and from where: words are counted by a shuffle, and everything else is summed over all
+training texts in tasks: bits by slot (dense blocks of slots, added up by a shuffle), then weights and map, online,
+each bit left out of its own counts; tasks' weights are averaged by curvature. Spelling is learned from every
+distinct word outside the code. A text's score depends on the model and on the text alone.
+
+The code holds at most `head_words` words (broadcast); their counts and all others' serve the base score, the
+latter through a shuffle join, so the vocabulary may grow without limit. Tables have fixed numbers of slots.
 """
 
 from __future__ import annotations
@@ -30,148 +32,241 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batch import SPACE, Spans, Texts, bounded, hash_spans, mix64
-from ._session import BATCH_BYTES, ship, table, written
+from ._batch import SPACE, Spans, Texts, bounded, mix64
+from ._charlm import _Sorted
+from ._mixing import Chunk, Code, Mixer, Tables, count
+from ._session import BATCH_BYTES, quoted, ship, table, written
 from .language_id import fold
 
-SLOT_BITS = 20
-PREDICTORS = 6
-HEAD_WORDS = 1 << 18
-PASSES = 4
-_UNIT = 1 << 16
-CACHE = 0.3
-_BINS = 33
-_SLOTS = 1 << SLOT_BITS
+HEAD_WORDS = 1 << 19
+#: Slots of the hashed contexts, as powers of 2: of words, and of bytes.
+WORD_BITS = (20, 21)
+BYTE_BITS = (16, 20, 20, 20)
+TOPICS = 16
+#: Bytes of text that go through the code at a time.
+READ_BYTES = 1 << 20
+_BLOCK = 1 << 14
+_UNIT = 1 << 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Bits:
-    """The bits of some words: contexts of each byte, and for each of its bits the slots and gates."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        sizes = ends - starts + 1
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        n = int(self.first[-1])
-        self.word = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(n) - self.first[:-1][self.word]
-        source = starts[self.word] + place
-        closing = place == (sizes - 1)[self.word]
-        sym = np.where(closing, np.uint8(0x20), data[np.minimum(source, max(len(data) - 1, 0))] if len(data) else np.uint8(0x20)).astype(np.uint64)
-        self.sym, self.place = sym, np.minimum(place, 3)
-        prior = [np.where(place >= k, np.concatenate([np.zeros(min(k, n), dtype=np.uint64), sym[: max(n - k, 0)]]), np.uint64(0)) for k in range(1, 5)]
-        contexts = [np.full(n, np.uint64(1))]
-        packed = np.zeros(n, dtype=np.uint64)
-        for k, p in enumerate(prior):
-            packed = packed | (p << np.uint64(8 * k))
-            contexts.append(packed + (np.uint64(k + 2) << np.uint64(40)))
-        whole = hash_spans(data, starts[self.word], np.minimum(source, ends[self.word])) if len(data) else np.zeros(n, dtype=np.uint64)
-        contexts.append(whole ^ np.uint64(0x7F4A7C15))
-        self.contexts = [mix64(c * _STEP + np.uint64(i)) for i, c in enumerate(contexts)]
-
-    def each(self):
-        """For every bit from the highest: bit values, node of the byte's tree, slots by predictor."""
-        for b in range(7, -1, -1):
-            node = (np.uint64(1) << np.uint64(7 - b)) | (self.sym >> np.uint64(b + 1))
-            turn = node * np.uint64(0xD6E8FEB86659FD93)
-            slots = [(((c ^ turn) * _STEP) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for c in self.contexts]
-            yield 7 - b, ((self.sym >> np.uint64(b)) & np.uint64(1)).astype(np.float32), node.astype(np.int64), slots
-
-
-def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    x = np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
-    return np.where(n0 + n1 > 0, np.clip(x, -8, 8), np.float32(0))
-
-
-def _left_out(n0: np.ndarray, n1: np.ndarray, y: np.ndarray, slots: list[np.ndarray]) -> list[np.ndarray]:
-    """Inputs of the mixer, each bit left out of its own counts once."""
-    return [_stretch(np.maximum(n0[s + k * _SLOTS] - (1 - y), 0), np.maximum(n1[s + k * _SLOTS] - y, 0)) for k, s in enumerate(slots)]
-
-
-def _gate(bit: int, place: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return (bit * 4 + place) * (PREDICTORS + 1) + known
-
-
-class Mixer:
-    """Context tables (stretched), gated weights and the probability map."""
-
-    def __init__(self, n0: np.ndarray, n1: np.ndarray):
-        self.table = _stretch(n0, n1)
-        self.weights = np.full((8 * 4 * (PREDICTORS + 1), PREDICTORS), 0.35, dtype=np.float32)
-        edges = np.linspace(-8, 8, _BINS)
-        self.map = np.tile(1 / (1 + np.exp(-edges)), (256, 1)).astype(np.float32)
-
-    def _mix(self, bit, place, inputs):
-        known = sum((x != 0).astype(np.int64) for x in inputs)
-        gate = _gate(bit, place, known)
-        w = self.weights[gate]
-        dot = np.zeros(len(gate), dtype=np.float32)
-        for k, x in enumerate(inputs):
-            dot += w[:, k] * x
-        return gate, np.clip(dot, -12, 12)
-
-    def _bin(self, dot):
-        at = (np.clip(dot, -7.999, 7.999) + 8) * ((_BINS - 1) / 16)
-        low = at.astype(np.int64)
-        return low, (at - low).astype(np.float32)
-
-    def gradient(self, sums: np.ndarray, n0: np.ndarray, n1: np.ndarray, bits: Bits, c: np.ndarray) -> None:
-        """Adds, by gate, the loss, its gradient and its curvature over some words of c tokens each."""
-        own, wide = c[bits.word], 4 * (PREDICTORS + 1)
-        for b, y, _, slots in bits.each():
-            inputs = _left_out(n0, n1, y, slots)
-            gate, dot = self._mix(b, bits.place, inputs)
-            gate -= b * wide
-            p = 1 / (1 + np.exp(-dot))
-            # The bound of Jaakkola and Jordan instead of p (1 - p): no step makes a gate worse.
-            bend = np.where(np.abs(dot) > 1e-3, (p - 0.5) / np.where(dot == 0, 1, dot), 0.25)
-            to = sums[:, b * wide : (b + 1) * wide]
-            to[0] += np.bincount(gate, weights=-np.log(np.where(y > 0, p, 1 - p)) * own, minlength=wide)
-            at = 1 + PREDICTORS
-            for k, x in enumerate(inputs):
-                to[1 + k] += np.bincount(gate, weights=(y - p) * x * own, minlength=wide)
-                curve = bend * x * own
-                for z in inputs[: k + 1]:
-                    to[at] += np.bincount(gate, weights=curve * z, minlength=wide)
-                    at += 1
-
-    def refine(self, sums: np.ndarray, n0: np.ndarray, n1: np.ndarray, bits: Bits, c: np.ndarray) -> None:
-        """Adds, by cell of the probability map, the tokens and the ones among them over some words of c tokens each."""
-        own = c[bits.word]
-        for b, y, node, slots in bits.each():
-            _, dot = self._mix(b, bits.place, _left_out(n0, n1, y, slots))
-            low, part = self._bin(dot)
-            for cell, share in ((node * _BINS + low, own * (1 - part)), (node * _BINS + low + 1, own * part)):
-                sums[0] += np.bincount(cell, weights=share, minlength=self.map.size)
-                sums[1] += np.bincount(cell, weights=share * y, minlength=self.map.size)
-
-    def log2(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 400_000) -> np.ndarray:
-        """log2 probability of each word."""
-        out = np.zeros(len(starts))
+_END, _OTHER = 0, 1
+_CLOSE = 256
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    return (mix64(x) >> np.uint64(32)).astype(np.uint32)
+
+
+class Vocabulary:
+    """Frequent words by sorted hashes, with their code: symbol 0 ends a text, 1 is any other word."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, ends: int, others: int):
+        self.index, self.counts, self.ends = _Sorted(keys), counts, ends
+        self.symbols = np.concatenate([[max(ends, 1), max(others, 1)], counts]).astype(np.int64)
+        self.code = Code(self.symbols)
+        self.topic = np.full(len(self.symbols), -1, dtype=np.int8)
+        top = np.argsort(-counts, kind="stable")[:TOPICS] + 2
+        self.topic[top] = np.arange(len(top))
+
+
+class Positions:
+    """The words and ends of some texts in order, with what the contexts and the text's past give."""
+
+    def __init__(self, own: Vocabulary, texts: Texts):
+        words = Spans(texts, SPACE)
+        self.words, self.hashes = words, words.hashes()
+        at, self.known = own.index.find(self.hashes)
+        n = len(words) + texts.n
+        self.place = np.arange(len(words)) + words.row  # a word stands behind the ends of the texts before
+        ends = words.last + np.arange(texts.n)
+        self.symbol = np.zeros(n, dtype=np.int32)
+        self.symbol[self.place] = np.where(self.known, at + 2, _OTHER)
+        self.row = np.empty(n, dtype=np.int64)
+        self.row[self.place], self.row[ends] = words.row, np.arange(texts.n)
+        first = (words.first + np.arange(texts.n))[self.row]
+        opening = np.arange(n) == first
+
+        def before(values, start):
+            out = np.full(n, start, dtype=values.dtype)
+            out[self.place] = values
+            out[1:] = out[:-1].copy()
+            out[opening] = start
+            return out
+
+        data, a, b = texts.data, words.starts, words.ends
+        last = data[b - 1].astype(np.uint64) if len(words) else np.zeros(0, dtype=np.uint64)
+        tail = last + np.where(b - a > 1, data[np.maximum(b - 2, a)].astype(np.uint64) + np.uint64(1), np.uint64(0)) * np.uint64(256) if len(words) else last
+        topic = own.topic[self.symbol]
+        used = np.zeros((n + 1, TOPICS), dtype=np.int32)
+        hit = np.flatnonzero(topic >= 0)
+        used[hit + 1, topic[hit]] = 1
+        used = np.cumsum(used, axis=0, dtype=np.int32)
+        used = used[:-1] - used[first]
+        most = np.where(used.max(axis=1, initial=0) > 0, used.argmax(axis=1), TOPICS).astype(np.uint64)
+        contexts = [_short(before(tail, 1 << 20)), _short((most << np.uint64(32)) + before(last, 1 << 10) + _STEP)]
+        guess, trust = self._guesses(own.code, before(self.hashes, 0), opening)
+        text = _short(self.row.astype(np.uint64))
+        self.chunk = Chunk(own.code, own.code.left[self.symbol], own.code.length[self.symbol], contexts, text, np.arange(n) - first, guess, trust)
+        # Words outside the code: how often the text has spelled each, and how many in all, before.
+        self.other = np.flatnonzero(~self.known)
+        row = words.row[self.other]
+        self.times, self.spelled = _times(row, self.hashes[self.other])
+
+    def _guesses(self, code: Code, prior: np.ndarray, opening: np.ndarray):
+        """The code of what followed the last word when the text had it last, and how far to trust that."""
+        n = len(prior)
+        key = mix64(prior + self.row.astype(np.uint64) * _STEP)
+        order = np.argsort(key, kind="stable")
+        same = np.concatenate([[False], key[order][1:] == key[order][:-1]]) if n else np.zeros(0, dtype=bool)
+        source = np.full(n, -1, dtype=np.int64)
+        source[order[same]] = order[np.flatnonzero(same) - 1]
+        there = source >= 0
+        symbol = self.symbol[np.maximum(source, 0)]
+        # How many guesses in a row came true up to here; the text's first position starts anew.
+        true = there & (symbol == self.symbol)
+        here = np.arange(n)
+        miss = np.maximum.accumulate(np.where(true & ~opening, -1, here)) if n else here
+        streak = np.concatenate([[0], (here - miss)[:-1]]) if n else here
+        streak[opening] = 0
+        return code.left[symbol], np.where(there, 1 + (streak > 0) + (streak > 3), 0).astype(np.uint32)
+
+
+def _times(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: how often it stood in its row before, and how many words did."""
+    n = len(row)
+    order = np.argsort(mix64(h + row.astype(np.uint64) * _STEP), kind="stable")
+    k = mix64(h + row.astype(np.uint64) * _STEP)[order]
+    start = np.concatenate([[True], k[1:] != k[:-1]]) if n else np.zeros(0, dtype=bool)
+    begin = np.maximum.accumulate(np.where(start, np.arange(n), 0)) if n else np.zeros(0, dtype=np.int64)
+    before = np.zeros(n, dtype=np.int64)
+    before[order] = np.arange(n) - begin
+    first = np.searchsorted(row, row, side="left") if n else np.zeros(0, dtype=np.int64)
+    return before, np.arange(n) - first
+
+
+def _buckets(seen: np.ndarray) -> np.ndarray:
+    return np.digitize(seen, (1, 2, 4, 8, 16, 64))
+
+
+def _reads(own: Vocabulary, batches):
+    """Positions of runs of whole texts, READ_BYTES at a time or one text."""
+    for batch in bounded(batches, "text", READ_BYTES):
+        yield Positions(own, Texts(batch.column("text")).lowered())
+
+
+class Spelling:
+    """The code of bytes and, by position, the chunks of some words: their bytes and a closing one."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.code = counts, Code(counts)
+
+    def chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 200_000):
+        """(first word, one after the last, word of each position, chunk)."""
         sizes = np.cumsum(ends - starts + 1)
         a = 0
         while a < len(starts):
-            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + chunk, side="right")))
-            bits = Bits(data, starts[a:b], ends[a:b])
-            total = np.zeros(len(bits.sym), dtype=np.float32)
-            flat = self.map.reshape(-1)
-            for i, y, node, slots in bits.each():
-                _, dot = self._mix(i, bits.place, [self.table[s + k * _SLOTS] for k, s in enumerate(slots)])
-                low, part = self._bin(dot)
-                cell = node * _BINS + low
-                p = 0.5 / (1 + np.exp(-dot)) + 0.5 * (flat[cell] * (1 - part) + flat[cell + 1] * part)
-                p = np.clip(p, 1e-5, 1 - 1e-5)
-                total += np.log2(np.where(y > 0, p, 1 - p))
-            out[a:b] = np.bincount(bits.word, weights=total, minlength=b - a)
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + limit, side="right")))
+            size = ends[a:b] - starts[a:b] + 1
+            word = np.repeat(np.arange(b - a), size)
+            place = np.arange(len(word)) - (np.cumsum(size) - size)[word]
+            symbol = np.where(place == (size - 1)[word], _CLOSE, data[np.minimum(starts[a:b][word] + place, len(data) - 1)] if len(data) else _CLOSE)
+            prior = [np.where(place >= k, np.concatenate([np.zeros(min(k, len(symbol)), dtype=symbol.dtype), symbol[: max(len(symbol) - k, 0)]]), _CLOSE).astype(np.uint64) for k in range(1, 6)]
+            packed, contexts = np.zeros(len(symbol), dtype=np.uint64), []
+            for k, p in enumerate(prior):
+                packed = packed * np.uint64(257) + p
+                if k + 1 in (1, 2, 3, 5):
+                    contexts.append(_short(packed * _STEP + np.uint64(k)))
+            yield a, b, word, Chunk(self.code, self.code.left[symbol], self.code.length[symbol], contexts, place=np.minimum(place, 2).astype(np.uint32))
             a = b
+
+    def log2(self, tables: Tables, mixer: Mixer, data, starts, ends) -> np.ndarray:
+        out = np.zeros(len(starts))
+        for a, b, word, chunk in self.chunks(data, starts, ends):
+            out[a:b] = np.bincount(word, weights=mixer.log2(tables, chunk), minlength=b - a)
         return out
 
 
+class _Counts:
+    """Counts of bits by slot, for each context."""
+
+    def __init__(self, bits):
+        self.bits, self.sums = bits, [np.zeros(2 << b, dtype=np.int64) for b in bits]
+        self.waiting, self.size = [[] for _ in bits], 0
+
+    def add(self, chunk: Chunk) -> None:
+        count(chunk, self.bits, self.waiting)
+        self.size += int(chunk.length.sum())
+        if self.size > 1 << 22:
+            self.flush()
+
+    def flush(self) -> None:
+        for k, (own, b) in enumerate(zip(self.waiting, self.bits)):
+            if own:
+                self.sums[k] += np.bincount(np.concatenate(own), minlength=2 << b)
+                own.clear()
+        self.size = 0
+
+    def blocks(self):
+        """Batches of (block, its counts), those without any left out."""
+        self.flush()
+        for k, own in enumerate(self.sums):
+            cut = own.reshape(-1, min(_BLOCK, len(own)))
+            hit = np.flatnonzero(cut.any(axis=1))
+            for a in range(0, len(hit), 16):
+                yield _block_batch([(k << 32) + int(i) for i in hit[a : a + 16]], [cut[i] for i in hit[a : a + 16]])
+
+
+def _block_batch(names, rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, type=pa.int64()), pa.array([r.astype(np.int32).tobytes() for r in rows], type=pa.binary())], ["block", "counts"])
+
+
+def _summed_blocks(blocks: DataFrame) -> dict[int, np.ndarray]:
+    """Adds up blocks of equal name."""
+
+    def add(batches):
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column("block").to_pylist(), batch.column("counts")):
+                more = np.frombuffer(x.as_buffer(), dtype=np.int32)
+                own[k] = own[k] + more if k in own else more.astype(np.int64)
+        for k in sorted(own):
+            # Half as wide for the driver; what a count above 2**24 loses doesn't matter to a ratio.
+            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int64()), pa.array([own[k].astype(np.float32).tobytes()], type=pa.binary())], ["block", "counts"])
+
+    got = blocks.repartition("block").mapInArrow(add, "block long, counts binary").toArrow()
+    return {k: np.frombuffer(x.as_buffer(), dtype=np.float32) for k, x in zip(got.column("block").to_pylist(), got.column("counts"))}
+
+
+def _filled(blocks: dict[int, np.ndarray], bits) -> list[np.ndarray]:
+    """Counts of bits 0 and 1 by slot for each context."""
+    out = [np.zeros(2 << b, dtype=np.float32) for b in bits]
+    for k, own in blocks.items():
+        if k >= 0:
+            a = (k & 0xFFFFFFFF) * len(own)
+            out[k >> 32][a : a + len(own)] = own
+    return [np.ascontiguousarray(x.reshape(-1, 2).T) for x in out]
+
+
+def _added(rows: DataFrame, scan, size: int) -> np.ndarray:
+    """Sum over tasks of the vector that scan(batches) gives. Parts are whole multiples of 1 / _UNIT, so that
+    the total depends on no order."""
+
+    def each(batches):
+        sums = np.rint(scan(batches) * _UNIT).astype(np.int64)
+        hit = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(sums[hit])], ["at", "s"])
+
+    got = rows.mapInArrow(each, "at long, s long").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
+    out = np.zeros(size)
+    out[got.column("at").to_numpy()] = got.column("s").to_numpy() / _UNIT
+    return out
+
+
 def _words(docs: DataFrame) -> DataFrame:
-    """hash, word and count of each task's batches of training texts."""
+    """hash, word and count of the training texts' words."""
 
     def scan(batches):
-        for batch in bounded(batches, "_text", 4 << 20):
-            texts = Texts(batch.column("_text")).lowered()
+        for batch in bounded(batches, "text", 4 << 20):
+            texts = Texts(batch.column("text")).lowered()
             words = Spans(texts, SPACE)
             keys, first, counts = np.unique(words.hashes(), return_index=True, return_counts=True)
             data = texts.data.tobytes()
@@ -183,182 +278,161 @@ def _words(docs: DataFrame) -> DataFrame:
                 named = [data[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i:j].view(np.int64)), pa.array(named, type=pa.binary()), pa.array(counts[i:j].astype(np.int64))], ["h", "word", "c"])
 
-    return docs.mapInArrow(scan, "h long, word binary, c long").groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
-
+    # By hash and word: sums alone, for which a hash aggregate will do; words that share a hash stay apart.
+    return docs.mapInArrow(scan, "h long, word binary, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
+
+
+class Model:
+    """Codes, tables and mixers of words and of bytes, and how often a spelled word is one spelled before."""
+
+    def __init__(self, own: Vocabulary, spelling: Spelling):
+        self.own, self.spelling = own, spelling
+        self.word_tables = self.byte_tables = None
+        self.word_mixer, self.byte_mixer = Mixer(1 + len(WORD_BITS), True), Mixer(1 + len(BYTE_BITS), False)
+        self.again = np.zeros((2, 7))
+
+    def log2(self, got: Positions, n: int) -> np.ndarray:
+        """log2 probability of each text."""
+        out = np.bincount(got.row, weights=self.word_mixer.log2(self.word_tables, got.chunk), minlength=n)
+        if len(got.other):
+            words, own = got.words, got.other
+            _, first, back = np.unique(got.hashes[own], return_index=True, return_inverse=True)
+            spelt = self.spelling.log2(self.byte_tables, self.byte_mixer, words.texts.data, words.starts[own[first]], words.ends[own[first]])[back]
+            bucket = _buckets(got.spelled)
+            share = (self.again[1] + 0.5) / (self.again.sum(axis=0) + 1.0)
+            some = np.where(got.spelled > 0, share[bucket], 0.0)
+            again = np.log2(np.maximum(some, 1e-12)) + np.log2(np.maximum(got.times, 1) / np.maximum(got.spelled, 1))
+            out += np.bincount(words.row[own], weights=np.where(got.times > 0, again, np.log2(1 - some) + spelt), minlength=n)
+        return out
 
-def _slots(vocabulary: DataFrame) -> DataFrame:
-    """Counts of bits 0 and 1 in each slot of each predictor."""
 
-    def scan(batches):
-        counts = np.zeros((PREDICTORS, 2 * _SLOTS))
-        for batch in bounded(batches, "word", 400_000):
-            texts = Texts(batch.column("word"))
-            bits = Bits(texts.data, texts.starts, texts.ends)
-            c = batch.column("c").to_numpy().astype(np.float64)[bits.word]
-            for _, y, _, slots in bits.each():
-                one = y.astype(np.int64)
-                for k, s in enumerate(slots):
-                    counts[k] += np.bincount(2 * s + one, weights=c, minlength=2 * _SLOTS)
-        counts = counts.reshape(-1, 2)
-        hit = np.flatnonzero(counts.any(axis=1))
-        for a in range(0, len(hit), 100_000):
-            own = hit[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own, 0]), pa.array(counts[own, 1])], ["slot", "n0", "n1"])
-
-    return vocabulary.select("word", "c").mapInArrow(scan, "slot long, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def _dense(slot: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
-    out = [np.zeros(PREDICTORS * _SLOTS, dtype=np.float32) for _ in counts]
-    for to, x in zip(out, counts):
-        to[slot] = x
-    return out
+def train(texts: DataFrame, rare: DataFrame, own: Vocabulary) -> Model:
+    """texts: column `text`, not null; rare: column `word`, the distinct words outside the code."""
+    sc = texts.sparkSession.sparkContext
 
+    def letters(batches):
+        sums = np.zeros(257)
+        for batch in batches:
+            t = Texts(batch.column("word"))
+            sums[:256] += np.bincount(t.data, minlength=256)
+            sums[_CLOSE] += t.n
+        return sums
 
-def _summed(vocabulary: DataFrame, mixer: Mixer, shared, shape: tuple[int, int], add: str) -> np.ndarray:
-    """What a method of the mixer adds up over all words. Tasks' sums are whole multiples of 1 / _UNIT, so
-    that the total depends on no order."""
+    spelling = Spelling(_added(rare, letters, 257).astype(np.int64) + 1)
+    model = Model(own, spelling)
+    shared = sc.broadcast((own, spelling))
 
-    def scan(batches):
-        n0, n1 = _dense(*shared.value)
-        sums = np.zeros(shape)
+    def spell(batches):
+        _, spelling = shared.value
+        sums = _Counts(BYTE_BITS)
         for batch in bounded(batches, "word", 400_000):
-            texts = Texts(batch.column("word"))
-            getattr(mixer, add)(sums, n0, n1, Bits(texts.data, texts.starts, texts.ends), batch.column("c").to_numpy().astype(np.float64))
-        sums = np.rint(sums.reshape(-1) * _UNIT).astype(np.int64)
-        hit = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(sums[hit])], ["at", "s"])
-
-    got = vocabulary.select("word", "c").mapInArrow(scan, "at long, s long").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
-    out = np.zeros(shape[0] * shape[1])
-    out[got.column("at").to_numpy()] = got.column("s").to_numpy() / _UNIT
-    return out.reshape(shape)
-
-
-def train(vocabulary: DataFrame, passes: int = PASSES) -> Mixer:
-    """Fits the tables, then the weights of every gate by `passes` steps and last the probability map, all of
-    them on the whole word table."""
-    spark = vocabulary.sparkSession
-    got = _slots(vocabulary).toArrow()
-    counts = got.column("slot").to_numpy().astype(np.int32), *(got.column(k).to_numpy().astype(np.float32) for k in ("n0", "n1"))
-    del got
-    mixer = Mixer(*_dense(*counts))
-    table, mixer.table = mixer.table, None  # the passes stretch the counts themselves
-    shared = spark.sparkContext.broadcast(counts)
-    low = np.tril_indices(PREDICTORS)
-    for _ in range(passes):
-        sums = _summed(vocabulary, mixer, shared, (1 + PREDICTORS + len(low[0]), len(mixer.weights)), "gradient")
-        curve = np.zeros((len(mixer.weights), PREDICTORS, PREDICTORS))
-        curve[:, low[0], low[1]] = curve[:, low[1], low[0]] = sums[1 + PREDICTORS :].T
-        step = np.linalg.solve(curve + 10 * np.eye(PREDICTORS), sums[1 : 1 + PREDICTORS].T[:, :, None])[:, :, 0]
-        # Below twice the way to the bound's least, a step still makes no gate worse.
-        mixer.weights = (mixer.weights + 1.8 * step).astype(np.float32)
-    mass, ones = _summed(vocabulary, mixer, shared, (2, mixer.map.size), "refine")
+            t = Texts(batch.column("word"))
+            for *_, chunk in spelling.chunks(t.data, t.starts, t.ends):
+                sums.add(chunk)
+        yield from sums.blocks()
+
+    def read(batches):
+        own, _ = shared.value
+        sums, again = _Counts(WORD_BITS), np.zeros((2, 7), dtype=np.int64)
+        for got in _reads(own, batches):
+            sums.add(got.chunk)
+            for k in (0, 1):
+                of = (got.spelled > 0) & ((got.times > 0) == k)
+                again[k] += np.bincount(_buckets(got.spelled[of]), minlength=7)
+        yield from sums.blocks()
+        yield _block_batch([-1], [again.reshape(-1)])
+
+    blocks = _summed_blocks(texts.mapInArrow(read, "block long, counts binary"))
+    model.again = blocks.get(-1, np.zeros(14)).reshape(2, 7).astype(np.float64)
+    model.word_tables = Tables(own.code.exact(own.symbols), _filled(blocks, WORD_BITS), WORD_BITS)
+    blocks = _summed_blocks(rare.mapInArrow(spell, "block long, counts binary"))
+    model.byte_tables = Tables(spelling.code.exact(spelling.counts), _filled(blocks, BYTE_BITS), BYTE_BITS)
     shared.destroy()
-    mixer.map = ((50 * mixer.map.reshape(-1) + ones) / (50 + mass)).astype(np.float32).reshape(mixer.map.shape)
-    mixer.table = table
-    return mixer
+    shared = sc.broadcast(model)
 
-
-def _times(row: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: how often it stood in its row before, and how many tokens came before."""
-    key = mix64(h + row.astype(np.uint64) * _STEP)
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    start = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, dtype=bool)
-    begin = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0)) if len(k) else k.astype(np.int64)
-    before = np.zeros(len(k), dtype=np.int64)
-    before[order] = np.arange(len(k)) - begin
-    return before, np.arange(len(row)) - first[row]
+    def mix_bytes(batches):
+        own, mixer = shared.value, Mixer(1 + len(BYTE_BITS), False)
+        for batch in bounded(batches, "word", 400_000):
+            t = Texts(batch.column("word"))
+            for *_, chunk in own.spelling.chunks(t.data, t.starts, t.ends):
+                mixer.learn(own.byte_tables, chunk)
+        return mixer.sums()
+
+    def mix_words(batches):
+        own, mixer = shared.value, Mixer(1 + len(WORD_BITS), True)
+        for got in _reads(own.own, batches):
+            mixer.learn(own.word_tables, got.chunk)
+        return mixer.sums()
+
+    model.byte_mixer.settle(_added(rare, mix_bytes, len(model.byte_mixer.sums())))
+    model.bits_learned = model.word_mixer.settle(_added(texts, mix_words, len(model.word_mixer.sums())))
+    shared.destroy()
+    model.word_tables.settle()
+    model.byte_tables.settle()
+    return model
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_fold: tuple[int, int] = (10, 0), head_words: int = HEAD_WORDS, passes: int = PASSES, cache: float = CACHE) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_fold: tuple[int, int] = (10, 0), head_words: int = HEAD_WORDS) -> DataFrame:
     """A row for each row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     (log10 probabilities of the whole text) and bits_per_byte of the text's words, each with one separator.
 
     Training texts are those whose crc32 of the id modulo held_fold[0] isn't held_fold[1]. Null texts are
     empty: one end token. Rows that repeat an id are scored each by itself, and learned from as often
-    as they stand there. Other columns are left aside. An empty table gives an empty result; without training
-    texts the base score is 0 and every bit has probability one half.
+    as they stand there. Words of equal count go into the code together or not at all. Very long texts and words
+    are scored whole, in logarithms throughout. Other columns, whatever their names, are left aside. An empty
+    table gives an empty result; without training texts the base score is 0 and the model knows no word.
     """
     spark = ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    held = fold("_id", held_fold[0]) == held_fold[1]
-    vocabulary = written(_words(rows.filter(~held & F.col("_text").isNotNull())))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    held = fold("id", held_fold[0]) == held_fold[1]
+    texts = rows.filter(~held & F.col("text").isNotNull()).select("text")
+    vocabulary = written(_words(texts))
     ends = rows.filter(~held).count()
-    sizes = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), *(F.sum((F.col("c") == i).cast("long")).alias(k) for i, k in ((1, "once"), (2, "twice"))), *(F.sum((F.col("c") >= (1 << i)).cast("long")).alias(f"t{i}") for i in range(50))).first()
+    sizes = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), *(F.sum((F.col("c") >= (1 << i)).cast("long")).alias(f"t{i}") for i in range(50))).first()
     total, kinds = (sizes["n"] or 0) + ends, sizes["v"] + (ends > 0)
     norm = float(np.log10(total + 0.1 * (kinds + 1)))
-    least = next(1 << i for i in range(50) if (sizes[f"t{i}"] or 0) <= head_words)
+    # A word that stands once is one that the rest of the corpus doesn't know: those tell how to spell new words.
+    least = next(1 << i for i in range(1, 51) if i == 50 or (sizes[f"t{i}"] or 0) <= head_words)
     head = vocabulary.filter(F.col("c") >= least).select("h", "c").toArrow()
-    keys = head.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    mixer = train(vocabulary, passes)
-    p_end = (ends + 0.5) / (total + 1)
-    # Absolute discounting: what each known word gives up goes to words as the bit model spells them.
-    once, twice, running = sizes["once"] or 0, sizes["twice"] or 0, sizes["n"] or 0
-    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
-    step = 1.0 / running if running else 0.0
-    unseen = discount * sizes["v"] * step if running else 1.0
-    shared = spark.sparkContext.broadcast((mixer, keys[order], head.column("c").to_numpy()[order].astype(np.float64), ends, p_end))
+    keys, order = np.unique(head.column("h").to_numpy().view(np.uint64), return_index=True)
+    counts = head.column("c").to_numpy()[order]
+    own = Vocabulary(keys, counts, ends, int((sizes["n"] or 0) - counts.sum()))
+    model = train(texts, vocabulary.filter(F.col("c") < least).select("word"), own)
+    shared = spark.sparkContext.broadcast(model)
 
     def scan(batches):
-        mixer, keys, counts, ends, p_end = shared.value
-        for batch in bounded(batches, "_text"):
-            texts = Texts(batch.column("_text")).lowered()
-            words = Spans(texts, SPACE)
-            h, n = words.hashes(), texts.n
-            own, first, back = np.unique(h, return_index=True, return_inverse=True)
-            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            hit = keys[at] == own if len(keys) else np.zeros(len(own), dtype=bool)
-            base = np.where(hit, np.log10(counts[at] + 0.1), 0.0) if len(keys) else np.zeros(len(own))
-            known = np.bincount(words.row, weights=hit[back], minlength=n).astype(np.int64) + (ends > 0)
-            sums = np.bincount(words.row, weights=base[back], minlength=n) + np.log10(ends + 0.1)
-            # The model: the bits of each distinct word once, taken as what the counts leave to unseen words.
-            spelt = np.exp2(mixer.log2(texts.data, words.starts[first], words.ends[first])) * (1 - p_end) * unseen
-            before, seen = _times(words.row, h, words.first)
-            own_share = np.where(seen > 0, (1 - p_end) * before / np.maximum(seen, 1), -1.0)
-            common = np.flatnonzero(hit[back])
-            plain = spelt[back[common]] + (1 - p_end) * step * np.maximum(counts[at[back[common]]] - discount, 0.0) if len(keys) else np.zeros(0)
-            said = own_share[common]
-            cached = np.where(said >= 0, (1 - cache) * plain + cache * said, plain)
-            models = [np.bincount(words.row[common], weights=np.log10(x), minlength=n) + np.log10(p_end) for x in (plain, cached)]
+        model = shared.value
+        own = model.own
+        logs = np.log10(np.append(own.counts, 1) + 0.1)
+        for batch in bounded(batches, "text", READ_BYTES):
+            texts = Texts(batch.column("text")).lowered()
+            got, n = Positions(own, texts), texts.n
+            words, known = got.words, got.known
+            base = np.bincount(words.row[known], weights=logs[got.symbol[got.place[known]] - 2], minlength=n) + np.log10(own.ends + 0.1)
+            n_known = np.bincount(words.row[known], minlength=n) + (own.ends > 0)
             coded = np.bincount(words.row, weights=words.ends - words.starts + 1, minlength=n).astype(np.int64)
-            # Words beyond the head meet their counts in a join.
-            rare = np.flatnonzero(~hit[back])
-            offsets = pa.array(np.searchsorted(words.row[rare], np.arange(n + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[rare].view(np.int64), spelt[back[rare]], own_share[rare])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words.per_row().astype(np.int64) + 1), pa.array(known), pa.array(sums), *map(pa.array, models), pa.array(coded), *lists], ["_id", "_of", "n_tokens", "known", "sums", "plain", "cached", "coded", "rare", "spelt", "said"])
-
-    kind = rows.schema["_id"].dataType.simpleString()
-    keyed = rows.select("_id", F.xxhash64("_text").alias("_of"), "_text")
-    lists = "rare array<long>, spelt array<double>, said array<double>"
-    first = written(keyed.mapInArrow(scan, f"_id {kind}, _of long, n_tokens long, known long, sums double, plain double, cached double, coded long, {lists}"))
-    # Each distinct (id, text) once: repeated rows share their sums.
-    rare = first.filter(F.size("rare") > 0).groupBy("_id", "_of").agg(*(F.first(c).alias(c) for c in ("rare", "spelt", "said")))
-    each = rare.select("_id", "_of", F.explode(F.arrays_zip("rare", "spelt", "said")).alias("x")).select("_id", "_of", F.col("x.rare").alias("h"), "x.spelt", "x.said")
+            offsets = pa.array(np.searchsorted(words.row[got.other], np.arange(n + 1)).astype(np.int32))
+            rare = pa.ListArray.from_arrays(offsets, pa.array(got.hashes[got.other].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words.per_row().astype(np.int64) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(model.log2(got, n)), pa.array(coded), rare], ["id", "of", "n_tokens", "known", "base", "bits", "coded", "rare"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    keyed = rows.select("id", F.xxhash64("text").alias("of"), "text")
+    first = written(keyed.mapInArrow(scan, f"id {kind}, of long, n_tokens long, known long, base double, bits double, coded long, rare array<long>"))
+    # Words outside the code meet their counts in a join. Each distinct (id, text) once: repeated rows share their sums.
+    rare = first.filter(F.size("rare") > 0).groupBy("id", "of").agg(F.first("rare").alias("rare"))
     tail = vocabulary.filter(F.col("c") < least).select("h", "c")
     c = F.coalesce("c", F.lit(0))
-    plain = F.col("spelt") + F.lit((1 - p_end) * step) * F.greatest(c - F.lit(discount), F.lit(0.0))
-    cached = F.when(F.col("said") >= 0, F.lit(1 - cache) * plain + F.lit(cache) * F.col("said")).otherwise(plain)
-    counted = (
-        each.join(tail, "h", "left")
-        .groupBy("_id", "_of")
-        .agg(F.sum(F.log10(c + F.lit(0.1))).alias("more"), F.sum(F.log10(plain)).alias("plain_more"), F.sum(F.log10(cached)).alias("cached_more"), F.sum((c > 0).cast("long")).alias("met"))
-    )
-    both = first.drop("rare", "spelt", "said").join(counted.withColumnsRenamed({"_id": "_i", "_of": "_o"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_of") == F.col("_o")), "left")
-    x, y = (F.col(k) + F.coalesce(f"{k}_more", F.lit(0.0)) for k in ("plain", "cached"))
-    # The text itself decides between the two: half each before its first word, then by what they gave so far.
-    model = F.greatest(x, y) + F.log10(F.lit(0.5) + F.lit(0.5) * F.pow(F.lit(10.0), -F.abs(x - y)))
+    counted = rare.select("id", "of", F.explode("rare").alias("h")).join(tail, "h", "left").groupBy("id", "of").agg(F.sum(F.log10(c + F.lit(0.1))).alias("more"), F.sum((c > 0).cast("long")).alias("met"))
+    both = first.drop("rare").join(counted.withColumnsRenamed({"id": "i", "of": "o"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")), "left")
     return both.select(
-        F.col("_id").alias("doc_id"),
+        F.col("id").alias("doc_id"),
         held.alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("sums") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        model.alias("score"),
-        (-model * F.lit(float(np.log2(10))) / F.greatest("coded", F.lit(1))).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        (F.col("bits") * F.lit(float(np.log10(2)))).alias("score"),
+        (-F.col("bits") / F.greatest("coded", F.lit(1))).alias("bits_per_byte"),
     )
 
 
