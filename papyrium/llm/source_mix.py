@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._session import ship, table, written
+from ._session import quoted, ship, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
@@ -164,22 +164,25 @@ def _settle(batches):
         yield done()
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, reserve_rows: int = RESERVE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, reserve_rows: int = RESERVE_ROWS, row_col: str | None = None) -> DataFrame:
     """A row for each row of `docs`: doc_id, source, text_hash, size (words), source_size, target (words of
     the source in the mix), copies and taken (copies * size).
 
     `total` times all words are shared; no source gets above `cap` times its size, and no document more
     than `cap` copies (rounded up). Null and empty texts have size 0 and no copies. Null sources are one source,
-    last in order. Rows that repeat an id are taken each by itself. Other columns are left aside. An
-    empty table gives an empty result.
+    last in order. Rows that repeat an id are taken each by itself; with `row_col`, a column that numbers the rows of
+    `docs`, the result has it as `row`. Equal draws go by id and text. Of a very long text only its words are
+    counted. Other columns, whatever their names, are left aside. An empty table gives an empty result.
     """
     spark = ship(docs.sparkSession)
+    text = F.col(quoted(text_col))
     sized = written(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.xxhash64(text_col).alias("text_hash"),
-            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.col(quoted(id_col)).alias("doc_id"),
+            F.col(quoted(source_col)).alias("source"),
+            F.xxhash64(text).alias("text_hash"),
+            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            *([F.col(quoted(row_col)).alias("row")] if row_col else []),
         )
     )
     targets = source_targets(sized, weights, total, cap)
@@ -191,7 +194,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         .join(targets, F.col("_from").eqNullSafe(F.col("source")))
         .drop("_from")
         .withColumns({"copies": F.floor(rate).cast("long"), "_p": rate - F.floor(rate), "_u": unit(0), "_residual": F.lit(False)})
-        .withColumns({"_source": F.xxhash64("source", F.col("source").isNull()), "_bucket": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("long")})
+        .withColumns({"_source": F.xxhash64("source", F.col("source").isNull()), "_bucket": F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(buckets)).cast("long")})
     )
     late = (unit(2) * F.col("docs") < reserve_rows) & (F.col("_p") > 0)
     rows = written(rows.withColumn("_late", late))
@@ -211,7 +214,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if row_col else []))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

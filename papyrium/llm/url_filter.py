@@ -43,7 +43,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest fitting rule as a struct (rule, verdict), null if none fits; of equal length the first."""
+    """The longest fitting rule as a struct (rule, verdict), null if none fits; of equal length the last in the list."""
     out = F.lit(None).cast("struct<rule: string, verdict: string>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)

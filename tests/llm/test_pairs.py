@@ -14,8 +14,8 @@ def sets(rows, k=4):
     return out
 
 
-def brute(rows, num=85, den=100):
-    s = sets(rows)
+def brute(rows, num=85, den=100, s=None):
+    s = sets(rows) if s is None else s
     root = {i: i for i in s}
 
     def find(x):
