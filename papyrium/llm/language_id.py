@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._batch import Spans, Texts, bounded
 from ._charlm import CharModels
-from ._session import ship, table, without
+from ._session import packed, quoted, ship, table, without
 
 ORDER = 5
 DOCS_PER_LANGUAGE = 600
@@ -157,7 +158,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     the limits on. No labels: an identifier that knows no language.
     """
     spark = ship(labelled.sparkSession)
-    rows = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    rows = labelled.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(lang_col)).alias("_lang"), F.col(quoted(text_col)).alias("_text"))
     counts = {r["_lang"]: r["n"] for r in rows.filter("_lang IS NOT NULL").groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
@@ -227,15 +228,17 @@ def identify(docs: DataFrame, identifier: Identifier, text_col: str = "text") ->
     spark = ship(docs.sparkSession)
     docs = without(docs, "lang_pred", "score", "rejected")
     shared = spark.sparkContext.broadcast(identifier)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    more = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType()))
 
     def each(batches):
         known = _Known(len(shared.value.model.classes))
-        for batch in bounded(batches, text_col):
-            langs, score, rejected = shared.value.judge(Texts(batch.column(text_col)), known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, type=pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names, "lang_pred", "score", "rejected"])
+        for batch in bounded(batches):
+            langs, score, rejected = shared.value.judge(Texts(batch.column("text")), known)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, type=pa.string()), pa.array(score), pa.array(rejected)], ["row", *(n for n, _ in more)])
 
-    return docs.mapInArrow(each, f"{schema}, lang_pred string, score double, rejected boolean")
+    rows = docs.select(packed(docs), F.col(quoted(text_col)).alias("text"))
+    out = rows.mapInArrow(each, T.StructType([rows.schema["row"], *(T.StructField(n, t) for n, t in more)]))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(n for n, _ in more))
 
 
 def fold(id_col: str | Column, n: int) -> Column:

@@ -61,3 +61,28 @@ def test_main_path_is_native(spark, tmp_path):
     frame(spark, corpus()).write.parquet(str(tmp_path / "documents.parquet"))
     plan = line_dedup.op4_line_dedup(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_any_column_name(spark):
+    """Callers' columns pass through, whatever their names; those called like results are replaced in any case."""
+    from papyrium.llm import decontaminate, html_extract, language_id
+
+    rows = corpus(6)[:30]
+    names = ["_lost", "lost", "row", "doc", "of", "key", "pos", "_runs", "runs", "settled", "id", "items", "_html", "html", "a.b", "x`y"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ", ".join([SCHEMA, *(f"`{n.replace('`', '``')}` int" for n in names)]))
+    df = df.selectExpr("*", "7 AS N_LINES", "7 AS Rejected", "7 AS N_Hit")
+
+    def same(out, kept):
+        for r in out.collect():
+            assert all(r[n] == i for i, n in enumerate(names) if n in kept)
+        return out.columns
+
+    columns = same(line_dedup.dedup_lines(df), names)
+    assert "N_LINES" not in columns and columns.count("n_lines") == 1 and "Rejected" in columns
+    bench = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    for action in ("report", "spans", "documents"):
+        columns = same(decontaminate.find_leaks(df, bench, action=action), set(names) - {"items"})
+        assert "N_Hit" not in columns and "a.b" in columns
+    assert "text" not in same(html_extract.extract_pages(df, html_col="text", out_col="main"), names)
+    known = language_id.fit(df)
+    assert "Rejected" not in same(language_id.identify(df, known), names)
