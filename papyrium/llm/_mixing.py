@@ -265,9 +265,11 @@ class Mixer:
             if score:
                 out[own] += self._coded(p, cell, bit)
             wrong = bit.astype(np.float32) - p
-            # The bound of Jaakkola and Jordan instead of p (1 - p): no step makes a gate worse.
-            small = np.abs(dot) < np.float32(1e-2)
-            curve = (p - np.float32(0.5)) / (dot + small) * ~small + np.float32(0.25) * small
+            # Above the bound of Jaakkola and Jordan, tanh(x / 2) / 2x, in place of p (1 - p): no step makes a gate worse.
+            curve = np.abs(dot)
+            curve *= np.float32(0.5)
+            curve += np.float32(4)
+            np.reciprocal(curve, out=curve)
             first, wide = (16, 16) if chunk.past else (12, 12)
             first *= DEPTHS[d]
             which = (cell - first * BINS) * 2 + bit
@@ -277,13 +279,17 @@ class Mixer:
                 curve *= teaches
                 which = which[teaches > 0]
             self.seen[first * BINS : (first + wide) * BINS] += np.bincount(which, minlength=2 * wide * BINS).reshape(-1, 2)
-            rows = np.stack([*x, np.ones_like(dot)])
-            mass = np.bincount(gate, weights=curve, minlength=self.gates)
-            for k in range(self.n):
-                push[k] += np.bincount(gate, weights=wrong * rows[k], minlength=self.gates)
+            rows = np.empty((self.n, len(dot)), dtype=np.float32)
+            for k, v in enumerate(x):
+                rows[k] = v
+            rows[-1] = 1
+            # The gates of a level are few: sums by gate are a product with a row of marks for each.
+            marks = (gate - first == np.arange(wide)[:, None]).astype(np.float32)
+            push[:, first : first + wide] += (rows * wrong) @ marks.T
+            mass = marks @ curve
             # One curvature for a level, dealt to its gates by their share.
             whole = (rows * curve) @ rows.T
-            bend += (mass / max(mass.sum(), 1e-9))[:, None, None] * whole
+            bend[first : first + wide] += (mass / max(mass.sum(), 1e-9))[:, None, None] * whole
         self.curve += bend
         self.weights += np.linalg.solve(self.curve, push.T[:, :, None])[:, :, 0].T.astype(np.float32)
         return self._ordered(chunk, out) if score else None

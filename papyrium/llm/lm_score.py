@@ -71,7 +71,8 @@ class Vocabulary:
 class Positions:
     """The words and ends of some texts in order, with what the contexts and the text's past give."""
 
-    def __init__(self, own: Vocabulary, texts: Texts):
+    def __init__(self, own: Vocabulary, texts: Texts, past: bool = True):
+        """Without a past there is nothing to foretell, which will do to count."""
         words = Spans(texts, SPACE)
         self.words, self.hashes = words, words.hashes()
         at, self.known = own.index.find(self.hashes)
@@ -101,18 +102,21 @@ class Positions:
         used[hit + 1, topic[hit]] = 1
         used = np.cumsum(used, axis=0, dtype=np.int32)
         used = used[:-1] - used[first]
-        most = np.where(used.max(axis=1, initial=0) > 0, used.argmax(axis=1), TOPICS).astype(np.uint64)
+        # Count and number in one value: of equal counts the first topic is the largest.
+        used *= TOPICS
+        used += np.arange(TOPICS - 1, -1, -1, dtype=np.int32)
+        best = used.max(axis=1, initial=0)
+        most = np.where(best >= TOPICS, TOPICS - 1 - best % TOPICS, TOPICS).astype(np.uint64)
         contexts = [_short(before(tail, 1 << 20)), _short((most << np.uint64(32)) + before(last, 1 << 10) + _STEP)]
-        guess, trust = self._guesses(own.code, before(self.hashes, 0), opening)
-        text = _short(self.row.astype(np.uint64))
-        self.chunk = Chunk(own.code, own.code.left[self.symbol], own.code.length[self.symbol], contexts, text, np.arange(n) - first, guess, trust)
+        self.chunk = Chunk(own.code, own.code.left[self.symbol], own.code.length[self.symbol], contexts, *(self._past(own.code, before(self.hashes, 0), opening, first) if past else ()))
         # Words outside the code: how often the text has spelled each, and how many in all, before.
         self.other = np.flatnonzero(~self.known)
         row = words.row[self.other]
         self.times, self.spelled = _times(row, self.hashes[self.other])
 
-    def _guesses(self, code: Code, prior: np.ndarray, opening: np.ndarray):
-        """The code of what followed the last word when the text had it last, and how far to trust that."""
+    def _past(self, code: Code, prior: np.ndarray, opening: np.ndarray, first: np.ndarray):
+        """The text and the place in it, the code of what followed the last word when the text had it last, and
+        how far to trust that."""
         n = len(prior)
         key = mix64(prior + self.row.astype(np.uint64) * _STEP)
         order = np.argsort(key, kind="stable")
@@ -127,7 +131,7 @@ class Positions:
         miss = np.maximum.accumulate(np.where(true & ~opening, -1, here)) if n else here
         streak = np.concatenate([[0], (here - miss)[:-1]]) if n else here
         streak[opening] = 0
-        return code.left[symbol], np.where(there, 1 + (streak > 0) + (streak > 3), 0).astype(np.uint32)
+        return _short(self.row.astype(np.uint64)), here - first, code.left[symbol], np.where(there, 1 + (streak > 0) + (streak > 3), 0).astype(np.uint32)
 
 
 def _times(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,10 +151,10 @@ def _buckets(seen: np.ndarray) -> np.ndarray:
     return np.digitize(seen, (1, 2, 4, 8, 16, 64))
 
 
-def _reads(own: Vocabulary, batches):
+def _reads(own: Vocabulary, batches, past: bool = True):
     """Positions of runs of whole texts, READ_BYTES at a time or one text."""
     for batch in bounded(batches, "text", READ_BYTES):
-        yield Positions(own, Texts(batch.column("text")).lowered())
+        yield Positions(own, Texts(batch.column("text")).lowered(), past)
 
 
 class Spelling:
@@ -334,7 +338,7 @@ def train(texts: DataFrame, rare: DataFrame, own: Vocabulary) -> Model:
     def read(batches):
         own, _ = shared.value
         sums, again = _Counts(WORD_BITS), np.zeros((2, 7), dtype=np.int64)
-        for got in _reads(own, batches):
+        for got in _reads(own, batches, past=False):
             sums.add(got.chunk)
             for k in (0, 1):
                 of = (got.spelled > 0) & ((got.times > 0) == k)
