@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import boards, calendars, slots, stores, texts, topics
+from .plans import boards, calendars, slots, stores, texts, topics, worklists
 
-_MODULES = (boards, topics, texts, stores, slots, calendars)
+_MODULES = (boards, topics, texts, stores, slots, calendars, worklists)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -14,7 +14,7 @@ from .text import CJK, _col, brace_balance, letters, response_failed, script_cha
 
 # Commands whose order must survive, and the echo of a task description.
 CRITICAL = r"(?i)\\(section|subsection|subsubsection|paragraph|subparagraph|item|caption|footnote|begin|end)\b"
-TASK_ECHO = r"(?is)(?=.*\bclassification\s*:\s*academic\s+translation\b)(?=.*\btask\s*:\s*english\s+to\s+chinese\b)(?=.*\blanguage\s*:\s*chinese\b).*"
+TASK_ECHO = r"(?is)\A(?=.*\bclassification\s*:\s*academic\s+translation\b)(?=.*\btask\s*:\s*english\s+to\s+chinese\b)(?=.*\blanguage\s*:\s*chinese\b)"
 GLUE_WORDS = frozenset(
     "a an and are as at be been being but by each for from if in into is it its of on or our that the their then these this those to was we were when where which while with".split()
 )

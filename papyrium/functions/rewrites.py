@@ -7,6 +7,7 @@ a balance of groups, are plain Python functions over one text, lifted to columns
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -76,37 +77,55 @@ def _macros(text: str) -> set[str]:
     return {m[1] for m in _DEFINED.finditer(text) if m[2] in (None, "0")}
 
 
-def _outside_definitions(text: str, pattern: str, by) -> tuple[str, int]:
-    spans = [m.span() for m in _DEFINED.finditer(text)]
-    n = 0
+_COMMAND = re.compile(r"\\([A-Za-z@]+)")
 
-    def one(m):
-        nonlocal n
-        if any(a <= m.start() < b for a, b in spans):
-            return m[0]
-        n += 1
-        return by(m)
 
-    return re.sub(pattern, one, text), n
+def _commands(text: str, by: Callable[[str, int], str | None]) -> tuple[str, int]:
+    """Every whole command of the text, by name and the place after it, replaced where `by` gives something else.
+
+    The one reading of commands that repairs of macros share: a command is its longest run of letters.
+    """
+    out, at, n = [], 0, 0
+    for m in _COMMAND.finditer(text):
+        new = by(m[1], m.end())
+        if new is not None:
+            out += (text[at : m.start()], new)
+            at, n = m.end(), n + 1
+    return "".join([*out, text[at:]]), n
 
 
 def separate_macro_glue(text: str) -> tuple[str, int]:
-    """Ends macros without arguments by {} where a letter or a character of the script follows."""
-    names = sorted(_macros(text), key=lambda x: (-len(x), x))
-    if not names:
-        return text, 0
-    either = "|".join(map(re.escape, names))
-    return _outside_definitions(text, rf"\\({either})\\?(?![A-Za-z@{{\\])(?={FOLLOW})", lambda m: f"\\{m[1]}{{}}")
+    """Ends macros without arguments by {} where a character of the script follows; a stray backslash between goes."""
+    own = _macros(text)
+    inside = sorted(m.span() for m in _DEFINED.finditer(text))
+    starts = [a for a, _ in inside]
+
+    def defined_here(at: int) -> bool:
+        k = bisect_right(starts, at) - 1
+        return k >= 0 and at <= inside[k][1]
+
+    glued = re.compile(rf"(\\?){FOLLOW}")
+    drop: list[int] = []
+
+    def by(name: str, end: int) -> str | None:
+        m = glued.match(text, end) if name in own and not defined_here(end) else None
+        if m is None:
+            return None
+        if m[1]:
+            drop.append(end)
+        return f"\\{name}{{}}"
+
+    fixed, n = _commands(text, by)
+    if drop:  # the same reading again, without those backslashes
+        text = "".join(text[a:b] for a, b in zip([0, *(d + 1 for d in drop)], [*drop, len(text)]))
+        return separate_macro_glue(text)[0], n
+    return fixed, n
 
 
 def undouble_macro_initials(text: str) -> tuple[str, int]:
     """\\nname becomes \\name where only \\name is defined."""
-    names, n = _macros(text), 0
-    for name in sorted(names, key=lambda x: (-len(x), x)):
-        if name[0] + name not in names:
-            text, k = re.subn(rf"\\{re.escape(name[0] + name)}(?![A-Za-z@])", lambda m, name=name: "\\" + name, text)
-            n += k
-    return text, n
+    own = _macros(text)
+    return _commands(text, lambda name, _: f"\\{name[1:]}" if name[:1] == name[1:2] and name[1:] in own and name not in own else None)
 
 
 def drop_unmatched_ends(text: str, environments: tuple[str, ...] | None = None) -> tuple[str, int]:

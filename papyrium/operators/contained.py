@@ -7,10 +7,12 @@ bound takes a scan for each block. No pair of a text and a passage is tested by
 
 from __future__ import annotations
 
+import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 8_000_000
+#: An automaton takes some 100 bytes a character in each worker.
+BLOCK_CHARS = 1_000_000
 
 
 def _blocks(passages: DataFrame, item: str, text: str, block_chars: int):
@@ -48,10 +50,6 @@ def contained(docs: DataFrame, passages: DataFrame, key: str, item: str, text: s
 
 
 def _finder(block):
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda t: dict.fromkeys(i for i, p in block if p in t)
     ids: dict[str, list] = {}
     for i, p in block:
         ids.setdefault(p, []).append(i)

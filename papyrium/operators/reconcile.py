@@ -106,14 +106,17 @@ def multiset_difference(left: DataFrame, right: DataFrame, by: list[str], item:
 
 def merge_counters(stats: DataFrame, by: list[str], counters: list[str], residual: str | None = None, audited: str | None = None) -> DataFrame:
     """Sums of counters; residual ids are united, less those that a later audit looked at and cleared."""
-    aggs = [F.sum(c).alias(c) for c in counters]
-    if residual:
-        aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(residual)))).alias(residual))
-    out = stats.groupBy(*by).agg(*aggs)
-    if residual and audited:
-        cleared = stats.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list(F.array_except(audited, residual)))).alias("_clear"))
-        out = out.join(cleared, by).withColumn(residual, F.array_except(residual, "_clear")).drop("_clear")
-    return out
+    out = stats.groupBy(*by).agg(*(F.sum(c).alias(c) for c in counters))
+    if not residual:
+        return out
+    # Ids are exploded and made distinct in parts; a group's array holds each once.
+    ids = lambda c: stats.select(*by, F.explode(c).alias("_id")).distinct()
+    left = ids(F.col(residual))
+    if audited:
+        left = left.join(ids(F.array_except(audited, residual)), [*by, "_id"], "left_anti")
+    kind = stats.schema[residual].dataType.simpleString()
+    named = left.groupBy(*by).agg(F.array_sort(F.collect_set("_id")).alias(residual))
+    return out.join(named, by, "left").withColumn(residual, F.coalesce(residual, F.array().cast(kind)))
 
 
 def reclaimable(files: DataFrame, references: DataFrame, key: str, kind: str, modified: str, now: Column, grace_days: int = 3) -> DataFrame:

@@ -112,7 +112,7 @@ def failure_classify(spark, d):
 
 
 def failure_evidence(spark, d):
-    return _classified(spark, d).filter("category = 'secret.token'").select("doc_id", F.length("evidence").cast("long").alias("evidence_chars"), "evidence")
+    return _classified(spark, d).select("doc_id", F.length("evidence").cast("long").alias("evidence_chars"), "evidence")
 
 
 def failure_summary(spark, d):
@@ -143,8 +143,8 @@ def status_machine(spark, d):
 
 def store_upsert(spark, d):
     """Field merge with new keys: labels into documents."""
-    store = load(spark, d, "documents").select("doc_id", "lang", "source").filter("doc_id % 2 = 0")
-    changes = load(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").alias("source"))
+    store = load(spark, d, "documents").select("doc_id", "lang", "source")
+    changes = load(spark, d, "labels").select((F.col("doc_id") + F.when(F.col("toxic") == 1, 1_000_000_000).otherwise(0)).alias("doc_id"), F.when(F.col("toxic") == 1, "toxic").alias("source"))
     return R.upsert(store, changes, "doc_id")
 
 
@@ -158,6 +158,8 @@ def counter_merge(spark, d):
 _DOC_GATE = "gate AS (SELECT d.doc_id, coalesce(s.status = 'failed' OR s.tainted, FALSE) OR contains(d.text, 'token =') AS blocked FROM documents d LEFT JOIN statuses s USING (doc_id))"
 _CASE = " ".join(f"WHEN regexp_matches(text, '(?i){r[4]}') THEN '{r[0]}'" for r in _LADDER)
 _SPEC = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}', '{r[3]}', {str(r[2] != 'manual_review').upper()})" for r in (*_LADDER, _ELSE))
+#: The first match of a category's pattern.
+_FOUND = " ".join(f"WHEN '{r[0]}' THEN regexp_extract(text, '(?i){r[4]}')" for r in _LADDER)
 _CLASSIFIED = f"""
 WITH spec(category, family, retry_strategy, repair_action, retryable) AS (VALUES {_SPEC}),
 c AS (SELECT doc_id, CASE {_CASE} ELSE '{_ELSE[0]}' END AS category, text FROM documents),
@@ -224,9 +226,11 @@ WITH u AS (SELECT doc_id + CASE WHEN toxic = 1 THEN 1000000 ELSE 0 END AS doc_id
 SELECT (SELECT count(*) FROM documents d JOIN u USING (doc_id) WHERE u.lang <> d.lang) AS changed, (SELECT count(*) FROM documents JOIN u USING (doc_id)) AS matched,
   (SELECT count(*) FROM u WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS missing""",
     "failure_classify": f"{_CLASSIFIED} SELECT doc_id, category, family, retry_strategy, repair_action, retryable FROM r",
-    "failure_evidence": f"""{_CLASSIFIED}, e AS (
-  SELECT doc_id, left(trim(regexp_replace(substr(text, greatest(strpos(lower(text), 'token = ') - 100, 1), strpos(lower(text), 'token = ') + 8 + 180 - greatest(strpos(lower(text), 'token = ') - 100, 1)), '\\s+', ' ', 'g')), 500) AS evidence
-  FROM r WHERE category = 'secret.token')
+    "failure_evidence": f"""{_CLASSIFIED}, m AS (SELECT doc_id, text, CASE category {_FOUND} ELSE '' END AS hit FROM r),
+p AS (SELECT *, greatest(strpos(text, hit) - 100, 1) AS begin FROM m),
+e AS (
+  SELECT doc_id, CASE WHEN hit = '' THEN left(coalesce(text, ''), 500)
+    ELSE left(trim(regexp_replace(substr(text, begin, strpos(text, hit) + length(hit) + 180 - begin), '\\s+', ' ', 'g')), 500) END AS evidence FROM p)
 SELECT doc_id, length(evidence) AS evidence_chars, evidence FROM e""",
     "failure_summary": f"{_CLASSIFIED} SELECT category, retry_strategy, count(*) AS n FROM r GROUP BY GROUPING SETS ((category), (retry_strategy), ())",
     "patch_plan": f"""{_CLASSIFIED}
@@ -243,7 +247,7 @@ SELECT doc_id, event, CASE event WHEN 'taint' THEN 'failed' WHEN 'verify' THEN C
   WHEN 'set_ok' THEN CASE WHEN tainted THEN status ELSE 'ok' END ELSE CASE WHEN status = 'failed' AND ok AND NOT tainted THEN 'ok' ELSE status END END AS next FROM e""",
     "store_upsert": """
 SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, source) AS source
-FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id""",
+FROM documents d FULL JOIN (SELECT doc_id + CASE WHEN toxic = 1 THEN 1000000000 ELSE 0 END AS doc_id, toxic FROM labels) l ON d.doc_id = l.doc_id""",
     "counter_merge": """
 SELECT source, 'chars' AS name, sum(n_chars)::BIGINT AS n FROM documents GROUP BY source UNION ALL
 SELECT source, 'lines', sum(len(string_split(text, chr(10))))::BIGINT FROM documents GROUP BY source""",

@@ -77,7 +77,7 @@ def worst_docs(spark, d):
 
 def line_samples(spark, d):
     flagged = _lines(spark, d).filter("very_long")
-    return Q.first_samples(flagged, ["doc_id"], "pos", "line", 2, 40).select("doc_id", F.array_join("samples", "|").alias("samples"))
+    return Q.first_samples(flagged, ["doc_id"], "pos", "line").select("doc_id", F.array_join("samples", "|").alias("samples"))
 
 
 def paged_quality(spark, d):
@@ -172,7 +172,7 @@ WITH {_LINES}, h AS (
 SELECT doc_id, pos, hit, context FROM n WHERE flag AND hit <= 10""",
     "worst_docs": f"{_REPORT} SELECT doc_id, broad_english, cjk_pct FROM r ORDER BY broad_english DESC, cjk_pct, doc_id LIMIT 30",
     "line_samples": f"""
-WITH {_LINES}, n AS (SELECT doc_id, pos, left(line, 40) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f WHERE very_long)
-SELECT doc_id, string_agg(t, '|' ORDER BY pos) AS samples FROM n WHERE n <= 2 GROUP BY doc_id""",
+WITH {_LINES}, n AS (SELECT doc_id, pos, left(line, 220) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f WHERE very_long)
+SELECT doc_id, string_agg(t, '|' ORDER BY pos) AS samples FROM n WHERE n <= 5 GROUP BY doc_id""",
     "contained_passages": "SELECT doc_id, item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text)",
 }

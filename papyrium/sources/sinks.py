@@ -45,11 +45,16 @@ def merge_table(store: DataFrame, changes: DataFrame, key: str, root: str, creat
 
 def insert_first(index: DataFrame, row: DataFrame, key: str = "arxiv_id", pos: str = "pos") -> DataFrame:
     """A manual insert: the row takes the place of an equal id, else comes first."""
-    old = row.join(index.select(key, F.col(pos).alias("_at")), key, "left")
-    placed = old.withColumn(pos, F.coalesce("_at", F.lit(-1))).select(*index.columns)
-    both = index.join(row.select(key), key, "left_anti").unionByName(placed)
-    w = Window.orderBy(pos)
-    return both.withColumn(pos, F.row_number().over(w) - 1)
+    known = index.select(key, F.col(pos).alias("_at"))
+    both = row.join(known, key, "left")
+    # Only rows that come in anew are numbered, and the others move by how many there are.
+    fresh = both.filter("_at IS NULL").withColumn(pos, F.row_number().over(Window.orderBy(key)) - 1)
+    moved = fresh.agg(F.count(F.lit(1)).alias("_more"))
+    placed = both.filter("_at IS NOT NULL").withColumn(pos, F.col("_at")).select(*index.columns)
+    rest = index.join(row.select(key), key, "left_anti").unionByName(placed).crossJoin(F.broadcast(moved))
+    kind = index.schema[pos].dataType
+    rest = rest.withColumn(pos, (F.col(pos) + F.col("_more")).cast(kind)).select(*index.columns)
+    return rest.unionByName(fresh.withColumn(pos, F.col(pos).cast(kind)).select(*index.columns))
 
 
 def delete_paper(index: DataFrame, others: DataFrame, files: DataFrame, arxiv_id: str, scan_errors: int, key: str = "arxiv_id") -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.calendar import calendar_key
@@ -45,36 +46,27 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "3 days") -> Data
 
 
 def refresh_boards(events: DataFrame, root: str, mode: str, checkpoint: str, limit: int | None = None) -> StreamingQuery:
-    """Recomputes each board that a micro-batch touches, from all its counts, into root/key=...
+    """Recomputes each board that a micro-batch touches, from all its counts, into root/board/key=...
 
-    Counts come in complete per key (update mode), and a key's folder is replaced whole, so a batch
-    that is run again writes the same rows again.
+    Counts come in complete per key and item (update mode) and are only ever added: a batch writes a folder of
+    its own, root/counts/batch=N/key=..., and a later batch's count of an item is the one that holds. A batch
+    that fails midway and is run again writes that folder anew and reads those before it, which nothing
+    changes. Only folders of the touched keys are read. Boards are derived and replaced whole by key.
     """
     from ..functions.calendar import MODES
     from ..operators.boards import top_n
 
     n = limit or MODES[mode]["limit"]
     totals = counts(events, mode).groupBy("key", "user_id").agg(F.sum("votes").alias("votes")) if mode == "monthly" else counts(events, mode).select("key", "user_id", "votes")
+    schema = T.StructType([totals.schema["user_id"], totals.schema["votes"], T.StructField("batch", T.LongType()), T.StructField("key", T.StringType())])
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        keys = batch.select("key").distinct()
-        state = f"{root}/counts"
-        try:
-            old = spark.read.parquet(state)
-            old = old.join(keys, "key").join(batch.select("key", "user_id"), ["key", "user_id"], "left_anti").select("key", "user_id", "votes")
-            every = batch.select("key", "user_id", "votes").unionByName(old)
-        except Exception as missing:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            every = batch.select("key", "user_id", "votes")
-        every = every.persist()
-        try:
-            every.count()
-            write_ = lambda df, where: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").parquet(where)
-            write_(top_n(every, ["key"], [F.desc("votes"), F.asc("user_id")], n), f"{root}/board")
-            write_(every, state)
-        finally:
-            every.unpersist()
+        batch.select("user_id", "votes", "key").write.mode("overwrite").partitionBy("key").parquet(f"{root}/counts/batch={number}")
+        every = spark.read.schema(schema).parquet(f"{root}/counts").filter(F.col("batch") <= number)
+        touched = every.filter(F.col("batch") == number).select("key").distinct()
+        latest = every.join(F.broadcast(touched), "key", "left_semi").groupBy("key", "user_id").agg(F.max_by("votes", "batch").alias("votes"))
+        board = top_n(latest, ["key"], [F.desc("votes"), F.asc("user_id")], n)
+        board.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").parquet(f"{root}/board")
 
     return totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
