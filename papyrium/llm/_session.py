@@ -32,12 +32,15 @@ BATCH_BYTES = 4 << 20
 
 
 def _bounded_batches(spark: SparkSession) -> None:
-    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
-        now = spark.conf.get(key, None)
-        digits = "".join(c for c in now or "" if c.isdigit())
-        size = int(digits or 0) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get((now or "b").lower().rstrip("b")[-1:], 1)
-        if size <= 0 or size > BATCH_BYTES:
-            spark.conf.set(key, str(BATCH_BYTES))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    digits = "".join(c for c in now or "" if c.isdigit())
+    size = int(digits or 0) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get((now or "b").lower().rstrip("b")[-1:], 1)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    # Operators bound what they return themselves. Cut by Spark, a batch above a limit reaches the JVM without
+    # columns and the task fails.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", "-1")
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -99,7 +102,14 @@ def quoted(name: str) -> str:
 
 def packed(df: DataFrame, name: str = "row"):
     """All columns of `df` as one struct, so that no name of a caller's column meets one of ours."""
-    return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias(name) if df.columns else F.lit(None).alias(name)
+    return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias(name) if df.columns else F.struct(F.lit(0).alias("none")).alias(name)
+
+
+def beside(df: DataFrame, text_col: str) -> tuple[DataFrame, dict]:
+    """`df` as a column `text` and a struct `row` of all others; and the columns that restore it, by name."""
+    rest = df.select(*(F.col(quoted(c)) for c in df.columns if c != text_col))
+    out = {c: (F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns}
+    return df.select(packed(rest), F.col(quoted(text_col)).alias("text")), out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

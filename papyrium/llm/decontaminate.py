@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._batch import Spans, Texts, bounded, sequence_hash
-from ._session import packed, quoted, ship, table, without, written
+from ._session import beside, quoted, ship, table, without, written
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -135,8 +135,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
     blocks = _blocks(bench, item_col, item_text, window, block_words)
     first = next(blocks, None) or _Block([], Texts(pa.array([], type=pa.large_string())), window)
     second = next(blocks, None)
-    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
-    rows = docs.select(packed(docs), id_.alias("id"), text.alias("text"))
+    rows, own = beside(docs, text_col)
 
     def scanner(block):
         def scan(batches):
@@ -171,10 +170,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
     out = one(first)
     if second is not None:
         # Beyond the bound: a scan for each block; the same row meets itself by id and text.
-        key = [F.col("id").alias("doc"), F.xxhash64("text").alias("of")]
+        id_ = F.col("row").getField(id_col)
+        key = [id_.alias("doc"), F.xxhash64("text").alias("of")]
         for block in itertools.chain((second,), blocks):
             more = written(one(block).filter(F.size("items") > 0).select(*key, F.col("runs").alias("more"), F.col("items").alias("others"))).groupBy("doc", "of").agg(F.first("more").alias("more"), F.first("others").alias("others"))
-            joined = out.join(more, F.col("id").eqNullSafe(F.col("doc")) & F.xxhash64("text").eqNullSafe(F.col("of")), "left")
+            joined = out.join(more, id_.eqNullSafe(F.col("doc")) & F.xxhash64("text").eqNullSafe(F.col("of")), "left")
             out = joined.withColumns({"runs": F.when(F.col("more").isNull(), F.col("runs")).otherwise(F.concat("runs", "more")), "items": F.array_sort(F.array_union("items", F.coalesce("others", F.array().cast("array<string>"))))}).drop("doc", "of", "more", "others")
     if action == "spans" or second is not None:
 
@@ -203,7 +203,6 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
         out = out.withColumn("settled", settle("text", "runs")).withColumn("n_hit", F.col("settled.n_hit"))
     if action == "documents":
         out = out.filter(F.col("n_hit") == 0)
-    own = {c: F.col("row").getField(c).alias(c) for c in docs.columns}
     if action == "spans":
         own[text_col] = F.col("settled.text").alias(text_col)
     return out.select(*own.values(), "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ._batch import Spans, Texts, bounded
 from ._charlm import CharModels
-from ._session import packed, quoted, ship, table, without
+from ._session import beside, quoted, ship, table, without
 
 ORDER = 5
 DOCS_PER_LANGUAGE = 600
@@ -234,11 +234,11 @@ def identify(docs: DataFrame, identifier: Identifier, text_col: str = "text") ->
         known = _Known(len(shared.value.model.classes))
         for batch in bounded(batches):
             langs, score, rejected = shared.value.judge(Texts(batch.column("text")), known)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, type=pa.string()), pa.array(score), pa.array(rejected)], ["row", *(n for n, _ in more)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, type=pa.string()), pa.array(score), pa.array(rejected)], ["row", "text", *(n for n, _ in more)])
 
-    rows = docs.select(packed(docs), F.col(quoted(text_col)).alias("text"))
-    out = rows.mapInArrow(each, T.StructType([rows.schema["row"], *(T.StructField(n, t) for n, t in more)]))
-    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(n for n, _ in more))
+    rows, own = beside(docs, text_col)
+    out = rows.mapInArrow(each, T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in more)]))
+    return out.select(*own.values(), *(n for n, _ in more))
 
 
 def fold(id_col: str | Column, n: int) -> Column:

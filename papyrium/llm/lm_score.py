@@ -275,7 +275,6 @@ def _words(docs: DataFrame) -> DataFrame:
             keys, first, counts = np.unique(words.hashes(), return_index=True, return_counts=True)
             data = texts.data.tobytes()
             starts, ends = words.starts[first], words.ends[first]
-            # Batches that Spark need not split: those of BATCH_BYTES and more can reach the JVM without columns.
             part = np.cumsum(ends - starts + 24) // (BATCH_BYTES // 4)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
             for i, j in zip(cuts, cuts[1:]):

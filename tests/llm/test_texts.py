@@ -353,3 +353,16 @@ def test_lm_learns_from_every_training_word(spark):
     bits = sum(c * known.get(int(Spans(Texts(pa.array([w])), SPACE).hashes()[0]), int(own.code.length[1])) for w, c in sizes.items()) + len(texts) * int(own.code.length[0])
     assert int(own.counts.sum() + own.symbols[1]) == sum(sizes.values())
     assert model.bits_learned == bits
+
+
+def test_texts_above_the_batch_limit(spark):
+    """Single texts and results above the bytes of an Arrow batch reach the JVM whole."""
+    from papyrium.llm._session import BATCH_BYTES
+
+    text = "some words that go on " * (BATCH_BYTES // 8)
+    df = spark.createDataFrame([(1, text, "en", "s", 1), (2, "short", "en", "s", 1)], SCHEMA)
+    bench = spark.createDataFrame([(1, "no such words in it")], "item_id long, text string")
+    assert got(decontaminate.find_leaks(df, bench))[1]["text"] == text
+    known = language_id.fit(df)
+    assert got(language_id.identify(df, known))[1]["text"] == text
+    assert got(quality_rules.judge(df))[1]["n_words"] == 5 * (BATCH_BYTES // 8)
