@@ -51,6 +51,11 @@ def _keys(c) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda k: F.trim(k)), lambda k: k != "")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is evaluated once, also where lambdas inside ask for it at every element."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def defined_commands(*texts) -> Column:
     """Names of the commands that some texts define."""
     return F.array_distinct(F.concat(*(_all(t, _DEFINES) for t in texts)))
@@ -77,7 +82,7 @@ def space_layout_words(c, definitions=None) -> Column:
     glued = rf"\\(?:{names})(?:[A-Z][a-z]{{1,40}}(?=\z|[\\\s()\[\],.;:!?，。；：！？{WIDE}])|(?=[{WIDE}]))"
     own = defined_commands(c, *(() if definitions is None else (definitions,)))
     whole = rf"\A(\\(?:{names}))([A-Z][a-z]+)?\z"
-    return rewritten(c, f"{keep}|{glued}", lambda m: F.when(m.rlike(whole) & ~F.array_contains(own, F.substr(m, F.lit(2))), F.regexp_replace(m, whole, "$1 $2")))
+    return _bound(own, lambda own: rewritten(c, f"{keep}|{glued}", lambda m: F.when(m.rlike(whole) & ~F.array_contains(own, F.substr(m, F.lit(2))), F.regexp_replace(m, whole, "$1 $2"))))
 
 
 def space_layout_commands(c) -> Column:
@@ -104,11 +109,8 @@ def space_algorithm_commands(c) -> Column:
 def embolden_text_words(c) -> Column:
     r"""\textWord without a definition, in front of punctuation or space, is the bold word."""
     own = _all(c, r"\\(?:newcommand|renewcommand|providecommand)\s*\{\\([A-Za-z@]+)\}")
-    return rewritten(
-        c,
-        r"\\text[A-Z][A-Za-z]{1,40}(?=[:：,，.;；!?！？\s])",
-        lambda m: F.when(~F.array_contains(own, F.substr(m, F.lit(2))), F.concat(F.lit("\\textbf{"), F.substr(m, F.lit(6)), F.lit("}"))),
-    )
+    word = r"\\text[A-Z][A-Za-z]{1,40}(?=[:：,，.;；!?！？\s])"
+    return _bound(own, lambda own: rewritten(c, word, lambda m: F.when(~F.array_contains(own, F.substr(m, F.lit(2))), F.concat(F.lit("\\textbf{"), F.substr(m, F.lit(6)), F.lit("}")))))
 
 
 def restore_math_alias(c, short: str = "I", full: str = "Imat") -> Column:
@@ -124,12 +126,12 @@ def split_label_lists(c) -> Column:
     pattern = r"\\(ref|eqref|autoref)\{([^{}\n]*,[^{}\n]*)\}"
     labels = F.array_distinct(F.transform(_all(c, r"\\label\{([^{}\n]+)\}"), lambda x: F.trim(x)))
 
-    def by(m):
+    def by(m, labels):
         names = F.transform(F.split(_part(m, pattern, 2), ","), lambda x: F.trim(x))
         known = F.forall(names, lambda x: (x != "") & F.array_contains(labels, x)) & ~F.array_contains(labels, F.trim(_part(m, pattern, 2)))
         return F.when(known, F.array_join(F.transform(names, lambda x: F.concat(F.lit("\\"), _part(m, pattern, 1), F.lit("{"), x, F.lit("}"))), ", "))
 
-    return rewritten(c, pattern, by)
+    return _bound(labels, lambda labels: rewritten(c, pattern, lambda m: by(m, labels)))
 
 
 def matrix_breaks_as_spaces(c) -> Column:
@@ -191,13 +193,13 @@ def restore_links(c, source) -> Column:
     link = r"\\href\{([^{}]+)\}\{([^{}]*)\}"
     links = F.arrays_zip(_all(source, link, 1).alias("url"), _all(source, link, 2).alias("shown"))
 
-    def by(m):
+    def by(m, links):
         cut = F.trim(_part(m, r"\{([^}\n]+)\n", 1))
         alike = F.filter(links, lambda x: F.startswith(x["url"], cut) | F.startswith(cut, F.substr(x["url"], F.lit(1), F.greatest(F.lit(8), F.length(cut)))))
         first = F.get(alike, F.lit(0))
         return F.coalesce(F.concat(F.lit("\\href{"), first["url"], F.lit("}{"), first["shown"], F.lit("}\n")), F.lit(""))
 
-    return rewritten(c, r"\\href\{[^}\n]+\n", by)
+    return _bound(links, lambda links: rewritten(c, r"\\href\{[^}\n]+\n", lambda m: by(m, links)))
 
 
 def compact_aux(c) -> Column:
@@ -244,17 +246,22 @@ def mark_missing_citations(c, entries) -> Column:
     """Cited keys without an entry in a bibliography become a mark; n counts such keys. Without any entry nothing changes."""
     known = F.array_distinct(_all(entries, r"\\bibitem(?:\[[^\]]*\])?\{([^{}]+)\}"))
 
-    def by(m):
-        keys = _keys(_part(m, CITE, 3))
-        has, lacks = F.filter(keys, lambda k: F.array_contains(known, k)), F.filter(keys, lambda k: ~F.array_contains(known, k))
+    def by(m, has, lacks):
         rest = F.when(F.size(has) > 0, F.concat(F.lit("\\"), _part(m, CITE, 1), _part(m, CITE, 2), F.lit("{"), F.array_join(has, ","), F.lit("}"))).otherwise("")
         mark = F.concat(F.lit("\\textsuperscript{[" + NO_ENTRY + ":"), F.array_join(lacks, ","), F.lit("]}"))
-        silent = _part(m, CITE, 1) == "nocite"
         bare = F.when(F.size(has) > 0, F.concat(F.lit("\\nocite{"), F.array_join(has, ","), F.lit("}"))).otherwise("")
-        return F.when((F.size(known) > 0) & (F.size(lacks) > 0), F.when(silent, bare).otherwise(F.concat(rest, mark)))
+        return F.when(F.size(lacks) > 0, F.when(_part(m, CITE, 1) == "nocite", bare).otherwise(F.concat(rest, mark)))
+
+    def parted(m, known):
+        keys = F.transform(_keys(_part(m, CITE, 3)), lambda k: F.struct(k.alias("k"), F.array_contains(known, k).alias("has")))
+        return _bound(keys, lambda ks: by(m, F.filter(ks, lambda k: k["has"])["k"], F.filter(ks, lambda k: ~k["has"])["k"]))
+
+    def repaired(known):
+        missing = F.size(F.array_except(cited_keys(c), known))
+        done = F.struct(rewritten(c, CITE, lambda m: parted(m, known))["text"].alias("text"), missing.alias("n"))
+        return F.when(F.size(known) > 0, done).otherwise(F.struct(_text(c).alias("text"), F.lit(0).alias("n")))
 
-    missing = F.when(F.size(known) > 0, F.size(F.array_except(cited_keys(c), known))).otherwise(0)
-    return F.struct(rewritten(c, CITE, by)["text"].alias("text"), missing.alias("n"))
+    return _bound(known, repaired)
 
 
 # Over one text.

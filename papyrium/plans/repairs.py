@@ -119,7 +119,7 @@ SELECT doc_id, len(regexp_extract_all(t, '\n[A-Z][a-z]{{1,40}}[ ,.]')) AS n,
   SELECT doc_id, (pos - 1) // 3 AS k, string_agg(x, ',' ORDER BY pos) AS keys FROM p GROUP BY 1, 2)
 SELECT doc_id, (count(*) > 1)::BIGINT AS n, sha256(string_agg('\cite{{' || keys || '}}', '' ORDER BY k)) AS repaired FROM c GROUP BY 1""",
     "repair_missing_citations": rf"""{_DOCS}, s AS (
-  SELECT doc_id, w, list_filter(w, x -> length(x) > 5) AS has, list_filter(w, x -> length(x) <= 5) AS lacks FROM d)
+  SELECT doc_id, w, list_filter(w, lambda x: length(x) > 5) AS has, list_filter(w, lambda x: length(x) <= 5) AS lacks FROM d)
 SELECT doc_id, CASE WHEN len(has) = 0 THEN 0 ELSE len(list_distinct(lacks)) END AS n,
   sha256('\cite{{' || CASE WHEN len(has) = 0 OR len(lacks) = 0 THEN array_to_string(w, ',') || '}}'
     ELSE array_to_string(has, ',') || '}}\textsuperscript{{[缺失引用:' || array_to_string(lacks, ',') || ']}}' END) AS repaired FROM s""",
