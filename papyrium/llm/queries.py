@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, lm_score, quality_rules, secrets, source_mix, url_filter
+from . import decontaminate, filter_audit, html_extract, jaccard_join, language_id, line_dedup, lm_score, quality_rules, secrets, source_mix, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
