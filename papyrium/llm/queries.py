@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, html_extract, jaccard_join, language_id, line_dedup, lm_score, quality_rules, secrets, source_mix, url_filter
+from . import decontaminate, fill_middle, filter_audit, html_extract, jaccard_join, language_id, line_dedup, lm_score, quality_rules, secrets, source_mix, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op6_benchmark_decontamination": decontaminate.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_fill_middle": fill_middle.SQL,
 }
