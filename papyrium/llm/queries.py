@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fill_middle, filter_audit, html_extract, jaccard_join, language_id, line_dedup, lm_score, quality_rules, secrets, source_mix, url_filter
+from . import bpe, decontaminate, fill_middle, filter_audit, html_extract, jaccard_join, language_id, line_dedup, lm_score, quality_rules, secrets, source_mix, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_bpe": bpe.op13_bpe,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
