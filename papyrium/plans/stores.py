@@ -107,6 +107,30 @@ def _classified(spark, d):
     return load(spark, d, "documents").select("doc_id", X.ladder(F.col("text"), _LADDER, _ELSE).alias("x")).select("doc_id", "x.*")
 
 
+#: Messages of failed runs, (phase, text): each rule of the two ladders has one at least, the last have none.
+_MESSAGES = (
+    ("translate", "insufficient_user_quota: balance 0.005 is insufficient"), ("translate", "FileNotFoundError: x\nin workfolder"), ("translate", "main source was not found"),
+    ("translate", "401 Unauthorized"), ("translate", "Too Many Requests"), ("translate", "Connection timed out"), ("translate", "RuntimeError in a thread"), ("translate", "Traceback of a call"),
+    ("translate", "nothing came back"), ("compile", "TeX capacity exceeded, sorry"), ("compile", "Could not find file: assets/logo.png"), ("compile", "! LaTeX Error: File `nice.sty' not found."),
+    ("compile", "LaTeX Error: Environment CJK* undefined"), ("compile", 'x "translation": "\\\\section{a}"'), ("compile", 'fontspec Error: The font "SourceSans3-Bold" cannot be found'),
+    ("compile", "Undefined control sequence.\n\\pdfshellescape"), ("compile", "Undefined control sequence.\nl.7 \\pdfoutput"), ("compile", "Undefined control sequence. \\endtcolorbox"),
+    ("compile", "matrix of nodes"), ("compile", "Undefined control sequence.\nl.72 \\nndiff{x}"), ("compile", "Undefined control sequence.\nl.72 \\method"), ("compile", "Runaway argument?"),
+    ("compile", "Illegal unit of measure"), ("compile", "Missing $ inserted"), ("compile", "LaTeX Error in lstlisting"), ("compile", "translation coverage check failed"), ("compile", "compile timed out"),
+    ("compile", "Package foo Error: bad option"), ("compile", "nothing that is known"),
+)
+
+
+def failure_ladder(spark, d):
+    """The log of a failed run for each document: its message, the first line of the text, a second message in some."""
+    docs = load(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("said"))
+    table = F.array(*(F.struct(F.lit(p).alias("phase"), F.lit(m).alias("message")) for p, m in _MESSAGES))
+    one, two = F.get(table, (F.col("doc_id") % len(_MESSAGES)).cast("int")), F.get(table, (F.col("doc_id") * 7 % len(_MESSAGES)).cast("int"))
+    also = F.when((F.col("doc_id") % 3 == 0) & (two["phase"] == one["phase"]), F.concat(F.lit("\n"), two["message"])).otherwise("")
+    log = F.concat(one["message"], F.lit("\n"), "said", also)
+    logs = docs.select("doc_id", one["phase"].alias("phase"), F.when(one["phase"] == "compile", log).alias("log"), F.when(one["phase"] == "translate", log).alias("error"))
+    return logs.select("doc_id", X.classify("phase", "log", "error").alias("x")).select("doc_id", "x.category", "x.family", "x.retry_strategy", "x.repair_action", "x.retryable", "x.suggestion")
+
+
 def failure_classify(spark, d):
     return _classified(spark, d).select("doc_id", "category", "family", "retry_strategy", "repair_action", "retryable")
 
@@ -165,6 +189,22 @@ WITH spec(category, family, retry_strategy, repair_action, retryable) AS (VALUES
 c AS (SELECT doc_id, CASE {_CASE} ELSE '{_ELSE[0]}' END AS category, text FROM documents),
 r AS (SELECT c.*, family, retry_strategy, repair_action, retryable FROM c JOIN spec USING (category))"""
 
+def _ladder_sql(rules, otherwise, text: str, wide: str) -> str:
+    """The first rule that matches; the engine has no reference to a group, so doubled letters are told one by one."""
+    doubled = "(" + "|".join(f"{c}{c}|{c}{c.upper()}|{c.upper()}{c}|{c.upper()}{c.upper()}" for c in "abcdefghijklmnopqrstuvwxyz") + ")"
+    cases = []
+    for rule in rules:
+        own = wide if rule[0] in X.BOTH_TEXTS else text
+        tests = [p.replace("([A-Za-z])\\1", doubled).replace("'", "''") for p in rule[4:]]
+        flags = ["" if p.startswith("(?-i)") else "(?i)" for p in tests]
+        cases.append("WHEN " + " AND ".join(f"regexp_matches({own}, '{f}{p.removeprefix('(?-i)')}')" for f, p in zip(flags, tests)) + f" THEN '{rule[0]}'")
+    return f"CASE {' '.join(cases)} ELSE '{otherwise[0]}' END"
+
+
+_EVERY = (*X.TRANSLATE_LADDER, X.TRANSLATE_ELSE, *X.COMPILE_LADDER, X.COMPILE_ELSE)
+_EVERY_SPEC = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}', '{r[3]}', {str(r[2] != 'manual_review').upper()}, '{X.SUGGESTIONS[r[0]]}')" for r in _EVERY)
+_SAID = ", ".join("('{}', '{}')".format(p, m.replace("'", "''")) for p, m in _MESSAGES)
+
 QUERIES = {
     "store_merge": store_merge,
     "final_state_merge": final_state_merge,
@@ -178,6 +218,7 @@ QUERIES = {
     "orphans": orphans,
     "change_delta": change_delta,
     "failure_classify": failure_classify,
+    "failure_ladder": failure_ladder,
     "failure_evidence": failure_evidence,
     "failure_summary": failure_summary,
     "patch_plan": patch_plan,
@@ -197,6 +238,13 @@ i AS (
 )"""
 
 ORACLE_SQL = {
+    "failure_ladder": f"""
+WITH spec(category, family, retry_strategy, repair_action, retryable, suggestion) AS (VALUES {_EVERY_SPEC}),
+msg AS (SELECT row_number() OVER () - 1 AS k, phase, message FROM (VALUES {_SAID}) v(phase, message)),
+l AS (SELECT doc_id, a.phase, a.message || chr(10) || string_split(text, chr(10))[1] || CASE WHEN doc_id % 3 = 0 AND a.phase = b.phase THEN chr(10) || b.message ELSE '' END AS log
+  FROM documents JOIN msg a ON a.k = doc_id % {len(_MESSAGES)} JOIN msg b ON b.k = doc_id * 7 % {len(_MESSAGES)}),
+c AS (SELECT doc_id, CASE WHEN phase = 'translate' THEN {_ladder_sql(X.TRANSLATE_LADDER, X.TRANSLATE_ELSE, "log", "log")} ELSE {_ladder_sql(X.COMPILE_LADDER, X.COMPILE_ELSE, "log", "log")} END AS category FROM l)
+SELECT doc_id, category, family, retry_strategy, repair_action, retryable, suggestion FROM c JOIN spec USING (category)""",
     "store_merge": """
 SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'xx' END, lang) AS lang, coalesce(CASE WHEN quality = 0 THEN 'index' END, source) AS source
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
