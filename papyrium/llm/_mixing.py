@@ -105,15 +105,28 @@ def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
 _LOGS = np.log(np.arange(4096) + 0.4).astype(np.float32)
 _FEW = np.digitize(np.arange(17), (1, 3, 16)).astype(np.intp)
 DEPTHS = np.digitize(np.arange(40), (2, 5, 9, 13)).tolist()
-#: The first segment of a text, and the slots for the pasts of a chunk's texts as a power of 2.
+#: The first segment of a text.
 FIRST = 16
-OWN_BITS = 20
+#: Slots of a text's own past, for each of its positions.
+ROOM = 8
+
+
+def room_bits(positions: np.ndarray) -> np.ndarray:
+    """Slots for the past of texts of so many positions, as powers of 2."""
+    return np.ceil(np.log2(np.maximum(positions, 1) * ROOM)).astype(np.int64).clip(4, 30)
+
+
+def room_slot(node: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """The slot of a node among the 2 ** (32 - shift) of a text."""
+    h = node * _A
+    return ((h ^ (h >> np.uint32(15))) * _B) >> shift
 
 
 class Chunk:
     """Positions of whole texts: symbols' codes and hashed contexts, ordered by segment and falling length.
 
-    text, step: the number of each position's text and its place in it; guess: the code that the text's own past
+    text, step: the number of each position's text and its place in it. Each text's past has slots of its own, by its
+    length, so that nothing depends on the texts beside it. guess: the code that the text's own past
     foretells, and trust: 0 without a guess, 1 to 3 by how many guesses came true just before. Symbols without a
     past (the bytes of words) have a place in the word instead. teaches: positions that a mixer may learn from and
     that are in the counts; None for all.
@@ -127,7 +140,12 @@ class Chunk:
         self.order = np.argsort(segment * np.int16(64) - length, kind="stable")
         pick = lambda x: None if x is None else x.take(self.order, mode="clip")
         self.left, self.length, self.contexts = pick(left), pick(length), [pick(c) for c in contexts]
-        self.text, self.guess, self.trust, self.place, self.teaches = pick(text), pick(guess), pick(trust), pick(place), pick(teaches)
+        self.guess, self.trust, self.place, self.teaches = pick(guess), pick(trust), pick(place), pick(teaches)
+        if self.past:
+            bits = room_bits(np.bincount(text)) if n else np.zeros(0, dtype=np.int64)
+            first = np.concatenate([[0], np.cumsum(1 << bits)])
+            self.room = int(first[-1])
+            self.shift, self.base = pick((32 - bits[text]).astype(np.uint32)), pick(first[:-1][text].astype(np.intp))
         self.bounds = np.searchsorted(segment.take(self.order), np.arange(int(segment.max(initial=-1)) + 2)).tolist()
 
     def levels(self):
@@ -187,8 +205,8 @@ class Mixer:
 
     def _rows(self, tables: Tables, chunk: Chunk):
         """For each level: the slice of positions, bits, inputs, gates."""
-        table = np.zeros(2 << OWN_BITS, dtype=np.intp) if chunk.past else None
-        base, met, one = -1, [], np.intp(1)
+        table = np.zeros(2 * chunk.room, dtype=np.int32) if chunk.past else None
+        base, met, one = -1, [], np.int32(1)
         for a, d, own, node, bit in chunk.levels():
             x = tables.inputs(chunk, own, node, bit)
             if chunk.past:
@@ -196,7 +214,7 @@ class Mixer:
                     for s in met:
                         np.add.at(table, s, one)
                     base, met = a, []
-                slot = (slots(chunk.text[own], node, OWN_BITS) << np.uint32(1)).astype(np.intp)
+                slot = (chunk.base[own] + room_slot(node, chunk.shift[own]).astype(np.intp)) << 1
                 met.append(slot + bit)
                 if a:
                     zeros, ones = table.take(slot, mode="clip"), table.take(slot + 1, mode="clip")

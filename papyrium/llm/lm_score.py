@@ -17,9 +17,11 @@ refines the mix. A word outside the code that the text has spelled before is one
 those. The score is the sum over all decisions; over the bytes it is the bits-a-byte figure.
 
 What is learned, and from where: words are counted by a shuffle, and everything else is summed over all
-training texts in tasks: bits by slot (dense blocks of slots, added up by a shuffle), then weights and map, online,
-each bit left out of its own counts; tasks' weights are averaged by curvature. Spelling is learned from every
-distinct word outside the code. A text's score depends on the model and on the text alone.
+training texts: bits by slot (dense blocks of slots, added up by a shuffle, for two halves of the texts apart), then weights
+and map, online, the texts of each half by the counts of the other. Texts are dealt into shards by a hash of id and text, as many as the counted words ask for, and read
+in order of that hash, in runs cut by size; each shard learns from the start, and the shards' weights are averaged by curvature. So the
+model depends on the rows alone, not on how a table or a job is partitioned. Spelling is learned in the same way from every
+distinct word outside the code. A text's score depends on the model and on the text alone: its past has slots of its own.
 
 The code holds at most `head_words` words (broadcast); their counts and all others' serve the base score, the
 latter through a shuffle join, so the vocabulary may grow without limit. Tables have fixed numbers of slots.
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +48,14 @@ BYTE_BITS = (16, 20, 20, 20)
 TOPICS = 16
 #: Bytes of text that go through the code at a time.
 READ_BYTES = 1 << 20
+#: Tokens of a shard of texts, and words of a shard of spelled words, that one learner reads.
+SHARD_TOKENS, SHARD_WORDS = 1 << 20, 1 << 18
 _BLOCK = 1 << 14
 _UNIT = 1 << 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _END, _OTHER = 0, 1
+#: Names of blocks: what stands beside the contexts, and the bit that tells the halves apart.
+_SYMBOLS, _HALF = 9, 48
 _CLOSE = 256
 
 
@@ -131,7 +138,7 @@ class Positions:
         miss = np.maximum.accumulate(np.where(true & ~opening, -1, here)) if n else here
         streak = np.concatenate([[0], (here - miss)[:-1]]) if n else here
         streak[opening] = 0
-        return _short(self.row.astype(np.uint64)), here - first, code.left[symbol], np.where(there, 1 + (streak > 0) + (streak > 3), 0).astype(np.uint32)
+        return self.row, here - first, code.left[symbol], np.where(there, 1 + (streak > 0) + (streak > 3), 0).astype(np.uint32)
 
 
 def _times(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +164,44 @@ def _reads(own: Vocabulary, batches, past: bool = True):
         yield Positions(own, Texts(batch.column("text")).lowered(), past)
 
 
+def _dealt(rows: DataFrame, key: str, column: str, shards: int) -> DataFrame:
+    """Shard (even for a half 0, odd for a half 1) and text in order: the same for the same rows, however they are
+    partitioned."""
+    shard = F.pmod(F.col(key), F.lit(shards)).cast("int") * 2
+    named = rows.select((shard + F.col("half") if "half" in rows.columns else shard).alias("shard"), key, column)
+    return named.repartition("shard").sortWithinPartitions("shard", key, column).select("shard", column)
+
+
+def _runs(batches, column: str, limit: int):
+    """(shard, its next texts) in order, cut by shard and by size, whatever the batches."""
+    part, used, now = [], 0, None
+    for batch in batches:
+        for shard, text in zip(batch.column("shard").to_pylist(), batch.column(column).to_pylist()):
+            if part and (shard != now or used + len(text) > limit):
+                yield now, part
+                part, used = [], 0
+            part.append(text)
+            used += len(text)
+            now = shard
+    if part:
+        yield now, part
+
+
+def _learned(runs, fresh, learn) -> np.ndarray:
+    """Sum over shards of what a mixer made by fresh() holds after learn(mixer, texts, shard) of the shard's runs, in whole
+    multiples of 1 / _UNIT."""
+    total, now, mixer = np.rint(fresh().sums() * 0), None, None
+    for shard, texts in runs:
+        if shard != now:
+            if mixer is not None:
+                total += np.rint(mixer.sums() * _UNIT)
+            now, mixer = shard, fresh()
+        learn(mixer, texts, shard)
+    if mixer is not None:
+        total += np.rint(mixer.sums() * _UNIT)
+    return total / _UNIT
+
+
 class Spelling:
     """The code of bytes and, by position, the chunks of some words: their bytes and a closing one."""
 
@@ -209,14 +254,24 @@ class _Counts:
                 own.clear()
         self.size = 0
 
-    def blocks(self):
+    def blocks(self, name: int = 0):
         """Batches of (block, its counts), those without any left out."""
         self.flush()
         for k, own in enumerate(self.sums):
-            cut = own.reshape(-1, min(_BLOCK, len(own)))
-            hit = np.flatnonzero(cut.any(axis=1))
-            for a in range(0, len(hit), 16):
-                yield _block_batch([(k << 32) + int(i) for i in hit[a : a + 16]], [cut[i] for i in hit[a : a + 16]])
+            yield from _dense(own, name + (k << 32))
+
+
+def _whole(n: int) -> int:
+    """The next multiple of a block's size."""
+    return -(-n // _BLOCK) * _BLOCK
+
+
+def _dense(sums: np.ndarray, name: int):
+    """Batches of the blocks of a vector that hold a count; blocks are named by `name` and their place."""
+    cut = sums.reshape(-1, min(_BLOCK, len(sums)))
+    hit = np.flatnonzero(cut.any(axis=1))
+    for a in range(0, len(hit), 16):
+        yield _block_batch([name + int(i) for i in hit[a : a + 16]], [cut[i] for i in hit[a : a + 16]])
 
 
 def _block_batch(names, rows) -> pa.RecordBatch:
@@ -244,12 +299,22 @@ def _filled(blocks: dict[int, np.ndarray], bits) -> list[np.ndarray]:
     """Counts of bits 0 and 1 by slot for each context."""
     out = [np.zeros(2 << b, dtype=np.float32) for b in bits]
     for k, own in blocks.items():
-        if k >= 0:
+        if k >= 0 and k >> 32 != _SYMBOLS:
             a = (k & 0xFFFFFFFF) * len(own)
             out[k >> 32][a : a + len(own)] = own
     return [np.ascontiguousarray(x.reshape(-1, 2).T) for x in out]
 
 
+def _symbols(blocks: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Counts of symbols among the blocks."""
+    out = np.zeros(_whole(n))
+    for k, own in blocks.items():
+        if k >> 32 == _SYMBOLS:
+            a = (k & 0xFFFFFFFF) * _BLOCK
+            out[a : a + _BLOCK] = own
+    return out[:n]
+
+
 def _added(rows: DataFrame, scan, size: int) -> np.ndarray:
     """Sum over tasks of the vector that scan(batches) gives. Parts are whole multiples of 1 / _UNIT, so that
     the total depends on no order."""
@@ -309,8 +374,9 @@ class Model:
         return out
 
 
-def train(texts: DataFrame, rare: DataFrame, own: Vocabulary) -> Model:
-    """texts: column `text`, not null; rare: column `word`, the distinct words outside the code."""
+def train(texts: DataFrame, rare: DataFrame, own: Vocabulary, tokens: int, kinds: int) -> Model:
+    """texts: `key` (a hash of id and text), `half` (0 or 1, by the text) and `text`, not null; rare: `h` and `word`, the distinct words outside the code;
+    how many tokens and words those are."""
     sc = texts.sparkSession.sparkContext
 
     def letters(batches):
@@ -336,41 +402,58 @@ def train(texts: DataFrame, rare: DataFrame, own: Vocabulary) -> Model:
 
     def read(batches):
         own, _ = shared.value
-        sums, again = _Counts(WORD_BITS), np.zeros((2, 7), dtype=np.int64)
-        for got in _reads(own, batches, past=False):
-            sums.add(got.chunk)
-            for k in (0, 1):
-                of = (got.spelled > 0) & ((got.times > 0) == k)
-                again[k] += np.bincount(_buckets(got.spelled[of]), minlength=7)
-        yield from sums.blocks()
+        sums, again = [_Counts(WORD_BITS) for _ in range(2)], np.zeros((2, 7), dtype=np.int64)
+        symbols = np.zeros((2, _whole(len(own.symbols))), dtype=np.int64)
+        for batch in batches:
+            for half in (0, 1):
+                for got in _reads(own, [batch.filter(pc.equal(batch.column("half"), half))], past=False):
+                    sums[half].add(got.chunk)
+                    symbols[half] += np.bincount(got.symbol, minlength=symbols.shape[1])
+                    for k in (0, 1):
+                        of = (got.spelled > 0) & ((got.times > 0) == k)
+                        again[k] += np.bincount(_buckets(got.spelled[of]), minlength=7)
+        for half in (0, 1):
+            yield from sums[half].blocks(half << _HALF)
+            yield from _dense(symbols[half], (half << _HALF) + (_SYMBOLS << 32))
         yield _block_batch([-1], [again.reshape(-1)])
 
     blocks = _summed_blocks(texts.mapInArrow(read, "block long, counts binary"))
     model.again = blocks.get(-1, np.zeros(14)).reshape(2, 7).astype(np.float64)
-    model.word_tables = Tables(own.code.exact(own.symbols), _filled(blocks, WORD_BITS), WORD_BITS)
+    halves = [{k & ((1 << _HALF) - 1): x for k, x in blocks.items() if k >= 0 and k >> _HALF == half} for half in (0, 1)]
+    filled = [_filled(x, WORD_BITS) for x in halves]
+    exact = [own.code.exact(_symbols(x, len(own.symbols))) for x in halves]
+    model.word_tables = Tables(own.code.exact(own.symbols), [x + y for x, y in zip(*filled)], WORD_BITS)
+    # What a text is learned on is counted in the other half, so that none meets itself or a copy of itself.
+    others = [Tables(exact[1 - half], filled[1 - half], WORD_BITS) for half in (0, 1)]
+    for tables in (model.word_tables, *others):
+        tables.settle()
     blocks = _summed_blocks(rare.mapInArrow(spell, "block long, counts binary"))
     model.byte_tables = Tables(spelling.code.exact(spelling.counts), _filled(blocks, BYTE_BITS), BYTE_BITS)
     shared.destroy()
-    shared = sc.broadcast(model)
+    shared = sc.broadcast((own, spelling, model.byte_tables, others))
 
     def mix_bytes(batches):
-        own, mixer = shared.value, Mixer(1 + len(BYTE_BITS), False)
-        for batch in bounded(batches, "word", 400_000):
-            t = Texts(batch.column("word"))
-            for *_, chunk in own.spelling.chunks(t.data, t.starts, t.ends):
-                mixer.learn(own.byte_tables, chunk)
-        return mixer.sums()
+        _, spelling, tables, _ = shared.value
+
+        def learn(mixer, words, _):
+            t = Texts(pa.array(words, type=pa.large_binary()))
+            for *_, chunk in spelling.chunks(t.data, t.starts, t.ends):
+                mixer.learn(tables, chunk)
+
+        return _learned(_runs(batches, "word", 400_000), lambda: Mixer(1 + len(BYTE_BITS), False), learn)
 
     def mix_words(batches):
-        own, mixer = shared.value, Mixer(1 + len(WORD_BITS), True)
-        for got in _reads(own.own, batches):
-            mixer.learn(own.word_tables, got.chunk)
-        return mixer.sums()
+        own, _, _, others = shared.value
+
+        def learn(mixer, texts, shard):
+            mixer.learn(others[shard & 1], Positions(own, Texts(pa.array(texts, type=pa.large_string())).lowered()).chunk)
+
+        return _learned(_runs(batches, "text", READ_BYTES), lambda: Mixer(1 + len(WORD_BITS), True), learn)
 
-    model.byte_mixer.settle(_added(rare, mix_bytes, len(model.byte_mixer.sums())))
-    model.bits_learned = model.word_mixer.settle(_added(texts, mix_words, len(model.word_mixer.sums())))
+    words, read_in_order = _dealt(rare, "h", "word", max(1, kinds // SHARD_WORDS)), _dealt(texts, "key", "text", max(1, tokens // SHARD_TOKENS))
+    model.byte_mixer.settle(_added(words, mix_bytes, len(model.byte_mixer.sums())))
+    model.bits_learned = model.word_mixer.settle(_added(read_in_order, mix_words, len(model.word_mixer.sums())))
     shared.destroy()
-    model.word_tables.settle()
     model.byte_tables.settle()
     return model
 
@@ -388,19 +471,20 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     held = fold("id", held_fold[0]) == held_fold[1]
-    texts = rows.filter(~held & F.col("text").isNotNull()).select("text")
-    vocabulary = written(_words(texts))
+    texts = rows.filter(~held & F.col("text").isNotNull()).select(F.xxhash64("id", "text").alias("key"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "text")
+    vocabulary = written(_words(texts.select("text")))
     ends = rows.filter(~held).count()
     sizes = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), *(F.sum((F.col("c") >= (1 << i)).cast("long")).alias(f"t{i}") for i in range(50))).first()
     total, kinds = (sizes["n"] or 0) + ends, sizes["v"] + (ends > 0)
     norm = float(np.log10(total + 0.1 * (kinds + 1)))
     # A word that stands once is one that the rest of the corpus doesn't know: those tell how to spell new words.
-    least = next(1 << i for i in range(1, 51) if i == 50 or (sizes[f"t{i}"] or 0) <= head_words)
+    step = next(i for i in range(1, 51) if i == 50 or (sizes[f"t{i}"] or 0) <= head_words)
+    least = 1 << step
     head = vocabulary.filter(F.col("c") >= least).select("h", "c").toArrow()
     keys, order = np.unique(head.column("h").to_numpy().view(np.uint64), return_index=True)
     counts = head.column("c").to_numpy()[order]
     own = Vocabulary(keys, counts, ends, int((sizes["n"] or 0) - counts.sum()))
-    model = train(texts, vocabulary.filter(F.col("c") < least).select("word"), own)
+    model = train(texts, vocabulary.filter(F.col("c") < least).select("h", "word"), own, total, sizes["v"] - (sizes[f"t{step}"] or 0) if step < 50 else sizes["v"])
     shared = spark.sparkContext.broadcast(model)
 
     def scan(batches):
