@@ -275,7 +275,13 @@ def _dense(sums: np.ndarray, name: int):
 
 
 def _block_batch(names, rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(names, type=pa.int64()), pa.array([r.astype(np.int32).tobytes() for r in rows], type=pa.binary())], ["block", "counts"])
+    """Blocks with their counts as narrow as they fit: the first byte is the width."""
+
+    def packed(row: np.ndarray) -> bytes:
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or row.max(initial=0) < 1 << (8 * w - 1))
+        return bytes([width]) + row.astype(f"<i{width}").tobytes()
+
+    return pa.RecordBatch.from_arrays([pa.array(names, type=pa.int64()), pa.array([packed(r) for r in rows], type=pa.binary())], ["block", "counts"])
 
 
 def _summed_blocks(blocks: DataFrame) -> dict[int, np.ndarray]:
@@ -285,7 +291,8 @@ def _summed_blocks(blocks: DataFrame) -> dict[int, np.ndarray]:
         own: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column("block").to_pylist(), batch.column("counts")):
-                more = np.frombuffer(x.as_buffer(), dtype=np.int32)
+                raw = x.as_buffer()
+                more = np.frombuffer(raw, dtype=f"<i{raw[0]}", offset=1)
                 own[k] = own[k] + more if k in own else more.astype(np.int64)
         for k in sorted(own):
             # Half as wide for the driver; what a count above 2**24 loses doesn't matter to a ratio.

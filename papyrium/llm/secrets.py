@@ -8,8 +8,8 @@ value is a name or a join takes the literals that the name was bound to before.
 scored by how sensitive the names it flows to are and by its own shape; those above the threshold
 become spans of kind `literal`.
 
-A map over the rows with no shuffle; texts without a sensitive stem skip the lexer, which could
-find nothing there.
+A map over the rows with no shuffle; texts without a sensitive stem, separators left aside, skip the
+lexer, which could find nothing there.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batch import bounded, sha256_hex
+from ._batch import bounded
 from ._session import ship, table
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -38,7 +38,9 @@ STEMS = {
     "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "authkey": 1.0, "signingkey": 1.0,
     "encryptionkey": 1.0, "credential": 0.9, "bearer": 0.8, "authorization": 0.7,
 }
-_STEM = re.compile("pass|pwd|secret|token|key|credential|bearer|authorization")
+_FLAT_STEMS = tuple(x.encode() for x in STEMS)
+#: What a name may hold beside letters and digits, which sensitivity() leaves aside.
+_BETWEEN = b"_$.-" + bytes(range(0x80, 0x100))
 _STRING = r"""[rbfuRBFU]{0,2}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
 _PAIR = re.compile(
     rf"""(?<![\w$.-])(?P<name>[\w$.-]++)(?P<close>["'\]]{{0,2}})
@@ -49,7 +51,15 @@ _PAIR = re.compile(
 )
 _PART = re.compile(rf"{_STRING}|[^\s\"',;(){{}}\[\]+]+")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*\Z")
-_DULL = re.compile(r"(?i)\A(?:x+|\*+|\.+|<.*>|\$\{?.*\}?|%.*%|\{\{.*\}\}|none|null|nil|true|false|undefined|changeme|example.*|your[_-].*|placeholder|redacted|todo)\Z")
+#: Placeholders: these words, and what begins like these.
+_DULL_WORDS = {"none", "null", "nil", "true", "false", "undefined", "changeme", "placeholder", "redacted", "todo"}
+_DULL_HEAD = re.compile(r"\$|example|your[_-]")
+
+
+def may_assign(low: str) -> bool:
+    """Whether a text in lower case can hold a name that sensitivity() weighs: the stems are looked for as it does."""
+    flat = low.encode().translate(None, _BETWEEN)
+    return any(stem in flat for stem in _FLAT_STEMS)
 
 
 def sensitivity(name: str) -> float:
@@ -67,13 +77,27 @@ def _judged(n: float, counts: dict[str, float], dull: bool) -> float:
     return min(1.0, 0.25 * min(n, 20) / 20 + 0.5 * min(entropy, 3.5) / 3.5 + 0.25 * min(classes, 3) / 3)
 
 
-def shape(literal: str) -> float:
-    """How much a literal looks like a credential: 0 to 1."""
-    return _judged(len(literal), Counter(literal), bool(_DULL.match(literal)))
+#: Characters of a value's beginning and end that tell a placeholder; of the whole, its counts of characters do.
+EDGE = 16
 
 
-#: Characters of a joined value that are held against the placeholders.
-HEAD_CHARS = 256
+def _dull(n: float, counts: dict[str, float], head: str, tail: str) -> bool:
+    """Whether a value is a placeholder: one character over and over, something in brackets, a word that says so."""
+    low = head.lower()
+    return (
+        {c.lower() for c in counts} in ({"x"}, {"*"}, {"."})
+        or (n <= EDGE and low in _DULL_WORDS)
+        or bool(_DULL_HEAD.match(low))
+        or (n >= 2 and head[0] + tail[-1] in ("<>", "%%"))
+        or (n >= 4 and head[:2] + tail[-2:] == "{{}}")
+    )
+
+
+def shape(literal: str) -> float:
+    """How much a literal looks like a credential: 0 to 1."""
+    own = _Value()
+    own.add(0, literal)
+    return own.shape()
 
 
 class _Value:
@@ -83,12 +107,12 @@ class _Value:
     time and memory in proportion to the text.
     """
 
-    __slots__ = ("spans", "parts", "head", "n", "counts", "score")
+    __slots__ = ("spans", "parts", "head", "tail", "n", "counts", "best", "score")
 
     def __init__(self):
         self.spans: list[tuple[int, int]] = []
         self.parts: list[_Value] = []
-        self.head, self.n, self.counts, self.score = "", 0.0, {}, 0.0
+        self.head, self.tail, self.n, self.counts, self.best, self.score = "", "", 0.0, {}, 0.0, 0.0
 
     def _count(self, n: float, counts) -> None:
         self.n += n
@@ -100,16 +124,27 @@ class _Value:
 
     def add(self, start: int, literal: str) -> None:
         self.spans.append((start, start + len(literal)))
-        self.head = (self.head + literal)[:HEAD_CHARS] if self.parts or len(self.spans) > 1 else literal
-        self._count(len(literal), Counter(literal))
+        counts = Counter(literal)
+        self._edges(literal, literal)
+        self._count(len(literal), counts)
+        self.best = max(self.best, _judged(len(literal), counts, bool(literal) and _dull(len(literal), counts, literal[:EDGE], literal[-EDGE:])))
 
     def join(self, other: _Value) -> None:
         self.parts.append(other)
-        self.head = (self.head + other.head)[:HEAD_CHARS]
+        self._edges(other.head, other.tail)
         self._count(other.n, other.counts)
+        self.best = max(self.best, other.best)
+
+    def _edges(self, head: str, tail: str) -> None:
+        """Both edges after more has been joined; a head shorter than EDGE is all there is."""
+        if len(self.head) < EDGE:
+            self.head = (self.head + head[:EDGE])[:EDGE]
+        self.tail = (self.tail + tail[-EDGE:])[-EDGE:]
 
     def shape(self) -> float:
-        return _judged(self.n, self.counts, bool(_DULL.match(self.head)))
+        """The shape of the whole, or of its best piece if the whole can be a credential at all."""
+        whole = _judged(self.n, self.counts, self.n > 0 and _dull(self.n, self.counts, self.head, self.tail))
+        return max(whole, self.best) if whole else 0.0
 
 
 def literals(text: str) -> list[tuple[int, int, float]]:
@@ -166,7 +201,7 @@ def find(text: str | None) -> tuple[list[tuple[int, int, str, int]], list[tuple[
     low = text.lower()
     base = base_spans(text, low)
     more = []
-    if ("=" in text or ":" in text) and _STEM.search(low):
+    if ("=" in text or ":" in text) and may_assign(low):
         more = [(a, 3, "literal", b) for a, b, _ in literals(text)]
     return base, sorted(base + more)
 
