@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batch import SPACE, Spans, Texts, bounded, mix64, sequence_hash, windows
+from ._batch import SPACE, Spans, Texts, bounded, chained_hashes, mix64, sequence_hash, windows
 from ._session import ship, table, written
 from .components import components
 
@@ -39,7 +39,7 @@ BITS = 26
 def shingle_sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows and hashes of the distinct shingles of each row, sorted by row, then hash; and set sizes."""
     words = Spans(texts.lowered(), SPACE)
-    h = words.hashes()
+    h = chained_hashes(words.texts.data, words.starts, words.ends)
     first, w = windows(words, h, k)
     row = words.row[first]
     count = words.per_row()

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 from papyrium.llm import jaccard_join
@@ -85,3 +86,31 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in components(df).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 105: 100, **{i: 200 for i in range(200, 260)}}
     assert components(df.filter("a < 0")).count() == 0
+
+
+def test_words_of_known_collisions(spark):
+    """A Thue-Morse word and its complement, which sums of powers modulo 2**64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    for n in (1024, 2048, 4096):
+        texts = ["".join("ab"[b] for b in bits[:n]), "".join("ba"[b] for b in bits[:n])]
+        found = got(jaccard_join.join(frame(spark, [(i, t, "en", "s", n) for i, t in enumerate(texts)])))
+        assert [found[i]["component_id"] for i in (0, 1)] == [0, 1]
+
+
+def test_chained_hashes_of_equal_and_other_bytes():
+    import numpy as np
+    import pyarrow as pa
+
+    from papyrium.llm._batch import SPACE, Spans, Texts, chained_hashes
+
+    r = random.Random(1)
+    words = ["".join(r.choice("abé") for _ in range(r.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + r.randrange(1, 9)]) for i in range(0, 3000, 9)] + ["a", "a a", "", None, "aaaaaaaa", "aaaaaaaaa"]
+    spans = Spans(Texts(pa.array(texts)), SPACE)
+    h = chained_hashes(spans.texts.data, spans.starts, spans.ends)
+    names = [spans.texts.data[a:b].tobytes() for a, b in zip(spans.starts, spans.ends)]
+    by = {}
+    for name, x in zip(names, h.tolist()):
+        assert by.setdefault(name, x) == x
+    assert len(set(by.values())) == len(by) > 1000
+    assert np.array_equal(h, chained_hashes(spans.texts.data, spans.starts, spans.ends))
