@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gate as G
 from ..functions import prose as P
+from ..functions.chunks import chunk_cap, split_chunks
 from ..functions.text import NON_ASCII, squeeze
 from ..operators import compile_logs as L
 from ..operators import quality as Q
@@ -175,6 +176,14 @@ def source_sections(spark, d):
     return S.page_sections(Q.pages(paged), "doc_id")
 
 
+def chunk_integrity(spark, d):
+    """Each text's cap, whether its chunks joined in order are the text, and how many are empty or above the cap."""
+    docs = load(spark, d, "documents").select("doc_id", _formed(TEX_FORMS, _MODULUS["tex"]).alias("text")).withColumn("cap", chunk_cap("text"))
+    cut = docs.select("doc_id", "text", "cap", split_chunks("text", "cap").alias("chunks"))
+    wrong = F.size(F.filter("chunks", lambda c: (F.char_length(c) > F.col("cap")) | (c == "")))
+    return cut.select("doc_id", F.col("cap").cast("int").alias("cap"), F.md5(F.array_join("chunks", "")).alias("joined_md5"), wrong.alias("wrong"))
+
+
 def name_catalogs(spark, d):
     """Lists of cited names, and sentences that look like them."""
     docs = load(spark, d, "documents").select("doc_id", F.slice(F.filter(F.split(F.regexp_replace(F.split("text", "\n")[0], "[^A-Za-z ]", ""), " "), lambda w: F.length(w) >= 3), 1, 6).alias("w"))
@@ -200,6 +209,7 @@ QUERIES = {
     "log_reruns": log_reruns,
     "source_sections": source_sections,
     "name_catalogs": name_catalogs,
+    "chunk_integrity": chunk_integrity,
 }
 
 _STATE_SQL = rf"""
@@ -338,6 +348,10 @@ SELECT run, complete, CASE WHEN k IN (7, 8) THEN 'undefined control sequence' WH
   {_STALE} AS stale_only, complete AND k NOT IN (7, 8, 9) AS healthy, complete AND k IN (0, 5, 6) AS strictly FROM {_LOG}""",
     "log_reruns": f"SELECT run, {_STALE} AND run % 3 = 0 AS reruns FROM {_LOG}",
     "source_sections": _SECTIONS,
+    # What a chunking must keep, not how it cuts.
+    "chunk_integrity": rf"""
+WITH {_formed_sql(TEX_FORMS, _MODULUS["tex"])}, w AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM t GROUP BY doc_id)
+SELECT doc_id, CASE WHEN regexp_matches(text, '\\(ref|label)\{{') THEN 350 WHEN len(regexp_extract_all(text, '\\cite[pt]?(?:\[[^\]]*\])*\{{')) >= 2 THEN 120 ELSE 1200 END AS cap, md5(text) AS joined_md5, 0 AS wrong FROM w""",
     "name_catalogs": f"""
 WITH s AS (SELECT doc_id, len(list_filter(string_split({_PLAIN}, ' '), lambda x: length(x) >= 3)[1:6]) AS n FROM documents)
 SELECT doc_id, n >= 3 AND doc_id % 5 IN (0, 4) AS catalog FROM s""",
