@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import _col
+from .text import _col, unescape_entities
 
 DEFAULT_CAP, REFERENCE_CAP, CITATION_CAP, MIN_SENTENCE = 1200, 350, 120, 180
 
@@ -112,12 +112,18 @@ def split_chunks(texts, caps):
     return pd.Series([split_bounded(t, int(c)) for t, c in zip(texts, caps)])
 
 
+#: A fragment on the page of a splitter, and the range before it.
+NODE = r'(?s)<p style="color:(red|black);">(.*?)</p>'
+NODE_RANGE = r"^#\[[^\]]+\]"
+
+
 def splitter_nodes(c) -> Column:
-    """Fragments of a splitter's debug page: red paragraphs are preserved, black ones translated."""
+    """Fragments (text, preserve) of a splitter's page, in order: red paragraphs are preserved, black ones translated."""
     c = _col(c)
-    colors = F.regexp_extract_all(c, F.lit(r'(?s)<p style="color:(red|black)">(.*?)</p>'), F.lit(1))
-    bodies = F.regexp_extract_all(c, F.lit(r'(?s)<p style="color:(red|black)">(.*?)</p>'), F.lit(2))
-    from .text import strip_tags, unescape_entities
+    pairs = F.arrays_zip(*(F.regexp_extract_all(c, F.lit(NODE), F.lit(i)).alias(n) for i, n in ((1, "color"), (2, "body"))))
+
+    def node(x: Column) -> Column:
+        text = F.regexp_replace(unescape_entities(F.replace(x["body"], F.lit("<br/>"), F.lit("\n"))), NODE_RANGE, "")
+        return F.struct(F.regexp_replace(text, r"#\z", "").alias("text"), (x["color"] == "red").alias("preserve"))
 
-    clean = F.transform(bodies, lambda b: F.regexp_replace(unescape_entities(strip_tags(b)), r"^#(?:\[[^\]]*\])?|#$", ""))
-    return F.transform(F.arrays_zip(colors.alias("color"), clean.alias("text")), lambda x: F.struct(x["text"].alias("text"), (x["color"] == "red").alias("preserve")))
+    return F.transform(pairs, node)

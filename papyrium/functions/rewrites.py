@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .artifacts import ARTIFACTS
 from .text import _col
 
 CJK = "\u4e00-\u9fff"
@@ -55,9 +56,18 @@ def plain_references(c) -> Column:
     return replaced(c, r"\\[cC]ref(?:\s*\[[^\]]*\])?(?=\s*\{)", r"\\ref")
 
 
-def strip_artifacts(c, patterns: tuple[str, ...]) -> Column:
-    """Deletes every match of every pattern, in order; patterns come from the caller's policy table."""
-    return chained(c, *(lambda x, p=p: replaced(x, p, "") for p in patterns))
+def strip_artifacts(c, patterns: tuple[str, ...] = ARTIFACTS) -> Column:
+    """Deletes every match of every pattern, in order. Texts that no pattern matches are read once and left as they are."""
+    text = F.coalesce(_col(c), F.lit(""))
+    whole = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    if not patterns:
+        return whole
+
+    def step(done: Column, pattern: Column) -> Column:
+        return F.struct(F.regexp_replace(done["text"], pattern, F.lit("")).alias("text"), (done["n"] + F.regexp_count(done["text"], pattern)).alias("n"))
+
+    found = text.rlike("|".join(f"(?:{p})" for p in patterns))
+    return F.when(found, F.aggregate(F.array(*map(F.lit, patterns)), whole, step)).otherwise(whole)
 
 
 def comment_endinput(c) -> Column:

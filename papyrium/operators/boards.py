@@ -25,13 +25,12 @@ def board(events: DataFrame, mode: str, *, ts: str = "ts", item: str = "user_id"
     return ranked.select(F.lit(mode).alias("mode"), "key", item, "votes", "rank")
 
 
-def all_boards(events: DataFrame, **kw) -> DataFrame:
-    """The boards of all modes as one table."""
-    out = None
-    for mode in MODES:
-        own = board(events, mode, **kw)
-        out = own if out is None else out.unionByName(own)
-    return out
+def all_boards(events: DataFrame, ts: str = "ts", item: str = "user_id") -> DataFrame:
+    """The boards of all modes as one table: the events are read once, and dealt once by mode, key and item."""
+    keys = F.array(*(F.struct(F.lit(m).alias("mode"), calendar_key(ts, m).alias("key"), F.lit(MODES[m]["limit"]).alias("limit")) for m in MODES))
+    counted = events.select(item, F.inline(keys)).groupBy("mode", "key", "limit", item).agg(F.count(F.lit(1)).alias("votes"))
+    ranked = top_n(counted, ["mode", "key"], [F.desc("votes"), F.asc(item)], max(m["limit"] for m in MODES.values()))
+    return ranked.filter("rank <= limit").select("mode", "key", item, "votes", "rank")
 
 
 def entries_by_mode(entries: DataFrame) -> DataFrame:

@@ -57,6 +57,20 @@ def rank_status(c: Column) -> Column:
     return out
 
 
+def final_states(attempted: DataFrame, evidence: list[DataFrame], key: str, state: str = "state") -> DataFrame:
+    """The state of each attempted key (a row each): that of the first table of `evidence` with a non-null one, else
+    its own. Tables of evidence hold a key at most once; keys that nobody attempted are left out."""
+    out = attempted.select(key, F.col(state).alias("_own"))
+    for i, table in enumerate(evidence):
+        out = out.join(table.select(key, F.col(state).alias(f"_s{i}")), key, "left")
+    return out.select(key, F.coalesce(*(f"_s{i}" for i in range(len(evidence))), "_own").alias(state))
+
+
+def state_counts(states: DataFrame, success: str, state: str = "state") -> DataFrame:
+    """Keys by final state, and how many of them succeeded."""
+    return states.groupBy(F.col(state).alias("final")).agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col(state) == success).alias("succeeded"))
+
+
 def fold_status(evidence: DataFrame, key: str, status: str = "status") -> DataFrame:
     """One status an item: the one of highest precedence over all its rows."""
     return evidence.groupBy(key).agg(rank_status(F.max(status_rank(status))).alias(status))

@@ -22,11 +22,9 @@ def store_merge(spark, d):
 
 def final_state_merge(spark, d):
     fetched = load(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.lit("fetched").alias("state")).distinct()
-    processed = load(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "processed").alias("p"))
-    store = load(spark, d, "documents").select("doc_id", F.when(has_script("text", NON_ASCII), "stored").alias("s"))
-    rows = fetched.join(processed, "doc_id", "left").join(store, "doc_id", "left")
-    final = F.coalesce("s", "p", "state")
-    return rows.select(final.alias("final")).groupBy("final").agg(F.count(F.lit(1)).alias("attempted"), F.sum((F.col("final") == "stored").cast("long")).alias("succeeded"))
+    processed = load(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "processed").alias("state"))
+    store = load(spark, d, "documents").select("doc_id", F.when(has_script("text", NON_ASCII), "stored").alias("state"))
+    return R.state_counts(R.final_states(fetched, [store, processed], "doc_id"), "stored")
 
 
 def _references(spark, d):
@@ -173,10 +171,9 @@ def store_upsert(spark, d):
 
 
 def counter_merge(spark, d):
-    """Sums of token counters over documents, by source."""
-    docs = load(spark, d, "documents")
-    each = docs.select("source", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("lines")), F.array("n_chars", F.size(F.split("text", "\n")).cast("long")))).alias("name", "n"))
-    return each.groupBy("source", "name").agg(F.sum("n").alias("n"))
+    """Sums of counters over documents, by source."""
+    each = load(spark, d, "documents").select("source", F.col("n_chars").cast("long").alias("chars"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    return R.merge_counters(each, ["source"], ["chars", "lines"]).unpivot("source", ["chars", "lines"], "name", "n")
 
 
 _DOC_GATE = "gate AS (SELECT d.doc_id, coalesce(s.status = 'failed' OR s.tainted, FALSE) OR contains(d.text, 'token =') AS blocked FROM documents d LEFT JOIN statuses s USING (doc_id))"
