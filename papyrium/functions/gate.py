@@ -193,23 +193,35 @@ def with_verdict(pairs: DataFrame, source: str = "source", response: str = "resp
     return compared.withColumn(name, verdict).drop("_s", "_r", "_free", "_options", "_sw", "_rw", "_a", "_b", "_near")
 
 
-def retry_prompt(prompt, reason, reminder: str = "\n\nPreserve every LaTeX command and its arguments. Translate prose only.") -> Column:
+#: What a prompt is told after a structural rejection, and the reasons that are structural.
+RETRY_REMINDER = (
+    "\n\nOn this retry, preserve every LaTeX command and its arguments, including all citation, reference, label, and section commands. "
+    "Translate prose only; do not omit, rename, reorder, or invent LaTeX commands or citation keys."
+)
+STRUCTURAL = ("critical_latex_structure_mismatch", "citation_structure_mismatch", "latex_brace_balance_mismatch")
+
+
+def retry_prompt(prompt, reason, reminder: str = RETRY_REMINDER) -> Column:
     """The prompt with a reminder for structural reasons, added once."""
     prompt = F.coalesce(_col(prompt), F.lit(""))
-    structural = _col(reason).isin("critical_latex_structure_mismatch", "citation_structure_mismatch", "latex_brace_balance_mismatch")
-    return F.when(structural & ~F.contains(prompt, F.lit(reminder.strip())), F.concat(prompt, F.lit(reminder))).otherwise(prompt)
+    wanted = F.coalesce(_col(reason).isin(*STRUCTURAL), F.lit(False)) & ~F.contains(prompt, F.lit(reminder.strip()))
+    return F.when(wanted, F.concat(prompt, F.lit(reminder))).otherwise(prompt)
 
 
 def normal_completion(c) -> Column:
-    """The text of a chat completion: message content, else its joined parts, else reasoning, else choice text."""
-    shape = "choices array<struct<message: struct<content: string, reasoning_content: string>, text: string>>"
-    parts = "choices array<struct<message: struct<content: array<struct<type: string, text: string>>>>>"
-    first = F.from_json(_col(c), shape)["choices"][0]
-    several = F.from_json(_col(c), parts)["choices"][0]["message"]["content"]
-    joined = F.array_join(F.filter(F.transform(several, lambda p: p["text"]), lambda t: t.isNotNull()), "")
-    plain = F.when(first["message"]["content"].startswith("["), None).otherwise(first["message"]["content"])
-    real = lambda x: F.when(F.trim(x) != "", x)
-    return F.coalesce(real(joined), real(plain), real(first["message"]["reasoning_content"]), real(first["text"]))
+    """The text of a chat completion's first choice: its content, else the parts of the content that have text, a line
+    each, else its reasoning, else the text of the choice; null without any, and for damaged JSON.
+
+    A part is a string or an object whose text is a string or an object with a value.
+    """
+    choice = F.try_variant_get(F.try_parse_json(_col(c)), "$.choices[0]", "variant")
+    at = lambda v, path: F.try_variant_get(v, path, "variant")
+    said = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    real = lambda x: F.when(~blank(x), x)
+    parts = F.try_variant_get(choice, "$.message.content", "array<variant>")
+    texts = F.transform(parts, lambda p: F.coalesce(said(p), said(at(p, "$.text")), said(at(p, "$.text.value"))))
+    joined = F.array_join(F.filter(texts, lambda t: ~blank(t)), "\n")
+    return F.coalesce(real(said(at(choice, "$.message.content"))), real(joined), real(said(at(choice, "$.message.reasoning_content"))), real(said(at(choice, "$.text"))))
 
 
 def salvaged_json(c, fields: list[str]) -> Column:

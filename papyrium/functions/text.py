@@ -90,16 +90,6 @@ def display_filename(c, limit: int = 80, default: str = "paper") -> Column:
     return F.when(x == "", F.lit(default)).otherwise(x)
 
 
-def plain_from_latex(c) -> Column:
-    """Readable text of a LaTeX fragment: comments, commands and braces removed, arguments kept."""
-    x = strip_comment(c)
-    x = F.regexp_replace(x, r"\\(?:cite|citep|citet|ref|label|eqref|cref)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "")
-    x = F.regexp_replace(x, r"\\(?:begin|end)\{[^{}]*\}", " ")
-    x = F.regexp_replace(x, r"\$[^$]*\$", " ")
-    x = F.regexp_replace(x, r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?", " ")
-    return squeeze(F.regexp_replace(x, r"[{}~]", " "))
-
-
 def term_tokens(term: Column) -> Column:
     return F.filter(F.split(term, "[^a-z0-9]+"), lambda t: F.length(t) > 2)
 

@@ -43,16 +43,22 @@ def board_rows(pages: DataFrame, key: str, html: str, limit: int = 50) -> DataFr
     return folded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+#: The parts of an abstract page.
+ABSTRACT_PAGE = {
+    "title": r'(?s)<h1 class="title mathjax"[^>]*>(?:<span[^>]*>Title:</span>\s*)?(.*?)</h1>',
+    "abstract": r'(?s)<blockquote class="abstract mathjax"[^>]*>(?:<span[^>]*>Abstract:</span>\s*)?(.*?)</blockquote>',
+    "authors": r'(?s)<div class="authors"[^>]*>(.*?)</div>',
+    "submitted": r"Submitted on ([\w\s,]+?)(?:\s*\(|\s*\[)",
+}
+
+
 def abstract_page(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Title, abstract, authors and date of an abstract page; blanks where a part is missing."""
-    part = lambda name, pattern: squeeze(unescape_entities(strip_tags(F.regexp_extract(html, pattern, 1)))).alias(name)
+    """Title, abstract, authors and date of an abstract page; blanks where a part is missing or the page is null."""
+    part = lambda name: F.btrim(strip_tags(F.coalesce(F.regexp_extract(html, ABSTRACT_PAGE[name], 1), F.lit(""))), F.lit(" \t\n\r\f\u000b"))
     return pages.select(
-        key,
-        part("title", r'(?s)<h1 class="title[^"]*">(?:\s*<span[^>]*>.*?</span>)?(.*?)</h1>'),
-        part("abstract", r'(?s)<blockquote class="abstract[^"]*">(?:\s*<span[^>]*>.*?</span>)?(.*?)</blockquote>'),
-        part("authors", r'(?s)<div class="authors">(?:\s*<span[^>]*>.*?</span>)?(.*?)</div>'),
-        part("submitted", r"(?s)\[?Submitted on ([^\]<(]*)"),
-    )
+        key, part("title").alias("title"), squeeze(part("abstract")).alias("abstract"),
+        F.btrim(squeeze(part("authors")), F.lit(", ")).alias("authors"), part("submitted").alias("submitted"),
+    )
 
 
 def nesting(pages: DataFrame, key: str = "page_id", html: str = "html", tags: str = "div|ul|article|nav|p") -> DataFrame:

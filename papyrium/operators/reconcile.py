@@ -133,11 +133,17 @@ def merge_counters(stats: DataFrame, by: list[str], counters: list[str], residua
     return out.join(named, by, "left").withColumn(residual, F.coalesce(residual, F.array().cast(kind)))
 
 
-def reclaimable(files: DataFrame, references: DataFrame, key: str, kind: str, modified: str, now: Column, grace_days: int = 3) -> DataFrame:
-    """Files with their outcome: referenced, recent (within the grace time) or removable."""
+def reclaimable(files: DataFrame, references: DataFrame, key: str, modified: str, now: Column, grace_days: int = 3) -> DataFrame:
+    """Files with their outcome: recent (within the grace time, whether referenced or not), referenced or removable."""
     from ..functions.calendar import in_grace
 
     held = references.select(key).distinct().withColumn("_held", F.lit(True))
-    both = files.join(held, key, "left")
-    outcome = F.when(F.col("_held"), "referenced").when(in_grace(modified, now, grace_days), "recent").otherwise("removable")
-    return both.withColumn("outcome", outcome).drop("_held")
+    outcome = F.when(in_grace(modified, now, grace_days), "recent").when(F.col("_held"), "referenced").otherwise("removable")
+    return files.join(held, key, "left").withColumn("outcome", outcome).drop("_held")
+
+
+def reclaim_counts(plan: DataFrame, kind: str = "kind", size: str = "length") -> DataFrame:
+    """By kind: files kept as recent or referenced, files that would go, and the bytes they hold."""
+    count = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    gone = F.coalesce(F.sum(F.when(F.col("outcome") == "removable", F.col(size))), F.lit(0))
+    return plan.groupBy(kind).agg(count("recent").alias("kept_recent"), count("referenced").alias("kept_referenced"), count("removable").alias("would_remove"), gone.alias("would_free_bytes"))

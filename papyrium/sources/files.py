@@ -77,7 +77,7 @@ def read_json_or(spark: SparkSession, path: str, schema: T.StructType, default:
 
 def tex_backups(spark: SparkSession, root: str, suffix: str = "_merge_translate_zh.tex") -> DataFrame:
     """id and text of each translated TeX backup."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
     return rows.select(_path_part(rf"/([^/]+){suffix.replace('.', chr(92) + '.')}$").alias("arxiv_id"), F.col("value").alias("text"))
 
 
@@ -89,44 +89,75 @@ def pdf_files(spark: SparkSession, root: str, min_bytes: int = 10_240) -> DataFr
     return rows.select("path", F.regexp_extract("path", r"/([^/]+)\.pdf$", 1).alias("arxiv_id"), "length", "modificationTime", ((F.col("length") > min_bytes) & head & tail).alias("valid"))
 
 
+#: Where artifacts of each kind stand and how they are named.
+ARTIFACT_PATHS = (
+    ("pdf", r"/data/papers/(\d{4}\.\d{4,5})_zh\.pdf$"),
+    ("sidecar", r"/logs/pdf_errors/(\d{4}\.\d{4,5})\.(?:json|log)$"),
+    ("failed_tex", r"/data/tex_backup_failed/(\d{4}\.\d{4,5})_merge_translate_zh\.tex$"),
+)
+
+
 def artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """Artifacts by kind, from file metadata only: published PDFs, failure sidecars and failed sources."""
+    """path, kind, arxiv_id, length and modification time of the artifacts below `root`, from the files' metadata only:
+    translated PDFs, failure sidecars with their logs, and TeX that failed. Other files are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    kind = F.when(name.rlike(r"^\d{4}\.\d{4,5}\.pdf$"), "pdf").when(name.rlike(r"^\d{4}\.\d{4,5}\.json$"), "sidecar").when(name.rlike(r"^\d{4}\.\d{4,5}.*\.(tex|zip)$"), "failed_tex")
-    return rows.select("path", kind.alias("kind"), F.regexp_extract(name, r"^(\d{4}\.\d{4,5})", 1).alias("arxiv_id"), "length", "modificationTime").filter("kind IS NOT NULL")
+    kind, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, pattern in ARTIFACT_PATHS:
+        kind = F.when(F.col("path").rlike(pattern), name).otherwise(kind)
+        key = F.when(F.col("path").rlike(pattern), F.regexp_extract("path", pattern, 1)).otherwise(key)
+    return rows.select("path", kind.alias("kind"), key.alias("arxiv_id"), "length", "modificationTime").filter("kind IS NOT NULL")
+
+
+#: Categories that a log may make clearer, the signs of a failed coverage check, and those of a phase.
+VAGUE = ("compile.unknown", "unknown.unstructured")
+COVERAGE, COVERAGE_IN_ENGLISH = "翻译覆盖率检查失败", "translation coverage"
+PHASE, TRANSLATING = r"【失败阶段】\s+(translate|compile)", "GPT 翻译阶段"
+_RECORD = ("category", "family", "retry_strategy", "repair_action")
+
+
+def _coverage_window(text: str, before: int, after: int) -> Column:
+    """The surroundings of the failed coverage check, or the whole log without one."""
+    at = F.instr(text, F.lit(COVERAGE))
+    at = F.when(at > 0, at).otherwise(F.instr(F.lower(text), F.lit(COVERAGE_IN_ENGLISH)))
+    start = F.greatest(at - before, F.lit(1))
+    return F.when(at > 0, F.substr(text, start, at + after - start)).otherwise(F.col(text))
 
 
 def failure_records(sidecars: DataFrame, logs: DataFrame, before: int = 120, after: int = 360) -> DataFrame:
-    """Failure sidecars and, for ids without one, classified logs.
+    """A row a failure by id: those of sidecars, and the classified logs of ids without one.
 
-    Sidecars of unknown category are classified anew from a bounded window of the log around the first
-    error. sidecars: arxiv_id, phase, category, retry_strategy; logs: arxiv_id, phase, text.
+    A sidecar whose category says little is classified anew from its log, bounded where a coverage check failed; it
+    stays as it is if the log says no more. sidecars: arxiv_id, phase and the fields of a record; logs: arxiv_id, text.
     """
     from ..functions.failures import classify
 
-    at = F.regexp_instr("text", F.lit("(?i)error|exception|traceback|undefined|失败"))
-    window = F.when(at > 0, F.substr("text", F.greatest(at - before, F.lit(1)), F.lit(before + after))).otherwise(F.substring("text", 1, before + after))
-    read = logs.select("arxiv_id", F.col("phase").alias("_phase"), window.alias("_w"), "text")
-    vague = F.col("category").isin("compile.unknown", "unknown.unstructured")
-    both = sidecars.join(read, "arxiv_id", "left")
-    again = classify(F.coalesce("phase", "_phase"), "_w", "_w")
-    use = vague & F.col("_w").isNotNull()
-    kept = both.select("arxiv_id", "phase", F.when(use, again["category"]).otherwise(F.col("category")).alias("category"), F.when(use, again["retry_strategy"]).otherwise(F.col("retry_strategy")).alias("retry_strategy"))
-    fresh = logs.join(sidecars.select("arxiv_id"), "arxiv_id", "left_anti").withColumn("x", classify("phase", "text", "text")).select("arxiv_id", "phase", "x.category", "x.retry_strategy")
+    nothing = F.lit("")
+    both = sidecars.join(logs.select("arxiv_id", F.coalesce("text", nothing).alias("_text")), "arxiv_id", "left")
+    again = F.when(F.col("category").isin(*VAGUE) & F.col("_text").isNotNull(), classify(F.lit("compile"), _coverage_window("_text", before, after), nothing))
+    both = both.withColumn("_again", again)
+    better = F.coalesce(F.col("_again.category") != "compile.unknown", F.lit(False))
+    kept = both.select(
+        "arxiv_id", "phase", *(F.when(better, F.col(f"_again.{c}")).otherwise(F.col(c)).alias(c) for c in _RECORD),
+        F.when(better, F.col("category")).alias("reclassified_from"), F.lit(False).alias("legacy_log"),
+    )
+    alone = logs.join(sidecars.select("arxiv_id"), "arxiv_id", "left_anti").withColumn("text", F.coalesce("text", nothing))
+    named = F.nullif(F.regexp_extract("text", PHASE, 1), nothing)
+    alone = alone.withColumn("phase", F.coalesce(named, F.when(F.contains("text", F.lit(TRANSLATING)), "translate").otherwise("compile")))
+    # The classifier reads a log or another text by the phase, here the same.
+    alone = alone.withColumn("_x", classify("phase", F.when(F.col("phase") == "compile", F.col("text")).otherwise(nothing), F.when(F.col("phase") == "translate", F.col("text")).otherwise(nothing)))
+    fresh = alone.select("arxiv_id", "phase", *(F.col(f"_x.{c}").alias(c) for c in _RECORD), F.lit(None).cast("string").alias("reclassified_from"), F.lit(True).alias("legacy_log"))
     return kept.unionByName(fresh).orderBy("arxiv_id")
 
 
 def result_lines(spark: SparkSession, root: str) -> DataFrame:
-    """The first RESULT line of each driver log, and its diagnosis as JSON text."""
-    lines = spark.read.option("wholetext", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("no", "line"))
-    hit = lines.filter(F.col("line").rlike("^(RESULT:(SUCCESS|ERROR):|PDF_DIAGNOSIS:)"))
-    result = F.regexp_extract("line", "^RESULT:(SUCCESS|ERROR):", 1)
-    return hit.groupBy("path").agg(
-        F.min_by(result, F.when(result != "", F.col("no"))).alias("result"),
-        F.min_by(F.regexp_extract("line", "^RESULT:[A-Z]+:(.*)$", 1), F.when(result != "", F.col("no"))).alias("detail"),
-        F.min_by(F.regexp_extract("line", "^PDF_DIAGNOSIS:(.*)$", 1), F.when(F.col("line").startswith("PDF_DIAGNOSIS:"), F.col("no"))).alias("diagnosis"),
-    )
+    """path, result (pdf, error or unknown), detail and diagnosis of each driver log: its first line with a result, and
+    the JSON of its first diagnosis, null where that is damaged."""
+    files = spark.read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r\n?|\n").alias("lines"))
+    first = lambda pattern: F.get(F.filter("lines", lambda x: x.rlike(pattern)), F.lit(0))
+    rows = files.select("path", first("^RESULT:(SUCCESS|ERROR):").alias("said"), F.substring(first("^PDF_DIAGNOSIS:"), len("PDF_DIAGNOSIS:") + 1, 1 << 30).alias("found"))
+    result = F.when(F.col("said").startswith("RESULT:SUCCESS:"), "pdf").when(F.col("said").isNotNull(), "error").otherwise("unknown")
+    detail = F.coalesce(F.regexp_extract("said", "^RESULT:[A-Z]+:(.*)$", 1), F.lit(""))
+    return rows.select("path", result.alias("result"), detail.alias("detail"), F.when(F.try_parse_json("found").isNotNull(), F.col("found")).alias("diagnosis"))
 
 
 def archive_members(spark: SparkSession, root: str, max_members: int = 50_000, max_bytes: int = 2 << 30) -> DataFrame:
