@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import failures as X
+from ..functions.gate import normal_completion
 from ..functions.text import NON_ASCII, has_script, overlay
 from ..operators import audit as A
 from ..operators import reconcile as R
@@ -176,6 +177,36 @@ def counter_merge(spark, d):
     return R.merge_counters(each, ["source"], ["chars", "lines"]).unpivot("source", ["chars", "lines"], "name", "n")
 
 
+def _files(spark, d):
+    """Three artifacts a document, as old as its id says."""
+    kinds = F.array(F.lit("pdf"), F.lit("sidecar"), F.lit("failed_tex"))
+    docs = load(spark, d, "documents").select("doc_id", "n_chars", F.posexplode(kinds).alias("i", "kind"))
+    age = F.make_dt_interval(days=((F.col("doc_id") + F.col("i")) % 6).cast("int"))
+    return docs.select("doc_id", "kind", (F.col("n_chars") + F.col("i")).alias("length"), (F.lit("2024-03-10").cast("timestamp") - age).alias("modified"))
+
+
+def reclaim_counts(spark, d):
+    """What a cleanup of artifacts that no board or label names would keep, remove and free."""
+    references = _references(spark, d).select("doc_id").unionByName(load(spark, d, "labels").filter("quality = 1").select("doc_id"))
+    return R.reclaim_counts(R.reclaimable(_files(spark, d), references, "doc_id", "modified", F.lit("2024-03-10").cast("timestamp")))
+
+
+def completion_texts(spark, d):
+    """The text of chat completions made of every document, in each of the forms that servers give."""
+    k, said = F.col("doc_id") % 6, F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    said = F.substring(said, 6, F.length(said) - 6)  # the text as a string of JSON
+    body = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    raw = (
+        F.when(k == 0, body('{"choices": [{"message": {"content": ', said, "}}]}"))
+        .when(k == 1, body('{"choices": [{"message": {"content": [', said, ', {"text": {"value": ', said, '}}, {"text": " "}]}}]}'))
+        .when(k == 2, body('{"choices": [{"message": {"content": "", "reasoning_content": ', said, "}}]}"))
+        .when(k == 3, body('{"choices": [{"message": null, "text": ', said, "}, {}]}"))
+        .when(k == 4, body('{"choices": [{"message": {"content": ', said))
+        .otherwise(body('{"choices": [{"message": {"content": {"text": ', said, "}}}]}"))
+    )
+    return load(spark, d, "documents").select("doc_id", F.sha2(normal_completion(raw), 256).alias("said"))
+
+
 _DOC_GATE = "gate AS (SELECT d.doc_id, coalesce(s.status = 'failed' OR s.tainted, FALSE) OR contains(d.text, 'token =') AS blocked FROM documents d LEFT JOIN statuses s USING (doc_id))"
 _CASE = " ".join(f"WHEN regexp_matches(text, '(?i){r[4]}') THEN '{r[0]}'" for r in _LADDER)
 _SPEC = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}', '{r[3]}', {str(r[2] != 'manual_review').upper()})" for r in (*_LADDER, _ELSE))
@@ -223,6 +254,8 @@ QUERIES = {
     "status_machine": status_machine,
     "store_upsert": store_upsert,
     "counter_merge": counter_merge,
+    "reclaim_counts": reclaim_counts,
+    "completion_texts": completion_texts,
 }
 
 _ISSUES = f"""
@@ -296,4 +329,12 @@ FROM documents d FULL JOIN (SELECT doc_id + CASE WHEN toxic = 1 THEN 1000000000
     "counter_merge": """
 SELECT source, 'chars' AS name, sum(n_chars)::BIGINT AS n FROM documents GROUP BY source UNION ALL
 SELECT source, 'lines', sum(len(string_split(text, chr(10))))::BIGINT FROM documents GROUP BY source""",
+    "reclaim_counts": f"""
+WITH held AS (SELECT user_id AS doc_id FROM ({_ENTRIES_SQL}) UNION SELECT doc_id FROM labels WHERE quality = 1),
+f AS (SELECT doc_id, kind, n_chars + i AS length, (doc_id + i) % 6 AS age, doc_id IN (SELECT doc_id FROM held) AS held FROM documents, (VALUES (0, 'pdf'), (1, 'sidecar'), (2, 'failed_tex')) k(i, kind))
+SELECT kind, count(*) FILTER (age < 3) AS kept_recent, count(*) FILTER (age >= 3 AND held) AS kept_referenced, count(*) FILTER (age >= 3 AND NOT held) AS would_remove,
+  coalesce(sum(length) FILTER (age >= 3 AND NOT held), 0)::BIGINT AS would_free_bytes FROM f GROUP BY kind""",
+    "completion_texts": """
+SELECT doc_id, CASE WHEN trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN NULL
+  WHEN doc_id % 6 IN (0, 2, 3) THEN sha256(text) WHEN doc_id % 6 = 1 THEN sha256(text || chr(10) || text) END AS said FROM documents""",
 }
