@@ -64,7 +64,8 @@ def strip_artifacts(c, patterns: tuple[str, ...] = ARTIFACTS) -> Column:
         return whole
 
     def step(done: Column, pattern: Column) -> Column:
-        return F.struct(F.regexp_replace(done["text"], pattern, F.lit("")).alias("text"), (done["n"] + F.regexp_count(done["text"], pattern)).alias("n"))
+        cut = F.struct(F.regexp_replace(done["text"], pattern, F.lit("")).alias("text"), (done["n"] + F.regexp_count(done["text"], pattern)).alias("n"))
+        return F.when(F.rlike(done["text"], pattern), cut).otherwise(done)
 
     found = text.rlike("|".join(f"(?:{p})" for p in patterns))
     return F.when(found, F.aggregate(F.array(*map(F.lit, patterns)), whole, step)).otherwise(whole)
