@@ -28,24 +28,30 @@ def chunk_cap(c, default: int = DEFAULT_CAP) -> Column:
     return F.when(F.regexp_count(c, F.lit(REFERENCE)) >= 1, min(default, REFERENCE_CAP)).when(F.regexp_count(c, F.lit(CITATION)) >= 2, min(default, CITATION_CAP)).otherwise(default)
 
 
-def _depths(text: str) -> list[bool]:
+_MARK = re.compile(r"\\.?|[{}$]", re.DOTALL)
+
+
+def _depths(text: str) -> bytearray:
     """For each boundary 0..n whether a cut there is safe: outside braces and inline math, not after a backslash."""
-    safe, depth, math, i = [], 0, False, 0
-    escaped = False
-    for ch in text:
-        safe.append(depth == 0 and not math and not escaped)
-        if escaped:
-            escaped = False
-        elif ch == "\\":
-            escaped = True
-        elif ch == "{":
+    safe, depth, math, start = bytearray(b"\1") * (len(text) + 1), 0, False, 0
+    for m in _MARK.finditer(text):
+        at, kind = m.start(), text[m.start()]
+        if kind == "\\":
+            safe[at + 1] = 0
+            continue
+        was = depth or math
+        if kind == "{":
             depth += 1
-        elif ch == "}":
+        elif kind == "}":
             depth = max(0, depth - 1)
-        elif ch == "$":
+        else:
             math = not math
-        i += 1
-    safe.append(not escaped)
+        if not was and (depth or math):
+            start = at + 1
+        elif was and not (depth or math):
+            safe[start : at + 1] = bytes(at + 1 - start)
+    if depth or math:  # up to the last boundary, where a text may end
+        safe[start:-1] = bytes(len(text) - start)
     return safe
 
 

@@ -13,6 +13,9 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import BATCH_BYTES as BATCH_BYTES
+from ..batches import bounded_batches
+
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -23,24 +26,7 @@ def ship(spark: SparkSession) -> SparkSession:
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *(p for p in paths if p)])
-    _bounded_batches(spark)
-    return spark
-
-
-#: Bytes of an Arrow batch between the JVM and Python: what a task holds of the texts at a time.
-BATCH_BYTES = 4 << 20
-
-
-def _bounded_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, None)
-    digits = "".join(c for c in now or "" if c.isdigit())
-    size = int(digits or 0) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get((now or "b").lower().rstrip("b")[-1:], 1)
-    if size <= 0 or size > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-    # Operators bound what they return themselves. Cut by Spark, a batch above a limit reaches the JVM without
-    # columns and the task fails.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", "-1")
+    return bounded_batches(spark)
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
