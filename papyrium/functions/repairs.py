@@ -2,7 +2,7 @@
 
 `rewritten` is the native form: the text is cut at the matches, each match is mapped as an array element, and
 the pieces are joined again, in time linear in the text. Repairs that follow a balance of groups are plain
-functions over one text, for `rewrites.lifted`. Each gives (text, n): the repaired text and how many
+functions over one text, for `rewrites.lifted`; so is what looks up keys. Each gives (text, n): the repaired text and how many
 places changed. Null texts are empty; a text without a match comes back as it is.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rewrites import chained, replaced
+from .rewrites import chained, lifted, replaced
 from .text import _col
 
 WIDE = "\u3400-\u4dbf\u4e00-\u9fff"
@@ -242,26 +242,34 @@ def citation_aux(c, source=None) -> Column:
     return F.when(keys != "", F.concat(F.lit("\\relax\n"), keys, F.lit("\\bibstyle{"), style, F.lit("}\n\\bibdata{"), data, F.lit("}\n")))
 
 
-def mark_missing_citations(c, entries) -> Column:
-    """Cited keys without an entry in a bibliography become a mark; n counts such keys. Without any entry nothing changes."""
-    known = F.array_distinct(_all(entries, r"\\bibitem(?:\[[^\]]*\])?\{([^{}]+)\}"))
+_CITED, _BIBITEM = re.compile(CITE), re.compile(r"\\bibitem(?:\[[^\]]*\])?\{([^{}]+)\}")
+
+
+def _missing_marked(text: str, entries: str) -> tuple[str, int]:
+    known, missing = set(_BIBITEM.findall(entries)), set()
 
-    def by(m, has, lacks):
-        rest = F.when(F.size(has) > 0, F.concat(F.lit("\\"), _part(m, CITE, 1), _part(m, CITE, 2), F.lit("{"), F.array_join(has, ","), F.lit("}"))).otherwise("")
-        mark = F.concat(F.lit("\\textsuperscript{[" + NO_ENTRY + ":"), F.array_join(lacks, ","), F.lit("]}"))
-        bare = F.when(F.size(has) > 0, F.concat(F.lit("\\nocite{"), F.array_join(has, ","), F.lit("}"))).otherwise("")
-        return F.when(F.size(lacks) > 0, F.when(_part(m, CITE, 1) == "nocite", bare).otherwise(F.concat(rest, mark)))
+    def one(m):
+        name, options, listed = m.groups()
+        keys = [k for k in (k.strip(" ") for k in listed.split(",")) if k]
+        lacks = [k for k in keys if k not in known]
+        if not lacks:
+            return m[0]
+        missing.update(lacks)
+        has = ",".join(k for k in keys if k in known)
+        if name == "nocite":
+            return f"\\nocite{{{has}}}" if has else ""
+        rest = f"\\{name}{options}{{{has}}}" if has else ""
+        return f"{rest}\\textsuperscript{{[{NO_ENTRY}:{','.join(lacks)}]}}"
 
-    def parted(m, known):
-        keys = F.transform(_keys(_part(m, CITE, 3)), lambda k: F.struct(k.alias("k"), F.array_contains(known, k).alias("has")))
-        return _bound(keys, lambda ks: by(m, F.filter(ks, lambda k: k["has"])["k"], F.filter(ks, lambda k: ~k["has"])["k"]))
+    return (_CITED.sub(one, text), len(missing)) if known else (text, 0)
 
-    def repaired(known):
-        missing = F.size(F.array_except(cited_keys(c), known))
-        done = F.struct(rewritten(c, CITE, lambda m: parted(m, known))["text"].alias("text"), missing.alias("n"))
-        return F.when(F.size(known) > 0, done).otherwise(F.struct(_text(c).alias("text"), F.lit(0).alias("n")))
 
-    return _bound(known, repaired)
+def mark_missing_citations(c, entries) -> Column:
+    """Cited keys without an entry in a bibliography become a mark; n counts such keys. Without any entry nothing changes.
+
+    Keys are looked up in a set of each text's entries: an array expression would walk all entries for every key.
+    """
+    return lifted(_missing_marked)(_col(c), _col(entries))
 
 
 # Over one text.

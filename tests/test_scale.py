@@ -30,3 +30,22 @@ def test_boundaries_of_chunks():
 
     assert list(_depths(r"a{b$}c$d\{e$f}")) == [1, 1, 0, 0, 0, 0, 0, 1, 1, 0, 1, 1, 0, 0, 1]
     assert list(_depths("\\")) == [1, 0] and list(_depths("")) == [1] and list(_depths("}}{")) == [1, 1, 1, 1]
+
+
+def test_missing_citations_of_a_long_text_are_looked_up(spark):
+    """Keys times entries: a billion comparisons where each key walks the entries."""
+    import time
+
+    from papyrium.functions.repairs import NO_ENTRY, mark_missing_citations
+
+    n = 50_000
+    name = lambda x: F.concat(F.lit("key"), x.cast("string"))
+    ids = F.sequence(F.lit(1), F.lit(n))
+    tex = F.concat(F.lit("\\cite{"), F.array_join(F.transform(ids, name), ","), F.lit("}"))
+    entries = F.array_join(F.transform(F.filter(ids, lambda x: x % 2 == 0), lambda x: F.concat(F.lit("\\bibitem{"), name(x), F.lit("}"))), "")
+    row = spark.range(1).select(tex.alias("tex"), entries.alias("entries"))
+    began = time.time()
+    got = row.select(mark_missing_citations("tex", "entries").alias("r")).select("r.*").first()
+    assert time.time() - began < 15
+    has, lacks = (",".join(f"key{i}" for i in range(k, n + 1, 2)) for k in (2, 1))
+    assert got["n"] == n // 2 and got["text"] == f"\\cite{{{has}}}\\textsuperscript{{[{NO_ENTRY}:{lacks}]}}"
