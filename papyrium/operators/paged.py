@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import is_untranslated_paged, longest_run
+from ..batches import bounded_batches
+from .quality import is_untranslated_paged
 
 # What marks a kind of page.
 SCRIPT = "[一-鿿]"
@@ -33,6 +34,19 @@ MIN_TEXT, MIN_WORDS, MIN_SCRIPT = 300, 30, 100
 DOMINANT_LETTERS, DOMINANT_WORDS, DOMINANT_PCT = 700, 100, 20.0
 LINE_LETTERS, LINE_WORDS, LINE_PCT = 15, 3, 10.0
 
+#: What a text in lower case holds, one at least, where a pattern can match: it is looked for first, by plain search.
+NEEDED = {
+    "references": ("参考文献", "references", "bibliography"),
+    "appendix": ("附录", "appendix", "supplementary"),
+    "contents": ("contents",),
+    "table": ("table", "表"),
+    "proof": ("proof", "proposition", "theorem", "lemma", "definition", "sufficient"),
+    "section": ("conclusion", "discussion", "method", "result"),
+    "turn": ("system", "developer", "user", "assistant", "task", "prompt", "question", "answer", "response", "<think>"),
+}
+_OTHER_CASE = "\u0130\u0131\u017f"  # patterns take them for i and s, str.lower() doesn't
+_LETTERS = bytes([*range(65, 91), *range(97, 123)])
+
 CLASSES = ("refusal", "reference", "structural", "short", "source", "analyzable")
 
 
@@ -40,25 +54,37 @@ class _Reader:
     """Reads the pages of one text in order."""
 
     def __init__(self, script: str):
-        self.script, self.letter, self.word = re.compile(script), re.compile("[A-Za-z]"), re.compile(WORD)
+        self.script, self.word = re.compile(script), re.compile(WORD)
         for name in ("REFUSAL", "REFERENCES", "APPENDIX", "ENTRY", "CONTENTS", "DOTS", "TABLE", "NUMBER", "PROOF", "SECTION", "NARRATIVE", "TURN", "FIELD"):
             setattr(self, name.lower(), re.compile(globals()[name]))
 
-    def counts(self, text: str) -> tuple[int, int, int]:
-        return len(self.script.findall(text)), len(self.letter.findall(text)), len(self.word.findall(text))
-
-    def strongest_lines(self, page: str) -> tuple[int, int, str]:
-        best, run = (0, 0, ""), []
-        for line in [*page.splitlines(), None]:
-            s, a, w = self.counts(line) if line is not None else (0, 0, 0)
-            if line is not None and a >= LINE_LETTERS and w >= LINE_WORDS and 100 * s / max(1, s + a) < LINE_PCT:
-                run.append((" ".join(line.split()), w))
-            else:
+    def matches(self, name: str, text: str, low: str) -> list[re.Match]:
+        """All matches of a pattern; `low` is the text in lower case."""
+        if any(x in low for x in NEEDED[name]) or any(x in text for x in _OTHER_CASE):
+            return list(getattr(self, name).finditer(text))
+        return []
+
+    def counts(self, text: str) -> tuple[int, int, list[tuple[str, int, int]]]:
+        """Letters and words, which end with their line; and each line with its own."""
+        lines = []
+        for line in text.splitlines():
+            said = line.encode("utf-8", "surrogatepass")
+            a = len(said) - len(said.translate(None, _LETTERS))
+            lines.append((line, a, len(self.word.findall(line)) if a > 2 else 0))
+        return sum(a for _, a, _ in lines), sum(w for _, _, w in lines), lines
+
+    def strongest_lines(self, counted: list[tuple[str, int, int]]) -> tuple[int, int, str]:
+        best, run = (0, 0, []), []
+        for line, a, w in [*counted, ("", 0, 0)]:
+            if a >= LINE_LETTERS and w >= LINE_WORDS and 100 * (s := len(self.script.findall(line))) / max(1, s + a) < LINE_PCT:
+                run.append((line, w))
+            elif run:
                 now = (len(run), sum(x for _, x in run))
                 if now > best[:2]:
-                    best = (*now, " ".join(t for t, _ in run)[:360])
+                    best = (*now, run)
                 run = []
-        return best
+        lines, said, run = best
+        return lines, said, " ".join(" ".join(t.split()) for t, _ in run)[:360]
 
     def pages(self, text: str):
         """position, class, script, letters, words, dominant, partial of each page."""
@@ -68,7 +94,8 @@ class _Reader:
         in_references = in_appendix = False
         for pos, page in enumerate(cut, 1):
             refused = bool(self.refusal.search(page))
-            marks = sorted([(m.start(), "r") for m in self.references.finditer(page)] + [(m.start(), "a") for m in self.appendix.finditer(page)])
+            low = page.lower()
+            marks = sorted([(m.start(), "r") for m in self.matches("references", page, low)] + [(m.start(), "a") for m in self.matches("appendix", page, low)])
             kept, at, dropped = [], 0, in_references
             for where, kind in marks:
                 if not in_references:
@@ -78,32 +105,34 @@ class _Reader:
             if not in_references:
                 kept.append(page[at:])
             body = "".join(kept)
-            s, a, w = self.counts(body)
+            low = body.lower() if marks or not body else low
+            s = len(self.script.findall(body))
+            a, w, counted = self.counts(body)
             pct = 100 * s / max(1, s + a)
             dominant = partial = False
             if refused:
                 kind = "refusal"
-            elif dropped and not body.strip() or not marks and not in_references and pct < 8.0 and len(self.entry.findall(page)) >= 3:
+            elif dropped and not body.strip() or not marks and not in_references and pct < 8.0 and page.count("[") >= 3 and len(self.entry.findall(page)) >= 3:
                 kind = "reference"
-            elif self.contents.search(body) or len(self.dots.findall(body)) >= 8 or self.table.search(body) and len(self.number.findall(body)) >= 35:
+            elif (
+                self.matches("contents", body, low)
+                or body.count(".") >= 40 and len(self.dots.findall(body)) >= 8
+                or self.matches("table", body, low) and len(self.number.findall(body)) >= 35
+            ):
                 kind = "structural"
             elif s + a < MIN_TEXT or w < MIN_WORDS and s < MIN_SCRIPT:
                 kind = "short"
-            elif pct < 20.0 and (len(turns := self.turn.findall(body)) >= 2 or len(self.field.findall(body)) >= 6 or in_appendix and turns):
+            elif pct < 20.0 and (len(turns := self.matches("turn", body, low)) >= 2 or len(self.field.findall(body)) >= 6 or in_appendix and turns):
                 kind = "source"
             else:
                 kind = "analyzable"
                 dominant = a >= DOMINANT_LETTERS and w >= DOMINANT_WORDS and pct < DOMINANT_PCT
-                lines, said, sample = self.strongest_lines(body)
+                lines, said, sample = self.strongest_lines(counted)
                 prose = lines >= 3 and said >= 30 and (len(re.findall(r"[.!?](?:\s|$)", sample)) >= 2 or bool(self.narrative.search(sample)))
-                partial = dominant and bool(self.proof.search(body)) or not turns_in(self, body) and bool(self.section.search(body)) and prose
+                partial = dominant and bool(self.matches("proof", body, low)) or prose and not self.matches("turn", body, low) and bool(self.matches("section", body, low))
             yield pos, kind, s, a, w, dominant, partial
 
 
-def turns_in(reader: _Reader, text: str) -> bool:
-    return bool(reader.turn.search(text))
-
-
 def classify_pages(docs: DataFrame, key: str, text: str, script: str = SCRIPT) -> DataFrame:
     """key, pos, kind, script, letters, words, dominant and partial for each page of each text."""
 
@@ -115,10 +144,22 @@ def classify_pages(docs: DataFrame, key: str, text: str, script: str = SCRIPT) -
             rows = [(k, *r) for k, t in zip(frame[key], frame[text]) for r in reader.pages(t or "")]
             yield pd.DataFrame(rows, columns=[key, "pos", "kind", "script", "letters", "words", "dominant", "partial"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInPandas(scan, f"{key} {kind}, pos int, kind string, script long, letters long, words long, dominant boolean, partial boolean")
 
 
+def _longest_run(places: Column) -> Column:
+    """The longest run of consecutive numbers in a sorted array; 0 for none."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("longest"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(x == a["last"] + 1, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["longest"], run).alias("longest"))
+
+    return F.aggregate(places, start, step, lambda a: a["longest"])
+
+
 def paged_report(pages: DataFrame, key: str) -> DataFrame:
     """Pages of each class, dominant and partial pages, the longest dominant run, the script's share and the verdict."""
     n = lambda c: F.sum(c.cast("long"))
@@ -127,8 +168,7 @@ def paged_report(pages: DataFrame, key: str) -> DataFrame:
     report = pages.groupBy(key).agg(
         F.count(F.lit(1)).alias("pages"), *(n(F.col("kind") == c).alias(f"{c}_pages") for c in CLASSES), n(F.col("dominant")).alias("dominant_pages"),
         n(F.col("partial")).alias("partial_pages"), (100.0 * script / F.greatest(script + letters, F.lit(1))).alias("script_pct"),
+        _longest_run(F.array_sort(F.collect_set(F.when(F.col("dominant"), F.col("pos"))))).alias("longest_run"),
     )
-    runs = longest_run(pages, "dominant", key)
-    out = report.join(runs, key, "left").withColumn("longest_run", F.coalesce("longest_run", F.lit(0)))
     verdict = is_untranslated_paged(F.col("dominant_pages"), F.col("longest_run"), F.col("script_pct"), F.col("analyzable_pages"))
-    return out.withColumns({"untranslated": verdict, "refused": F.col("refusal_pages") > 0, "script_pct": F.round("script_pct", 1)})
+    return report.withColumns({"untranslated": verdict, "refused": F.col("refusal_pages") > 0, "script_pct": F.round("script_pct", 1)})

@@ -82,10 +82,9 @@ def line_samples(spark, d):
 
 def paged_quality(spark, d):
     """Documents as paged texts, ten lines a page: classes of their pages and the verdict."""
-    lines = F.split("text", "\n")
-    steps = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 10).cast("int"))
-    paged = F.array_join(F.transform(steps, lambda i: F.array_join(F.slice(lines, i * 10 + 1, F.lit(10)), "\n")), "\f")
-    docs = load(spark, d, "documents").select("doc_id", paged.alias("text"))
+    steps = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 10).cast("int"))
+    paged = F.array_join(F.transform(steps, lambda i: F.array_join(F.slice("lines", i * 10 + 1, F.lit(10)), "\n")), "\f")
+    docs = load(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines")).select("doc_id", paged.alias("text"))
     return paged_report(classify_pages(docs, "doc_id", "text", NON_ASCII), "doc_id")
 
 

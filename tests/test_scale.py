@@ -49,3 +49,30 @@ def test_missing_citations_of_a_long_text_are_looked_up(spark):
     assert time.time() - began < 15
     has, lacks = (",".join(f"key{i}" for i in range(k, n + 1, 2)) for k in (2, 1))
     assert got["n"] == n // 2 and got["text"] == f"\\cite{{{has}}}\\textsuperscript{{[{NO_ENTRY}:{lacks}]}}"
+
+
+def test_pages_are_read_once_and_in_bounded_bytes(spark, tmp_path):
+    from papyrium.operators.paged import classify_pages, paged_report
+
+    _long_texts(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    report = paged_report(classify_pages(docs, "doc_id", "text"), "doc_id")
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+    got = report.first()
+    assert (got["pages"], got["dominant_pages"], got["longest_run"]) == (1, 1, 1)
+
+
+def test_longest_run_of_pages(spark):
+    from papyrium.operators.paged import paged_report
+
+    rows = [(k, pos, "analyzable", 0, 0, 0, pos in own, False) for k, own in ((1, {1, 3, 4, 5, 7, 8}), (2, set()), (3, {9})) for pos in range(9, 0, -1)]
+    pages = spark.createDataFrame(rows, "id int, pos int, kind string, script long, letters long, words long, dominant boolean, partial boolean")
+    assert {r["id"]: r["longest_run"] for r in paged_report(pages, "id").collect()} == {1: 3, 2: 0, 3: 1}
+
+
+def test_letters_of_other_case_still_name_a_section():
+    from papyrium.operators.paged import SCRIPT, _Reader
+
+    reader = _Reader(SCRIPT)
+    assert [len(reader.matches("references", t, t.lower())) for t in ("REFERENCES", "Reﬀerences", "Referenceſ", "bıblıography", "none")] == [1, 0, 1, 1, 0]
