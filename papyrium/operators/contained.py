@@ -13,10 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import bounded_batches
+
 #: Characters of the passages in one block.
 BLOCK_CHARS = 1_000_000
 #: Bytes of text that a task looks at together; a longer text is looked at alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _NOT_TEXT = b"\xff"  # stands in no UTF-8
 _HEADS = (32, 16, 8, 7, 6, 5, 4, 3, 2, 1)
 _BITS = 20
@@ -37,7 +39,7 @@ def _blocks(passages: DataFrame, item: str, text: str, block_chars: int):
 
 def contained(docs: DataFrame, passages: DataFrame, key: str, item: str, text: str, passage_text: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """key and item of each passage that a text holds, once a pair. Empty passages and nulls match nothing."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     kinds = f"{key} {docs.schema[key].dataType.simpleString()}, {item} {passages.schema[item].dataType.simpleString()}"
     out = None
     for block in _blocks(passages, item, passage_text or text, block_chars):

@@ -76,3 +76,14 @@ def test_letters_of_other_case_still_name_a_section():
 
     reader = _Reader(SCRIPT)
     assert [len(reader.matches("references", t, t.lower())) for t in ("REFERENCES", "Reﬀerences", "Referenceſ", "bıblıography", "none")] == [1, 0, 1, 1, 0]
+
+
+def test_passages_are_found_in_bounded_bytes(spark):
+    from papyrium.operators import contained as C
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = [(i, "x" * (C.SLICE_BYTES // 3 + i) + ("a passage" if i % 2 else "") + "y") for i in range(9)]
+    docs, items = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame([("p", "a passage"), ("q", "passage not here")], "item_id string, text string")
+    got = C.contained(docs, items, "doc_id", "item_id", "text").collect()
+    assert sorted(tuple(r) for r in got) == [(i, "p") for i in (1, 3, 5, 7)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
