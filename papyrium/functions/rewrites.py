@@ -56,19 +56,42 @@ def plain_references(c) -> Column:
     return replaced(c, r"\\[cC]ref(?:\s*\[[^\]]*\])?(?=\s*\{)", r"\\ref")
 
 
+def _needed(pattern: str) -> str:
+    """The longest plain text that every match of a pattern holds; what groups and classes hold is passed over."""
+    runs, run, depth, pattern = [], "", 0, re.sub(r"^\(\?[a-z]+\)", "", pattern)
+    for part in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\{[^}]*\}|.", pattern, re.DOTALL):
+        if part == "|" and not depth:
+            return ""
+        depth += (part == "(") - (part == ")")
+        if depth or part[0] in ".^$|()[" or part[0] == "\\" and part[1].isalnum():
+            runs, run = [*runs, run], ""
+        elif part[0] in "?*+{":
+            runs, run = [*runs, run[:-1]], ""
+        else:
+            run += part[-1]
+    return max([*runs, run], key=len)
+
+
 def strip_artifacts(c, patterns: tuple[str, ...] = ARTIFACTS) -> Column:
-    """Deletes every match of every pattern, in order. Texts that no pattern matches are read once and left as they are."""
+    """Deletes every match of every pattern, in order. A pattern is tried only on texts that hold its longest plain piece."""
     text = F.coalesce(_col(c), F.lit(""))
-    whole = F.struct(text.alias("text"), F.lit(0).alias("n"))
     if not patterns:
-        return whole
-
-    def step(done: Column, pattern: Column) -> Column:
-        cut = F.struct(F.regexp_replace(done["text"], pattern, F.lit("")).alias("text"), (done["n"] + F.regexp_count(done["text"], pattern)).alias("n"))
-        return F.when(F.rlike(done["text"], pattern), cut).otherwise(done)
-
-    found = text.rlike("|".join(f"(?:{p})" for p in patterns))
-    return F.when(found, F.aggregate(F.array(*map(F.lit, patterns)), whole, step)).otherwise(whole)
+        return F.struct(text.alias("text"), F.lit(0).alias("n"))
+    any_case = [p.startswith("(?i)") for p in patterns]
+
+    def tried(i: int, p: str) -> Column:
+        needed = _needed(p).lower() if any_case[i] else _needed(p)
+        return F.struct(F.lit(p).alias("pattern"), F.lit(needed).alias("needed"), F.lit(any_case[i]).alias("any_case"), F.lit(any(any_case[i + 1 :])).alias("low_again"))
+
+    def step(done: Column, p: Column) -> Column:
+        n = done["n"] + F.regexp_count(done["text"], p["pattern"])
+        new = F.array(F.regexp_replace(done["text"], p["pattern"], F.lit("")))  # an element, so that it is made once
+        cut = F.transform(new, lambda t: F.struct(t.alias("text"), F.when(p["low_again"], F.lower(t)).otherwise(done["low"]).alias("low"), n.alias("n")))
+        held = F.when(p["any_case"], F.contains(done["low"], p["needed"])).otherwise(F.contains(done["text"], p["needed"]))
+        return F.when(held & F.rlike(done["text"], p["pattern"]), F.get(cut, F.lit(0))).otherwise(done)
+
+    start = F.struct(text.alias("text"), F.lower(text).alias("low"), F.lit(0).alias("n"))
+    return F.aggregate(F.array(*(tried(i, p) for i, p in enumerate(patterns))), start, step, lambda done: F.struct(done["text"].alias("text"), done["n"].alias("n")))
 
 
 def comment_endinput(c) -> Column:

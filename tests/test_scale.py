@@ -87,3 +87,12 @@ def test_passages_are_found_in_bounded_bytes(spark):
     got = C.contained(docs, items, "doc_id", "item_id", "text").collect()
     assert sorted(tuple(r) for r in got) == [(i, "p") for i in (1, 3, 5, 7)]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+
+
+def test_plain_pieces_that_artifacts_need():
+    from papyrium.functions.artifacts import ARTIFACTS
+    from papyrium.functions.rewrites import _needed
+
+    assert [_needed(p) for p in ("a|bc", "(?i)AB+cd[x]{2}eF", "x(?:abc|b)yz?", r"(?m)^[ \t]*\{q\s+rs", "[]a]b")] == ["", "cd", "x", "{q", "b"]
+    assert all(_needed(p) for p in ARTIFACTS)
+    assert _needed(ARTIFACTS[0]) == '"translation"' and _needed(r"(?i)Certainly!\s*(?=[一-鿿])") == "Certainly!"
