@@ -125,11 +125,14 @@ NODE_RANGE = r"^#\[[^\]]+\]"
 
 def splitter_nodes(c) -> Column:
     """Fragments (text, preserve) of a splitter's page, in order: red paragraphs are preserved, black ones translated."""
-    c = _col(c)
-    pairs = F.arrays_zip(*(F.regexp_extract_all(c, F.lit(NODE), F.lit(i)).alias(n) for i, n in ((1, "color"), (2, "body"))))
+    red, black = ('<p style="color:%s;">' % x for x in ("red", "black"))
+    found = F.regexp_extract_all(_col(c), F.lit(NODE), F.lit(0))  # whole, so that the page is made and read once
 
     def node(x: Column) -> Column:
-        text = F.regexp_replace(unescape_entities(F.replace(x["body"], F.lit("<br/>"), F.lit("\n"))), NODE_RANGE, "")
-        return F.struct(F.regexp_replace(text, r"#\z", "").alias("text"), (x["color"] == "red").alias("preserve"))
+        kept = F.startswith(x, F.lit(red))
+        skip = F.when(kept, len(red)).otherwise(len(black))
+        body = F.substr(x, skip + 1, F.length(x) - skip - len("</p>"))
+        text = F.regexp_replace(unescape_entities(F.replace(body, F.lit("<br/>"), F.lit("\n"))), NODE_RANGE, "")
+        return F.struct(F.regexp_replace(text, r"#\z", "").alias("text"), kept.alias("preserve"))
 
-    return F.transform(pairs, node)
+    return F.transform(found, node)

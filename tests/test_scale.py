@@ -96,3 +96,12 @@ def test_plain_pieces_that_artifacts_need():
     assert [_needed(p) for p in ("a|bc", "(?i)AB+cd[x]{2}eF", "x(?:abc|b)yz?", r"(?m)^[ \t]*\{q\s+rs", "[]a]b")] == ["", "cd", "x", "{q", "b"]
     assert all(_needed(p) for p in ARTIFACTS)
     assert _needed(ARTIFACTS[0]) == '"translation"' and _needed(r"(?i)Certainly!\s*(?=[一-鿿])") == "Certainly!"
+
+
+def test_a_splitters_page_is_read_once(spark):
+    from papyrium.functions.chunks import splitter_nodes
+
+    page = 'x<p style="color:red;">#[1-2]a&lt;b#</p><p style="color:black;"></p><p style="color:blue;">no</p>\n<p style="color:black;">c<br/>d#</p>'
+    df = spark.createDataFrame([(page,), (None,), ("",)], "page string").select(splitter_nodes("page").alias("nodes"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [None if r["nodes"] is None else [tuple(n) for n in r["nodes"]] for r in df.collect()] == [[("a<b", True), ("", False), ("c\nd", False)], None, []]
