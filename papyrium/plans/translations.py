@@ -39,11 +39,11 @@ def _plain(c):
 
 def translation_backfill(spark, d):
     """Abstract, summary and keywords of translations from TeX made of the whole text; some stand there already."""
-    line, k = _plain(F.coalesce("text", F.lit(""))), F.col("doc_id")
+    line, k = F.col("line"), F.col("doc_id")
     body = F.concat(F.lit("{\\scriptsize\\textbf{警告：机器 禁止移除或修改此警告。}} \\\\ 摘要 \\textbf{"), line, F.lit("}。 第二\\cite{a,b} \\href{http://x}{链接} \\url{u}！\n第三句？尾 {\\em b}"))
     body = F.when(k % 5 == 4, line).when(k % 5 == 3, F.concat(F.lit("无句号 "), line)).otherwise(body)
     keys = F.concat(F.lit("\\keywords{一词, "), F.substring(line, 1, 9), F.lit("；\\and 三词，,五 \\bf 词}"))
-    rows = load(spark, d, "documents").select(
+    rows = load(spark, d, "documents").select("doc_id", _plain(F.coalesce("text", F.lit(""))).alias("line")).select(
         "doc_id",
         F.when(k % 11 != 0, F.concat(F.lit("\\begin{abstract}"), body, F.lit("\\end{abstract} "), keys)).alias("tex"),
         F.when(k % 3 == 0, "已有摘要").when(k % 3 == 1, "only english").alias("abstract_zh"),

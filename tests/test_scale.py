@@ -105,3 +105,20 @@ def test_a_splitters_page_is_read_once(spark):
     df = spark.createDataFrame([(page,), (None,), ("",)], "page string").select(splitter_nodes("page").alias("nodes"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert [None if r["nodes"] is None else [tuple(n) for n in r["nodes"]] for r in df.collect()] == [[("a<b", True), ("", False), ("c\nd", False)], None, []]
+
+
+def test_abstracts_by_their_marks(spark):
+    from papyrium.functions.backfill import abstract_of
+
+    b, e = "\\begin{abstract}", "\\end{abstract}"
+    texts = [f"{e}x{b}one\ntwo{e}{b}three{e}", f"{b}{e}", f"{b}no end", f"no begin{e}", f"文{b}文字{b}a{e}", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, tex string")
+    assert [r["a"] for r in df.orderBy("i").select(abstract_of("tex").alias("a")).collect()] == ["one\ntwo", "", "", "", f"文字{b}a", ""]
+
+
+def test_backfill_cuts_sentences_once(spark):
+    from papyrium.functions.backfill import summary_of
+
+    df = spark.createDataFrame([("一。 二！三",), ("none",)], "x string").select(summary_of("x", limit=3).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r["s"] for r in df.collect()] == ["一。二！", "none"]
