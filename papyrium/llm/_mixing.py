@@ -96,9 +96,12 @@ def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.clip(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))), -LIMIT, LIMIT).astype(np.float32, copy=False)
 
 
-def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of nodes under contexts in a table of 2**bits."""
-    return ((context + node * _A) * _B) >> np.uint32(32 - bits)
+def _slots(context: np.ndarray, hashed: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of nodes (times _A) under contexts in a table of 2**bits."""
+    s = context + hashed
+    s *= _B
+    s >>= np.uint32(32 - bits)
+    return s
 
 
 #: ln(n + 0.4) of small counts.
@@ -107,6 +110,8 @@ _FEW = np.digitize(np.arange(17), (1, 3, 16)).astype(np.intp)
 DEPTHS = np.digitize(np.arange(40), (2, 5, 9, 13)).tolist()
 #: The first segment of a text.
 FIRST = 16
+#: Positions that go through a level at a time.
+STRIP = 1 << 15
 #: Slots of a text's own past, for each of its positions.
 ROOM = 8
 
@@ -118,8 +123,15 @@ def room_bits(positions: np.ndarray) -> np.ndarray:
 
 def room_slot(node: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """The slot of a node among the 2 ** (32 - shift) of a text."""
-    h = node * _A
-    return ((h ^ (h >> np.uint32(15))) * _B) >> shift
+    return _room_slot(node * _A, shift)
+
+
+def _room_slot(hashed: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    h = hashed >> np.uint32(15)
+    h ^= hashed
+    h *= _B
+    h >>= shift
+    return h
 
 
 class Chunk:
@@ -128,36 +140,47 @@ class Chunk:
     text, step: the number of each position's text and its place in it. Each text's past has slots of its own, by its
     length, so that nothing depends on the texts beside it. guess: the code that the text's own past
     foretells, and trust: 0 without a guess, 1 to 3 by how many guesses came true just before. Symbols without a
-    past (the bytes of words) have a place in the word instead. teaches: positions that a mixer may learn from and
-    that are in the counts; None for all.
+    past (the bytes of words) have a place in the word instead.
     """
 
-    def __init__(self, code: Code, left, length, contexts, text=None, step=None, guess=None, trust=None, place=None, teaches=None):
+    def __init__(self, code: Code, left, length, contexts, text=None, step=None, guess=None, trust=None, place=None):
         self.code, self.past, n = code, text is not None, len(left)
         segment = np.zeros(n, dtype=np.int16)
         if self.past:
-            segment = (np.log2(np.maximum(step, 1) / (FIRST / 2)).clip(0)).astype(np.int16)
+            segment = _segment(step)
         self.order = np.argsort(segment * np.int16(64) - length, kind="stable")
         pick = lambda x: None if x is None else x.take(self.order, mode="clip")
         self.left, self.length, self.contexts = pick(left), pick(length), [pick(c) for c in contexts]
-        self.guess, self.trust, self.place, self.teaches = pick(guess), pick(trust), pick(place), pick(teaches)
+        #: In steps of the gate, as is trust.
+        self.place = pick(None if place is None else place.astype(np.intp) * 4)
         if self.past:
-            bits = room_bits(np.bincount(text)) if n else np.zeros(0, dtype=np.int64)
+            many = np.bincount(text)
+            bits = room_bits(many) if n else np.zeros(0, dtype=np.int64)
             first = np.concatenate([[0], np.cumsum(1 << bits)])
             self.room = int(first[-1])
-            self.shift, self.base = pick((32 - bits[text]).astype(np.uint32)), pick(first[:-1][text].astype(np.intp))
+            self.shift, self.base = pick((32 - bits).astype(np.uint32).take(text)), pick(first[:-1].astype(np.intp).take(text))
+            #: Positions that later segments of their text look back at.
+            self.kept = pick(segment < _segment(many - 1).take(text))
+            self.trust = pick(trust.astype(np.intp) * 4)
+            # How many bits the guess shares with the symbol from the left; -1 without a guess.
+            self.shared = pick(np.where(trust > 0, 32 - np.frexp((guess ^ left).astype(np.float64))[1], -1).astype(np.int8))
         self.bounds = np.searchsorted(segment.take(self.order), np.arange(int(segment.max(initial=-1)) + 2)).tolist()
 
     def levels(self):
-        """For each segment and depth: the slice of positions that have a bit there, their nodes and bits."""
+        """For each segment, strip of it and depth: the slice of positions that have a bit there, their nodes and bits."""
         for a, end in zip(self.bounds, self.bounds[1:]):
-            sizes = np.bincount(self.length[a:end])
-            live = end - a
-            for d in range(len(sizes) - 1):
-                live -= int(sizes[d])
-                own = slice(a, a + live)
-                node, bit = self.code.at(d, self.left[own])
-                yield a, d, own, node, bit
+            for start in range(a, end, STRIP):
+                live = min(STRIP, end - start)
+                sizes = np.bincount(self.length[start : start + live])
+                for d in range(len(sizes) - 1):
+                    live -= int(sizes[d])
+                    own = slice(start, start + live)
+                    node, bit = self.code.at(d, self.left[own])
+                    yield a, d, own, node, bit
+
+
+def _segment(step: np.ndarray) -> np.ndarray:
+    return (np.log2(np.maximum(step, 1) / (FIRST / 2)).clip(0)).astype(np.int16)
 
 
 class Tables:
@@ -171,23 +194,29 @@ class Tables:
         self.ready = [stretch(*c) for c in self.counts]
         self.counts = None
 
-    def inputs(self, chunk: Chunk, own: slice, node, bit) -> list[np.ndarray]:
-        """Stretched probabilities of each predictor; until settled, with each bit left out of its own counts."""
-        places = [node.astype(np.intp), *(slots(c[own], node, b).astype(np.intp) for c, b in zip(chunk.contexts, self.bits))]
+    def inputs(self, chunk: Chunk, own: slice, node, hashed, bit, rows: np.ndarray) -> None:
+        """Fills rows with stretched probabilities of each predictor; until settled, with each bit left out of its own counts."""
+        places = (node if k < 0 else _slots(chunk.contexts[k][own], hashed, self.bits[k]) for k in range(-1, len(self.bits)))
         if self.ready:
-            return [t.take(s, mode="clip") for t, s in zip(self.ready, places)]
+            for row, t, s in zip(rows, self.ready, places):
+                t.take(s, mode="clip", out=row)
+            return
         one = bit.astype(np.float32)
         zero = np.float32(1) - one
-        if chunk.teaches is not None:
-            one, zero = one * chunk.teaches[own], zero * chunk.teaches[own]
-        return [stretch(np.maximum(c[0].take(s, mode="clip") - zero, 0), np.maximum(c[1].take(s, mode="clip") - one, 0)) for c, s in zip(self.counts, places)]
+        for row, c, s in zip(rows, self.counts, places):
+            s = s.astype(np.intp)
+            row[:] = stretch(np.maximum(c[0].take(s, mode="clip") - zero, 0), np.maximum(c[1].take(s, mode="clip") - one, 0))
 
 
-def count(chunk: Chunk, bits, into: list[list[np.ndarray]]) -> None:
-    """Appends the slots of every bit, twice the slot plus the bit, to one list for each context."""
+def count(chunk: Chunk, bits, sums: list[np.ndarray]) -> None:
+    """Counts every bit in one vector for each context, at twice the slot plus the bit."""
     for _, _, own, node, bit in chunk.levels():
-        for k, (c, b) in enumerate(zip(chunk.contexts, bits)):
-            into[k].append((slots(c[own], node, b) << np.uint32(1)) | bit)
+        node *= _A
+        for c, b, into in zip(chunk.contexts, bits, sums):
+            s = _slots(c[own], node, b)
+            s <<= np.uint32(1)
+            s |= bit
+            np.add.at(into, s.astype(np.intp), 1)
 
 
 class Mixer:
@@ -195,7 +224,8 @@ class Mixer:
 
     def __init__(self, inputs: int, past: bool):
         self.n = inputs + (2 if past else 0) + 1
-        self.gates = 5 * 16 if past else 5 * 12
+        self.wide = 16 if past else 12
+        self.gates = 5 * self.wide
         self.weights = np.zeros((self.n, self.gates), dtype=np.float32)
         self.weights[: self.n - 1] = 0.3
         self.curve = np.tile(np.eye(self.n) * 30.0, (self.gates, 1, 1))
@@ -204,113 +234,128 @@ class Mixer:
         self.map = self.start.astype(np.float32)
 
     def _rows(self, tables: Tables, chunk: Chunk):
-        """For each level: the slice of positions, bits, inputs, gates."""
+        """For each level and strip: segment, depth, slice of positions, bits, inputs with a row of ones, and gates
+        from the level's first on."""
         table = np.zeros(2 * chunk.room, dtype=np.int32) if chunk.past else None
         base, met, one = -1, [], np.int32(1)
         for a, d, own, node, bit in chunk.levels():
-            x = tables.inputs(chunk, own, node, bit)
-            if chunk.past:
-                if a != base:  # a new segment: the one before is past now
-                    for s in met:
-                        np.add.at(table, s, one)
-                    base, met = a, []
-                slot = (chunk.base[own] + room_slot(node, chunk.shift[own]).astype(np.intp)) << 1
-                met.append(slot + bit)
-                if a:
-                    zeros, ones = table.take(slot, mode="clip"), table.take(slot + 1, mode="clip")
-                    x.append(_LOGS.take(ones, mode="clip") - _LOGS.take(zeros, mode="clip"))
-                    few = _FEW.take(ones + zeros, mode="clip")
-                else:
-                    x.append(np.zeros(len(bit), dtype=np.float32))
-                    few = np.intp(0)
-                guess = chunk.guess[own]
-                agree = chunk.trust[own]
-                if d:
-                    agree = agree * ((guess ^ chunk.left[own]) >> np.uint32(32 - d) == 0)
-                told = ((guess >> np.uint32(31 - d)) & np.uint32(1)).astype(np.float32) * 2 - 1
-                x.append(told * (agree > 0))
-                gate = few + (np.uint32(4) * agree + np.uint32(16 * DEPTHS[d])).astype(np.intp)
+            hashed = node * _A
+            rows = np.empty((self.n, len(bit)), dtype=np.float32)
+            rows[-1] = 1
+            tables.inputs(chunk, own, node, hashed, bit, rows)
+            if not chunk.past:
+                known = (rows[1] != 0).view(np.int8)
+                for v in rows[2:-1]:
+                    known += v != 0
+                gate = np.minimum(known, 3, out=known).astype(np.intp)
+                gate += chunk.place[own]
+                yield a, d, own, bit, rows, gate
+                continue
+            if a != base:  # a new segment: the one before is past now
+                for s in met:
+                    np.add.at(table, s, one)
+                base, met = a, []
+            slot = _room_slot(hashed, chunk.shift[own]).astype(np.intp)
+            slot += chunk.base[own]
+            if a:
+                # Both counts of a slot are read as one.
+                ones = table.view(np.int64).take(slot, mode="clip")
+                zeros = ones & 0xFFFFFFFF
+                ones >>= 32
+                _LOGS.take(ones, mode="clip", out=rows[-3])
+                rows[-3] -= _LOGS.take(zeros, mode="clip")
+                zeros += ones
+                gate = _FEW.take(zeros, mode="clip")
             else:
-                known = sum((v != 0).astype(np.uint32) for v in x[1:])
-                gate = (np.minimum(known, np.uint32(3)) + np.uint32(4) * chunk.place[own] + np.uint32(12 * DEPTHS[d])).astype(np.intp)
-            yield d, own, bit, x, gate
-
-    def _mixed(self, x, gate):
+                rows[-3] = 0
+                gate = np.zeros(len(bit), dtype=np.intp)
+            slot <<= 1
+            slot |= bit
+            met.append(slot.compress(chunk.kept[own]))
+            # Where the guess has held up to here, it holds at this bit too or fails now.
+            shared = chunk.shared[own]
+            told = np.flatnonzero(shared >= d)
+            sign = bit.take(told).astype(np.float32)
+            sign *= 2
+            sign -= 1
+            np.negative(sign, out=sign, where=shared.take(told) == d)
+            rows[-2] = 0
+            rows[-2][told] = sign
+            gate[told] += chunk.trust[own].take(told)
+            yield a, d, own, bit, rows, gate
+
+    def _mixed(self, weights, rows, gate):
         """The mix, stretched, as a probability, and the cells of the map."""
-        dot = self.weights[-1].take(gate, mode="clip")
-        for w, v in zip(self.weights, x):
-            part = w.take(gate, mode="clip")
-            part *= v
-            dot += part
+        parts = weights.take(gate, axis=1, mode="clip")
+        parts *= rows
+        dot = parts.sum(axis=0)
         np.clip(dot, -12, 12, out=dot)
         p = np.exp(-dot)
         p += 1
         np.reciprocal(p, out=p)
-        cell = np.clip(dot * np.float32(4) + np.float32(BINS // 2 + 0.5), 0, BINS - 1).astype(np.intp)
+        cell = dot * np.float32(4)
+        cell += np.float32(BINS // 2 + 0.5)
+        np.clip(cell, 0, BINS - 1, out=cell)
+        cell = cell.astype(np.intp)
         cell += gate * BINS
         return dot, p, cell
 
     def log2(self, tables: Tables, chunk: Chunk) -> np.ndarray:
         """log2 probability of each position's symbol."""
-        out = np.zeros(len(chunk.left))
-        for _, own, bit, x, gate in self._rows(tables, chunk):
-            _, p, cell = self._mixed(x, gate)
-            out[own] += self._coded(p, cell, bit)
-        return self._ordered(chunk, out)
-
-    def _coded(self, p, cell, bit):
-        q = p + self.map.take(cell, mode="clip")
+        out = np.ones(len(chunk.left))
+        for _, d, own, bit, rows, gate in self._rows(tables, chunk):
+            first = self.wide * DEPTHS[d]
+            _, p, cell = self._mixed(self.weights[:, first : first + self.wide], rows, gate)
+            # At most 32 factors of at least 1 / 65536.
+            out[own] *= self._coded(p, self.map[first * BINS : (first + self.wide) * BINS].take(cell, mode="clip"), bit)
+        return self._ordered(chunk, np.log2(out))
+
+    def _coded(self, p, q, bit):
+        q += p
         q *= np.float32(0.5)
         np.clip(q, np.float32(1 / 65536), np.float32(1 - 1 / 65536), out=q)
         # The bit's own share: q for 1, 1 - q for 0.
         one = bit.astype(np.float32)
-        q *= one + one - np.float32(1)
-        q += np.float32(1) - one
-        return np.log(q)
+        one -= 1
+        q += one
+        return np.abs(q, out=q)
 
     def _ordered(self, chunk, out):
         back = np.empty_like(out)
         back[chunk.order] = out
-        return back * (1 / np.log(2))
-
-    def learn(self, tables: Tables, chunk: Chunk, score: bool = False) -> np.ndarray | None:
-        """One step on a chunk: the gradients and curvatures of its bits, and the cells that they fall in.
-        With `score`, log2 of each position's symbol as foretold before the step."""
-        out = np.zeros(len(chunk.left)) if score else None
-        push, bend = np.zeros((self.n, self.gates)), np.zeros((self.gates, self.n, self.n))
-        for d, own, bit, x, gate in self._rows(tables, chunk):
-            dot, p, cell = self._mixed(x, gate)
-            if score:
-                out[own] += self._coded(p, cell, bit)
-            wrong = bit.astype(np.float32) - p
+        return back
+
+    def learn(self, tables: Tables, chunk: Chunk) -> None:
+        """One step on a chunk: the gradients and curvatures of its bits, and the cells that they fall in."""
+        push, bend, wide = np.zeros((self.n, self.gates)), np.zeros((self.gates, self.n, self.n)), self.wide
+        each = np.arange(wide, dtype=np.int8)[:, None]
+        whole: dict[tuple[int, int], list] = {}
+        for a, d, own, bit, rows, gate in self._rows(tables, chunk):
+            first = wide * DEPTHS[d]
+            dot, p, cell = self._mixed(self.weights[:, first : first + wide], rows, gate)
+            wrong = bit.astype(np.float32)
+            wrong -= p
             # Above the bound of Jaakkola and Jordan, tanh(x / 2) / 2x, in place of p (1 - p): no step makes a gate worse.
-            curve = np.abs(dot)
+            curve = np.abs(dot, out=dot)
             curve *= np.float32(0.5)
             curve += np.float32(4)
             np.reciprocal(curve, out=curve)
-            first, wide = (16, 16) if chunk.past else (12, 12)
-            first *= DEPTHS[d]
-            which = (cell - first * BINS) * 2 + bit
-            if chunk.teaches is not None:
-                teaches = chunk.teaches[own]
-                wrong *= teaches
-                curve *= teaches
-                which = which[teaches > 0]
-            self.seen[first * BINS : (first + wide) * BINS] += np.bincount(which, minlength=2 * wide * BINS).reshape(-1, 2)
-            rows = np.empty((self.n, len(dot)), dtype=np.float32)
-            for k, v in enumerate(x):
-                rows[k] = v
-            rows[-1] = 1
+            cell <<= 1
+            cell |= bit
+            self.seen[first * BINS : (first + wide) * BINS] += np.bincount(cell, minlength=2 * wide * BINS).reshape(-1, 2)
+            bent = (rows * curve) @ rows.T
+            rows *= wrong
             # The gates of a level are few: sums by gate are a product with a row of marks for each.
-            marks = (gate - first == np.arange(wide)[:, None]).astype(np.float32)
-            push[:, first : first + wide] += (rows * wrong) @ marks.T
-            mass = marks @ curve
-            # One curvature for a level, dealt to its gates by their share.
-            whole = (rows * curve) @ rows.T
-            bend[first : first + wide] += (mass / max(mass.sum(), 1e-9))[:, None, None] * whole
+            marks = (gate.astype(np.int8) == each).astype(np.float32)
+            push[:, first : first + wide] += rows @ marks.T
+            level = whole.setdefault((a, d), [0, 0])
+            level[0], level[1] = level[0] + (marks @ curve).astype(np.float64), level[1] + bent
+        # One curvature for a level, dealt to its gates by their share.
+        for (_, d), (mass, bent) in whole.items():
+            first = wide * DEPTHS[d]
+            bend[first : first + wide] += (mass / max(mass.sum(), 1e-9))[:, None, None] * bent
         self.curve += bend
         self.weights += np.linalg.solve(self.curve, push.T[:, :, None])[:, :, 0].T.astype(np.float32)
-        return self._ordered(chunk, out) if score else None
 
     def sums(self) -> np.ndarray:
         """What adds up over tasks: curvatures, weights times curvatures, and the map's cells."""

@@ -103,17 +103,7 @@ class Positions:
         data, a, b = texts.data, words.starts, words.ends
         last = data[b - 1].astype(np.uint64) if len(words) else np.zeros(0, dtype=np.uint64)
         tail = last + np.where(b - a > 1, data[np.maximum(b - 2, a)].astype(np.uint64) + np.uint64(1), np.uint64(0)) * np.uint64(256) if len(words) else last
-        topic = own.topic[self.symbol]
-        used = np.zeros((n + 1, TOPICS), dtype=np.int32)
-        hit = np.flatnonzero(topic >= 0)
-        used[hit + 1, topic[hit]] = 1
-        used = np.cumsum(used, axis=0, dtype=np.int32)
-        used = used[:-1] - used[first]
-        # Count and number in one value: of equal counts the first topic is the largest.
-        used *= TOPICS
-        used += np.arange(TOPICS - 1, -1, -1, dtype=np.int32)
-        best = used.max(axis=1, initial=0)
-        most = np.where(best >= TOPICS, TOPICS - 1 - best % TOPICS, TOPICS).astype(np.uint64)
+        most = _most(own.topic[self.symbol], self.row).astype(np.uint64)
         contexts = [_short(before(tail, 1 << 20)), _short((most << np.uint64(32)) + before(last, 1 << 10) + _STEP)]
         self.chunk = Chunk(own.code, own.code.left[self.symbol], own.code.length[self.symbol], contexts, *(self._past(own.code, before(self.hashes, 0), opening, first) if past else ()))
         # Words outside the code: how often the text has spelled each, and how many in all, before.
@@ -125,9 +115,7 @@ class Positions:
         """The text and the place in it, the code of what followed the last word when the text had it last, and
         how far to trust that."""
         n = len(prior)
-        key = mix64(prior + self.row.astype(np.uint64) * _STEP)
-        order = np.argsort(key, kind="stable")
-        same = np.concatenate([[False], key[order][1:] == key[order][:-1]]) if n else np.zeros(0, dtype=bool)
+        order, same = _alike(mix64(prior + self.row.astype(np.uint64) * _STEP))
         source = np.full(n, -1, dtype=np.int64)
         source[order[same]] = order[np.flatnonzero(same) - 1]
         there = source >= 0
@@ -141,12 +129,44 @@ class Positions:
         return self.row, here - first, code.left[symbol], np.where(there, 1 + (streak > 0) + (streak > 3), 0).astype(np.uint32)
 
 
+def _alike(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions by key, those of a key in order; and whether each has the key of the one before."""
+    n = len(key)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    # Keys whose last bits give way to the position sort faster than with places beside them.
+    short = np.sort((key & ~low) | np.arange(n, dtype=np.uint64))
+    order = (short & low).astype(np.int64)
+    same = np.concatenate([[False], (short[1:] ^ short[:-1]) <= low]) if n else np.zeros(0, dtype=bool)
+    whole = key.take(order)
+    if (whole[1:] != whole[:-1])[same[1:]].any():  # two keys differ in the last bits alone
+        order = np.argsort(key, kind="stable")
+        whole = key.take(order)
+        same = np.concatenate([[False], whole[1:] == whole[:-1]])
+    return order, same
+
+
+def _most(topic: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each position the topic that its row has had most so far, the first of equals; TOPICS before any."""
+    hit = np.flatnonzero(topic >= 0)
+    kind, of = topic[hit], row[hit]
+    order = np.argsort(kind, kind="stable")
+    k, r = kind[order], of[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])[: len(hit)]
+    here = np.arange(len(hit))
+    times = np.empty(len(hit), dtype=np.int64)
+    times[order] = here - np.maximum.accumulate(np.where(new, here, 0)) + 1
+    # A topic's count only grows, so the most used so far is the largest count at any hit. Of equals the first is the larger value.
+    best = np.append(row << 32, 0)
+    best[hit + 1] = np.maximum(best[hit + 1], (of << 32) + times * TOPICS + (TOPICS - 1 - kind))
+    best = np.maximum.accumulate(best)[:-1] & 0xFFFFFFFF
+    return np.where(best >= TOPICS, TOPICS - 1 - best % TOPICS, TOPICS)
+
+
 def _times(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word: how often it stood in its row before, and how many words did."""
     n = len(row)
-    order = np.argsort(mix64(h + row.astype(np.uint64) * _STEP), kind="stable")
-    k = mix64(h + row.astype(np.uint64) * _STEP)[order]
-    start = np.concatenate([[True], k[1:] != k[:-1]]) if n else np.zeros(0, dtype=bool)
+    order, same = _alike(mix64(h + row.astype(np.uint64) * _STEP))
+    start = ~same
     begin = np.maximum.accumulate(np.where(start, np.arange(n), 0)) if n else np.zeros(0, dtype=np.int64)
     before = np.zeros(n, dtype=np.int64)
     before[order] = np.arange(n) - begin
@@ -239,24 +259,12 @@ class _Counts:
 
     def __init__(self, bits):
         self.bits, self.sums = bits, [np.zeros(2 << b, dtype=np.int64) for b in bits]
-        self.waiting, self.size = [[] for _ in bits], 0
 
     def add(self, chunk: Chunk) -> None:
-        count(chunk, self.bits, self.waiting)
-        self.size += int(chunk.length.sum())
-        if self.size > 1 << 22:
-            self.flush()
-
-    def flush(self) -> None:
-        for k, (own, b) in enumerate(zip(self.waiting, self.bits)):
-            if own:
-                self.sums[k] += np.bincount(np.concatenate(own), minlength=2 << b)
-                own.clear()
-        self.size = 0
+        count(chunk, self.bits, self.sums)
 
     def blocks(self, name: int = 0):
         """Batches of (block, its counts), those without any left out."""
-        self.flush()
         for k, own in enumerate(self.sums):
             yield from _dense(own, name + (k << 32))
 
@@ -344,7 +352,11 @@ def _words(docs: DataFrame) -> DataFrame:
         for batch in bounded(batches, "text", 4 << 20):
             texts = Texts(batch.column("text")).lowered()
             words = Spans(texts, SPACE)
-            keys, first, counts = np.unique(words.hashes(), return_index=True, return_counts=True)
+            hashes = words.hashes()
+            order, same = _alike(hashes)
+            new = np.flatnonzero(~same)
+            first, counts = order[new], np.diff(new, append=len(order))
+            keys = hashes[first]
             data = texts.data.tobytes()
             starts, ends = words.starts[first], words.ends[first]
             part = np.cumsum(ends - starts + 24) // (BATCH_BYTES // 4)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from papyrium.llm import decontaminate, language_id, lm_score, quality_rules, secrets
+from papyrium.llm import _mixing, decontaminate, language_id, lm_score, quality_rules, secrets
 from papyrium.llm._mixing import room_bits, room_slot
 from papyrium.llm._batch import SPACE, Spans, Texts, windows
 
@@ -380,6 +380,36 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert found["s"] > found["b"]
 
 
+def test_lm_positions_against_plain_loops():
+    """Equal keys in order, also where keys differ in the bits that the sort gives up; the topic a row has had most."""
+    r = random.Random(8)
+    for keys in ([], [5], [r.choice((8, 9, 1 << 63, (1 << 63) + 1)) for _ in range(50)], [r.choice((1 << 20, 3 << 40)) for _ in range(50)]):
+        order, same = lm_score._alike(np.array(keys, dtype=np.uint64))
+        assert order.tolist() == sorted(range(len(keys)), key=lambda i: keys[i])
+        assert same.tolist() == [i > 0 and keys[order[i]] == keys[order[i - 1]] for i in range(len(keys))]
+    row = np.sort(np.array([r.randrange(6) for _ in range(400)], dtype=np.int64))
+    topic = np.array([r.choice((-1, -1, 0, 1, 2, 15)) for _ in row], dtype=np.int8)
+    want, used = [], Counter()
+    for of, k in zip(row.tolist(), topic.tolist()):
+        had = [t for t in range(lm_score.TOPICS) if used[of, t]]
+        want.append(max(had, key=lambda t: (used[of, t], -t)) if had else lm_score.TOPICS)
+        used[of, k] += k >= 0
+    assert lm_score._most(topic, row).tolist() == want
+    assert lm_score._most(topic[:0], row[:0]).tolist() == [] and lm_score._most(topic[:1] * 0 - 1, row[:1]).tolist() == [lm_score.TOPICS]
+
+
+def test_lm_strips_change_no_score(spark):
+    texts = [t for _, t, *_ in corpus(5, 30) if t]
+    model = trained(spark, texts)
+    kept = None
+    for strip in (1 << 15, 100, 7):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(_mixing, "STRIP", strip)
+            found = model.log2(lm_score.Positions(model.own, Texts(pa.array(texts)).lowered()), len(texts))
+        kept = found if kept is None else kept
+        assert np.allclose(found, kept, rtol=1e-6, atol=1e-9)
+
+
 def test_lm_long_words_cost(spark):
     r = random.Random(2)
     say = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
